@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.pyregex import translate
 from faultline.functions.text import DIALECT
 from faultline.operators.custom import ParserConfig
-from faultline.operators.ordered import CHUNK_BITS, running_totals
+from faultline.operators.ordered import CHUNK_BITS
 
 #: Lines per output row. A longer event continues in further rows, so no row grows without bound.
 SEGMENT_BITS = 13
@@ -23,18 +23,40 @@ def assemble_events(
     start form event 0. ``head`` is the first line of the row, ``value`` all of its lines. Events
     of more than ``2**segment_bits`` lines go on in segments 1, 2, ...
     """
-    starts = F.col("value").rlike(f"{DIALECT}^(?:{translate(start_pattern)})").cast("bigint")
-    flagged = lines.select("file", "line_id", "value").withColumn("_start", starts)
-    located = running_totals(
-        flagged, ["file"], "line_id", {"event_no": F.col("_start"), "_n": F.lit(1)}, bits
+    start = F.col("_start")
+    chunk = Window.partitionBy("file", "_chunk").orderBy("line_id")
+    so_far = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("file").orderBy("_chunk").rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    # The position inside the event is the line number minus that of the event's first line.
-    first_lines = located.filter("_start = 1").select(
-        "file", "event_no", F.col("_n").alias("_first_n")
+
+    # A file is cut into chunks of lines; each is numbered on its own.
+    lines = lines.select(
+        "file", "line_id", "value",
+        F.shiftright("line_id", bits).alias("_chunk"),
+        F.col("value").rlike(f"{DIALECT}^(?:{translate(start_pattern)})").alias("_start"),
+    ).withColumn("_k", F.row_number().over(chunk).cast("bigint"))
+    # One row per chunk tells what lies before it: lines, starts, and where the last start was.
+    chunks = lines.groupBy("file", "_chunk").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(start).alias("_starts"),
+        F.max(F.when(start, F.col("_k"))).alias("_last_k"),
     )
-    placed = located.join(first_lines, ["file", "event_no"], "left").withColumn(
-        "segment", F.shiftright(F.col("_n") - F.coalesce("_first_n", F.lit(1)), segment_bits)
+    carried = chunks.withColumn(
+        "_lines_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    ).select(
+        "file", "_chunk", "_lines_before",
+        F.coalesce(F.sum("_starts").over(before), F.lit(0)).alias("_starts_before"),
+        F.max(F.col("_lines_before") + F.col("_last_k")).over(before).alias("_open_since"),
     )
+    number = F.col("_lines_before") + F.col("_k")
+    placed = lines.join(carried, ["file", "_chunk"]).select(
+        "file", "line_id", "value", number.alias("_n"),
+        (F.count_if(start).over(so_far) + F.col("_starts_before")).alias("event_no"),
+        F.coalesce(
+            F.max(F.when(start, number)).over(so_far), "_open_since", F.lit(1)
+        ).alias("_first_n"),
+    ).withColumn("segment", F.shiftright(F.col("_n") - F.col("_first_n"), segment_bits))
     rows = placed.groupBy("file", "event_no", "segment").agg(
         F.array_sort(F.collect_list(F.struct("line_id", "value"))).alias("_rows")
     )
