@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import strip
+from faultline.functions.text import bind, strip
 from faultline.schema import ANALYSIS
 
 _JSON_FENCE, _FENCE = "```json", "```"
@@ -53,10 +53,10 @@ def decode_responses(responses: DataFrame, content: str = "content") -> DecodedR
     A member that is present but null stays NULL; only absent members take their default.
     """
     others = [c for c in responses.columns if c != content]
-    df = responses.withColumn("_json", json_text(F.col(content)))
+    df = bind(responses, "_json", json_text(F.col(content)))
     # NULL unless the text is one well-formed object.
     ends = strip(F.col("_json")).endswith("}")
-    df = df.withColumn("_keys", F.when(ends, F.json_object_keys("_json")))
+    df = bind(df, "_keys", F.when(ends, F.json_object_keys("_json")))
     failures = df.filter(F.col("_keys").isNull()).select(
         *others, content, F.lit("bad_json").alias("reason")
     )

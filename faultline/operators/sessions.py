@@ -18,8 +18,8 @@ def succeeded() -> Column:
 
 
 def _position() -> Column:
-    """Running order of a result: by command, then host."""
-    return F.shiftleft(F.col("command_idx").cast("bigint"), 32) + F.col("host_idx")
+    """Running order of a result: by command, then host (of at most 2**20 hosts)."""
+    return F.shiftleft(F.col("command_idx").cast("bigint"), 20) + F.col("host_idx")
 
 
 def stop_on_error(results: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from faultline.operators.detect import report_format_label
 from faultline.operators.parse import parse_logs
 from faultline.operators.prompt import prompt_context
 from faultline.operators.stats import log_statistics
-from faultline.sources.lines import count_files, read_heads, read_lines
+from faultline.sources.lines import count_files, list_files, read_heads, read_lines
 
 
 class LogAnalysis(NamedTuple):
@@ -30,18 +30,20 @@ def analyze_lines(
     heads: DataFrame | None = None,
     files: int | None = None,
     compat: bool = True,
+    sizes: DataFrame | None = None,
 ) -> LogAnalysis:
-    """Everything about the given lines, lazily. Nothing runs until a result is used."""
+    """Everything about the given lines, lazily. Nothing runs until a result is used.
+
+    ``heads``, ``files`` and ``sizes`` (``file, file_size``) may come from the file listing.
+    """
     entries, quarantine = parse_logs(lines, fmt, heads, files, compat)
     statistics = log_statistics(entries)
-    labels = report_format_label(entries).withColumnRenamed("file", "source")
-    if "file_size" in lines.columns:
-        sizes = lines.groupBy(F.col("file").alias("source")).agg(
-            F.max("file_size").alias("file_size")
-        )
-        labels = labels.join(sizes, "source")
-    else:
+    labels = report_format_label(entries)
+    if sizes is None:
         labels = labels.withColumn("file_size", F.lit(0).cast("bigint"))
+    else:
+        labels = labels.join(sizes, "file", "left")
+    labels = labels.withColumnRenamed("file", "source")
     return LogAnalysis(entries, quarantine, statistics, prompt_context(statistics, entries), labels)
 
 
@@ -55,4 +57,5 @@ def analyze_files(
     """:func:`analyze_lines` over log files. Detection reads only the head of each file."""
     lines = read_lines(spark, paths, max_size)
     heads = None if fmt else read_heads(spark, paths)
-    return analyze_lines(lines, fmt, heads, count_files(lines), compat)
+    sizes = list_files(spark, paths)
+    return analyze_lines(lines, fmt, heads, count_files(lines), compat, sizes)

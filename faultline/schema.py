@@ -44,7 +44,7 @@ AUDIT = _struct(
 )
 
 RESULTS = _struct(
-    ("session_id", S), ("command_idx", I), ("host_idx", I), ("command", S), ("host", S),
+    ("session_id", S), ("command_idx", L), ("host_idx", I), ("command", S), ("host", S),
     ("exit_code", I), ("stdout", S), ("stderr", S), ("duration", D), ("ts", TS),
 )
 

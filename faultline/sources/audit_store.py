@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators.audit import query_audit
 from faultline.schema import AUDIT
 
 EXPORT_LIMIT = 10_000
-_ISO = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
-def _iso(timestamp: str) -> F.Column:
+def _iso(timestamp: str) -> Column:
     """``datetime.isoformat()``."""
     fraction = F.date_format(timestamp, "SSSSSS")
     whole = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss")

@@ -84,17 +84,21 @@ def replaced_bytes(lines: DataFrame) -> DataFrame:
     )
 
 
+def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``file, file_size`` of all files, from the listing; no content is read."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    return spark.read.format("binaryFile").load(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("length").alias("file_size")
+    )
+
+
 def read_heads(spark: SparkSession, paths: str | Sequence[str], count: int = 20) -> DataFrame:
     """The first ``count`` lines of each file, without scanning the rest of it.
 
     The listing comes from Spark (no content is read for it); each task then opens its files and
     stops after ``count`` lines.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    files = (
-        spark.read.format("binaryFile").load(paths)
-        .select(F.col("_metadata.file_path").alias("file"))
-    )
+    files = list_files(spark, paths).select("file")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
