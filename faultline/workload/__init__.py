@@ -6,7 +6,7 @@ from importlib import import_module
 
 from faultline.workload.registry import QUERIES, Query
 
-_MODULES = ("parsing", "statistics", "diagnosis")
+_MODULES = ("parsing", "statistics", "diagnosis", "commands", "records")
 
 
 def all_queries() -> dict[str, Query]:
