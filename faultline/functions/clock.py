@@ -27,6 +27,9 @@ WEEKDAY_NAMES = (
     "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
 )
 
+#: Number of parts a clock has: year, month, day, time, zone.
+CLOCK_PARTS = 5
+
 #: The year a clock without one is given.
 ASSUMED_YEAR = 1900
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,3 +73,17 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     for word in words[1:]:
         found = found | text.contains(word)
     return found
+
+
+def text_map(values: Mapping[str, Column], always: Collection[str] = ()) -> Column:
+    """``map<string,string>`` of the values that are not NULL; names in ``always`` never are."""
+    if not values:
+        return F.create_map().cast("map<string,string>")
+    if set(values) <= set(always):
+        return F.create_map(*[item for k, v in values.items() for item in (F.lit(k), v)])
+
+    def entry(key: str, value: Column) -> Column:
+        pair = F.struct(F.lit(key).alias("key"), value.alias("value"))
+        return pair if key in always else F.when(value.isNotNull(), pair)
+
+    return F.map_from_entries(F.array_compact(F.array(*[entry(*kv) for kv in values.items()])))

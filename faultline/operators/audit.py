@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators.dmesg import text_map
+from faultline.functions.text import text_map
 from faultline.schema import AUDIT
 
 QUERY_LIMIT = 100

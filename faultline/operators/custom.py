@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from faultline.functions.clock import TimeFormat, UnsupportedFormat
 from faultline.functions.levels import lookup, normalize_level
 from faultline.functions.pyregex import group_count, optional_groups, translate
-from faultline.functions.text import captures, empty_to_null, matched, part, strip
-from faultline.operators.dmesg import text_map
+from faultline.functions.text import captures, empty_to_null, matched, part, strip, text_map
 from faultline.operators.lineformat import NO_MATCH, LineFormat
 
 
@@ -128,16 +127,15 @@ class CustomFormat(LineFormat):
             text = F.lit("")
         return self.time.parts(F.coalesce(text, F.lit("")))
 
-    def entry(self, line: Column, first: Column, second: Column | None) -> dict[str, Column]:
-        config = self.config
+    def timestamp(self, first: Column, second: Column | None) -> Column:
         ts = self.time.read(second)
-        ts_text = self._group(first, config.timestamp_group)
-        if ts_text is not None and self.more_times:
-            ts = F.coalesce(ts, *[fmt.parse(ts_text) for fmt in self.more_times])
-        known = ts.isNotNull()
-        if self.ingest_ts is not None:
-            ts = F.coalesce(ts, self.ingest_ts)
+        text = self._group(first, self.config.timestamp_group)
+        if text is not None and self.more_times:
+            ts = F.coalesce(ts, *[fmt.parse(text) for fmt in self.more_times])
+        return ts
 
+    def entry(self, line: Column, first: Column, second: Column | None) -> dict[str, Column]:
+        config = self.config
         level = F.lit("INFO")
         word = self._group(first, config.level_group) if config.level_group else None
         if word is not None:
@@ -149,14 +147,29 @@ class CustomFormat(LineFormat):
 
         message = self._group(first, config.message_group)
         fields = {m.name: self._field(first, m) for m in config.field_mappings}
-        return {
-            "ts": ts,
+        entry = {
             "reason": F.when(~matched(first), NO_MATCH),
-            "ts_imputed": ~known,
+            "ts_imputed": F.col("_ts").isNull(),
             "level": level,
             "message": F.lit("") if message is None else message,
-            "fields": text_map(fields) if fields else F.create_map().cast("map<string,string>"),
+            "fields": text_map(fields, always=self._always_present()),
         }
+        if self.ingest_ts is not None:
+            entry["ts"] = F.coalesce("_ts", self.ingest_ts)
+        return entry
+
+    def _always_present(self) -> list[str]:
+        """Fields that every matching line has: text of a group that takes part in any match."""
+        names = []
+        for m in self.config.field_mappings:
+            usable = m.pattern_group <= self.groups and self.groups
+            group = ((m.pattern_group - 1) % self.groups) + 1 if usable else None
+            if m.default is not None or (
+                group is not None and group not in self.optional
+                and m.transform not in ("int", "float")
+            ):
+                names.append(m.name)
+        return names
 
     def _field(self, first: Column, mapping: FieldMapping) -> Column:
         default = F.lit(_default_text(mapping.default))
@@ -182,7 +195,10 @@ def _transformed(value: Column, transform: str | None) -> Column:
     if transform == "int":
         whole = value.rlike(r"(?U)^\s*[+-]?\d+(?:_\d+)*\s*$")
         number = F.replace(strip(value), F.lit("_"), F.lit("")).try_cast("decimal(38,0)")
-        return F.when(whole, number.cast("string"))
+        # Plain numbers take the cheap cast; the rest is whatever else int() accepts.
+        return F.coalesce(
+            value.try_cast("bigint").cast("string"), F.when(whole, number.cast("string"))
+        )
     if transform == "float":
         real = value.rlike(
             r"(?Ui)^\s*[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf(?:inity)?|nan)\s*$"

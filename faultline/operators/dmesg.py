@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.clock import HMS, instant
+from faultline.functions.clock import CLOCK_PARTS, HMS
 from faultline.functions.levels import kernel_message_level, kernel_tag_level
-from faultline.functions.text import captures, contains_any, empty_to_null, matched, part
+from faultline.functions.text import (
+    captures, contains_any, empty_to_null, matched, part, text_map,
+)
 from faultline.operators.lineformat import LineFormat
 
 # A weekday makes the bracket a calendar time; a wrong weekday name leaves the time unknown.
@@ -17,8 +19,10 @@ _HUMAN = (
 )
 _UPTIME = r"\[\s*(\d+\.\d+)\]\s*(?:\[(\w+)\]\s*)?(.+)"
 _PATTERN = rf"^(?:{_HUMAN}|{_UPTIME})$"
-# year, month, day, time, message after a calendar time, uptime, tag, message after an uptime
-_OUTPUTS = ["$4", "$1", "$2", "$3", "$5", "$6", "$7", "$8"]
+# year, month, day, time, no zone; then message after a calendar time, uptime, tag, message after
+# an uptime
+_OUTPUTS = ["$4", "$1", "$2", "$3", "", "$5", "$6", "$7", "$8"]
+_HUMAN_MESSAGE, _UPTIME_TEXT, _TAG, _MESSAGE = range(CLOCK_PARTS, len(_OUTPUTS))
 
 HEAD_PATTERNS = (
     r"^\[\s*\d+\.\d+\]",
@@ -34,6 +38,10 @@ NETWORK_WORDS = (
     "link", "network", "ethernet", "connection", "socket", "packet", "rx", "tx", "dhcp", "arp",
     "route", "dns", "tcp", "udp", "ip", "ipv6", "icmp", "port", "firewall",
 )
+# A word that holds another one decides nothing.
+_DECISIVE_WORDS = [
+    w for w in NETWORK_WORDS if not any(o in w for o in NETWORK_WORDS if o != w)
+]
 
 
 class Dmesg(LineFormat):
@@ -54,77 +62,70 @@ class Dmesg(LineFormat):
 
     def second(self, line: Column, first: Column) -> Column:
         """Subsystem and message, or the message alone when there is no leading ``word:``."""
-        tag, rest = part(first, 6), part(first, 7)
+        tag, rest = part(first, _TAG), part(first, _MESSAGE)
+        human = part(first, _HUMAN_MESSAGE)
         put_back = (tag != "") & kernel_tag_level(tag).isNull()
         text = (
             F.when(~matched(first), line)
-            .when(part(first, 4) != "", part(first, 4))
+            .when(human != "", human)
             .when(put_back, F.concat(F.lit("["), tag, F.lit("] "), rest))
             .otherwise(rest)
         )
         return captures(text, r"^(\w+):\s*(.+)$", 2)
 
-    def entry(self, line: Column, first: Column, second: Column | None) -> dict[str, Column]:
+    def derived(self, line: Column, first: Column, second: Column | None) -> list[dict[str, Column]]:
         named = matched(second)
-        subsystem = F.when(named, F.lower(part(second, 0)))
         message = F.when(named, part(second, 1)).otherwise(part(second, 0))
-        lowered = F.lower(message)
-        uptime_text = F.when(matched(first), empty_to_null(part(first, 5)))
-        uptime = uptime_text.try_cast("double")
-        tag_level = F.when(matched(first) & (part(first, 6) != ""), kernel_tag_level(part(first, 6)))
-
-        network = F.coalesce(subsystem.isin(*NETWORK_SUBSYSTEMS), F.lit(False)) | contains_any(
-            lowered, NETWORK_WORDS
-        )
-        device = F.when(
-            network, empty_to_null(F.regexp_extract(message, r"(?U)\b(\w+\d+):\s", 1))
-        )
-        address = F.when(
-            network,
-            empty_to_null(
-                F.regexp_extract(
-                    message, r"(?U)\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b", 1
-                )
-            ),
+        in_list = F.coalesce(F.col("_subsystem").isin(*NETWORK_SUBSYSTEMS), F.lit(False))
+        network = F.col("_network")
+        address = r"(?U)\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"
+        return [
+            {"_subsystem": F.when(named, F.lower(part(second, 0))), "_message": message},
+            {"_kernel_text": F.lower("_message")},
+            {"_network": in_list | contains_any(F.col("_kernel_text"), _DECISIVE_WORDS)},
+            {
+                "_device": F.when(network, empty_to_null(
+                    F.regexp_extract("_message", r"(?U)\b(\w+\d+):\s", 1))),
+                "_address": F.when(network, empty_to_null(
+                    F.regexp_extract("_message", address, 1))),
+                "_uptime": part(first, _UPTIME_TEXT).try_cast("double"),
+            },
+        ]
+
+    def timestamp(self, first: Column, second: Column | None) -> Column:
+        ts = super().timestamp(first, second)
+        if self.boot_ts is None:
+            return ts
+        booted = F.timestamp_micros(
+            F.unix_micros(self.boot_ts) + F.round(F.col("_uptime") * 1_000_000).cast("bigint")
         )
+        return F.coalesce(ts, booted)
 
-        human = F.when(matched(first), instant(part(first, 0), part(first, 1), part(first, 2), part(first, 3)))
-        ts = human
-        if self.boot_ts is not None:
-            booted = F.timestamp_micros(
-                F.unix_micros(self.boot_ts) + F.round(uptime * 1_000_000).cast("bigint")
-            )
-            ts = F.coalesce(ts, booted)
-        known = ts.isNotNull()
-        if self.ingest_ts is not None:
-            ts = F.coalesce(ts, self.ingest_ts)
+    def entry(self, line: Column, first: Column, second: Column | None) -> dict[str, Column]:
+        subsystem, lowered = F.col("_subsystem"), F.col("_kernel_text")
+        network, uptime = F.col("_network"), F.col("_uptime")
         fields = {
             "uptime": uptime.cast("string"),
             "subsystem": subsystem,
             "network_related": F.when(network, "true"),
-            "device": device,
-            "ip_address": address,
+            "device": F.col("_device"),
+            "ip_address": F.col("_address"),
         }
-        return {
-            "ts": ts,
+        entry = {
             "reason": F.lit(None).cast("string"),
-            "ts_imputed": ~known,
-            "level": F.coalesce(kernel_message_level(lowered), tag_level, F.lit("INFO")),
-            "message": message,
+            "ts_imputed": F.col("_ts").isNull(),
+            "level": F.coalesce(
+                kernel_message_level(lowered), kernel_tag_level(part(first, _TAG)), F.lit("INFO")
+            ),
+            "message": F.col("_message"),
             "fields": text_map(fields),
             "process": F.coalesce(subsystem, F.lit("kernel")),
             "uptime": uptime,
             "subsystem": subsystem,
             "network_related": network,
-            "device": device,
-            "dev_ip": address,
+            "device": F.col("_device"),
+            "dev_ip": F.col("_address"),
         }
-
-
-def text_map(values: dict[str, Column]) -> Column:
-    """``map<string,string>`` of the values that are not NULL."""
-    pairs = [
-        F.when(value.isNotNull(), F.struct(F.lit(key).alias("key"), value.alias("value")))
-        for key, value in values.items()
-    ]
-    return F.map_from_entries(F.array_compact(F.array(*pairs)))
+        if self.ingest_ts is not None:
+            entry["ts"] = F.coalesce("_ts", self.ingest_ts)
+        return entry

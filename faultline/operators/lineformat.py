@@ -11,7 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import bind, strip
+from faultline.functions.clock import ASSUMED_YEAR, CLOCK_PARTS, instant
+from faultline.functions.text import bind, matched, part, strip
 from faultline.schema import LOG_ENTRY
 
 NO_MATCH = "no_match"
@@ -34,9 +35,15 @@ class ParsedLines(NamedTuple):
 
 
 class LineFormat:
-    """Base of the built-in formats."""
+    """Base of the formats.
+
+    Captures of built-in formats start with the clock (year, month, day, time, zone), so that one
+    expression reads the time of all of them.
+    """
 
     name: str
+    #: The year given to clocks without one.
+    assume_year: int | Column = ASSUMED_YEAR
 
     def first(self, line: Column) -> Column:
         """Captures of the stripped line, as an array."""
@@ -46,8 +53,16 @@ class LineFormat:
         """Captures that depend on the first ones, for formats read in two steps."""
         return None
 
+    def derived(self, line: Column, first: Column, second: Column | None) -> list[dict[str, Column]]:
+        """Further columns that several entry columns use, level by level."""
+        return []
+
+    def timestamp(self, first: Column, second: Column | None) -> Column:
+        return instant(*[part(first, i) for i in range(CLOCK_PARTS)], assume_year=self.assume_year)
+
     def entry(self, line: Column, first: Column, second: Column | None) -> dict[str, Column]:
-        """Entry columns by name, including ``ts`` and ``reason`` (NULL when parsed)."""
+        """Entry columns by name. ``reason`` tells why a line is refused; without it, a line
+        must match and have a valid time."""
         raise NotImplementedError
 
 
@@ -55,9 +70,9 @@ def null_of(name: str) -> Column:
     return F.lit(None).cast(_TYPES[name])
 
 
-def failure(matched: Column, ts: Column) -> Column:
+def failure(first: Column, ts: Column) -> Column:
     """Why a line was refused, for formats that need a valid timestamp."""
-    return F.when(~matched, NO_MATCH).when(ts.isNull(), BAD_TIMESTAMP)
+    return F.when(~matched(first), NO_MATCH).when(ts.isNull(), BAD_TIMESTAMP)
 
 
 def split_parsed(parsed: DataFrame) -> ParsedLines:
@@ -79,14 +94,14 @@ def parse_frame(lines: DataFrame, fmt: LineFormat) -> DataFrame:
     if second is not None:
         df = bind(df, "_second", second)
         second = F.col("_second")
+    for level in fmt.derived(line, first, second):
+        df = df.withColumns(level)
+    df = bind(df, "_ts", fmt.timestamp(first, second))
     found = fmt.entry(line, first, second)
-    df = bind(df, "_ts", found.pop("ts"))
-    reason = found.pop("reason", None)
-    if reason is None:
-        reason = failure(found.pop("matched"), F.col("_ts"))
-    columns = {name: null_of(name) for name in ENTRY_COLUMNS}
+    reason = found.pop("reason", failure(first, F.col("_ts")))
+    columns = {name: null_of(name) for name in ENTRY_COLUMNS if name != "ts"}
     columns |= {"ts_imputed": F.lit(False), "format": F.lit(fmt.name)} | found
-    columns["ts"] = F.col("_ts")
+    columns.setdefault("ts", F.col("_ts"))
     return df.select(
         "file", "line_id",
         *[columns[name].cast(_TYPES[name]).alias(name) for name in ENTRY_COLUMNS],

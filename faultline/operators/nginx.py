@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.clock import bracket_clock, instant
+from faultline.functions.clock import CLOCK_PARTS, bracket_clock
 from faultline.functions.levels import http_level, normalize_level
-from faultline.functions.text import captures, matched, part, strip
+from faultline.functions.text import captures, part, strip
 from faultline.operators.lineformat import LineFormat
 
 _CLOCK, _N, _CLOCK_OUT = bracket_clock(2)
@@ -19,9 +19,9 @@ _ACCESS_TEXT = rf'(\S+) \S+ \S+ \[{_CLOCK}\] "(\S+) (\S+) HTTP/\d\.\d" (\d{{3}})
 _ERROR_TEXT = r"(\d{4})/(\d{2})/(\d{2}) (\d{2}:\d{2}:\d{2}) \[(\w+)\]"
 _PATTERN = rf"^(?:{_ACCESS_TEXT}|{_ERROR_TEXT}).*$"
 _OUTPUTS = [
-    "$1",
     *[f"{clock}${_ERROR + i}" for i, clock in enumerate(_CLOCK_OUT[:4])],
     _CLOCK_OUT[4],
+    "$1",
     *[f"${_METHOD + i}" for i in range(4)],
     f"${_ERROR + 4}",
 ]
@@ -46,8 +46,8 @@ class Nginx(LineFormat):
         return captures(line, _PATTERN, _OUTPUTS)
 
     def entry(self, line: Column, first: Column, second: Column | None) -> dict[str, Column]:
-        ip, year, month, day, hms, zone, method, url, status_text, size, word = (
-            part(first, i) for i in range(len(_OUTPUTS))
+        ip, method, url, status_text, size, word = (
+            part(first, i) for i in range(CLOCK_PARTS, len(_OUTPUTS))
         )
         access = status_text != ""
         status = status_text.try_cast("int")
@@ -59,8 +59,6 @@ class Nginx(LineFormat):
 
         size = if_access(size)
         return {
-            "matched": matched(first),
-            "ts": instant(year, month, day, hms, zone),
             "level": F.when(access, http_level(status)).otherwise(normalize_level(word)),
             "message": F.when(
                 access, F.concat(method, F.lit(" "), url, F.lit(" - "), status_text)

@@ -23,7 +23,7 @@ BROADCAST_FILES = 100_000
 
 
 def builtin_formats(compat: bool = True) -> dict[str, LineFormat]:
-    formats = (Nginx(compat), HAProxy(), Syslog(compat), Dmesg())
+    formats: tuple[LineFormat, ...] = (Nginx(compat), HAProxy(), Syslog(compat), Dmesg())
     return {fmt.name: fmt for fmt in formats}
 
 
@@ -45,14 +45,15 @@ def parse_mixed(lines: DataFrame, compat: bool = True) -> ParsedLines:
     Lines of unknown format are quarantined as such.
     """
     formats = builtin_formats(compat)
-    name = F.col("format")
-    df = lines.withColumn("_line", strip(F.col("value")))
-    line = F.col("_line")
+    name, line, kind = F.col("format"), F.col("_line"), F.col("_kind")
+    kinds = {key: i for i, key in enumerate(formats)}
+    number = F.coalesce(*[F.when(name == key, i) for key, i in kinds.items()])
+    df = lines.withColumns({"_line": strip(F.col("value")), "_kind": number})
 
     def pick(values: dict[str, Column]) -> Column:
-        chain = None
+        chain = F
         for key, value in values.items():
-            chain = F.when(name == key, value) if chain is None else chain.when(name == key, value)
+            chain = chain.when(kind == kinds[key], value)
         return chain
 
     df = bind(df, "_first", pick({n: f.first(line) for n, f in formats.items()}))
@@ -60,18 +61,21 @@ def parse_mixed(lines: DataFrame, compat: bool = True) -> ParsedLines:
     seconds = {n: f.second(line, first) for n, f in formats.items()}
     df = bind(df, "_second", pick({n: s for n, s in seconds.items() if s is not None}))
     second = F.col("_second")
+    for fmt in formats.values():
+        for level in fmt.derived(line, first, second):
+            df = df.withColumns({c: pick({fmt.name: v}) for c, v in level.items()})
+    # The clock sits in the same place in the captures of all formats.
+    ts = LineFormat().timestamp(first, second)
+    if not compat:
+        native = formats["syslog"].timestamp(first, second)
+        ts = pick({"syslog": native}).otherwise(ts)
+    df = bind(df, "_ts", ts)
     found = {n: f.entry(line, first, second) for n, f in formats.items()}
-    df = bind(df, "_ts", pick({n: e["ts"] for n, e in found.items()}))
-
-    reasons = {
-        n: e["reason"] if "reason" in e else failure(e["matched"], F.col("_ts"))
-        for n, e in found.items()
-    }
-    known = name.isin(*formats)
+    own_reasons = {n: e.pop("reason") for n, e in found.items() if "reason" in e}
     reason = (
         F.when(line == "", BLANK)
-        .when(known, pick(reasons))
-        .otherwise(UNKNOWN_FORMAT)
+        .when(kind.isNull(), UNKNOWN_FORMAT)
+        .otherwise(pick(own_reasons).otherwise(failure(first, F.col("_ts"))))
     )
     columns = {}
     for column in ENTRY_COLUMNS:

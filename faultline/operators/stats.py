@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.formatting import fixed, level_bar, round_exact
+from faultline.functions.text import bind
 
 ERROR_TYPE_CHARS = 50
 TOP_ERRORS = 10
@@ -19,31 +20,42 @@ def _error_type() -> Column:
 
 
 def grouped_entries(entries: DataFrame) -> DataFrame:
-    """Counts by file, level and error type: the one pass over the entries that all statistics
-    share. Only errors keep their type, so the rest folds into a row per level before the shuffle.
+    """``file, level, error_type, g``: the one pass over the entries that all statistics share.
+
+    Only errors keep their type, so the rest folds into a row per level before the shuffle. The
+    measures are bound together as ``g``: statistics that use only some of them, or only the
+    errors, then still come from the same shuffle instead of parsing the lines once more.
     """
-    return entries.groupBy("file", "level", _error_type().alias("error_type")).agg(
+    has_address = F.col("ip_address") != ""
+    measures = entries.groupBy("file", "level", _error_type().alias("error_type")).agg(
         F.count(F.lit(1)).alias("count"),
+        F.count_if(F.col("level") == "ERROR").alias("errors"),
         F.min("line_id").alias("first_line"),
+        F.min(F.when(has_address, F.col("line_id"))).alias("first_address"),
         F.min("ts").alias("ts_min"),
         F.max("ts").alias("ts_max"),
     )
+    together = F.struct("count", "errors", "first_line", "first_address", "ts_min", "ts_max")
+    return bind(measures, "g", together).select("file", "level", "error_type", "g")
 
 
 def level_counts(grouped: DataFrame) -> DataFrame:
-    """``file, level, count, first_line, ts_min, ts_max``."""
+    """``file, level, count, first_line, first_address, ts_min, ts_max``."""
     return grouped.groupBy("file", "level").agg(
-        F.sum("count").alias("count"),
-        F.min("first_line").alias("first_line"),
-        F.min("ts_min").alias("ts_min"),
-        F.max("ts_max").alias("ts_max"),
+        F.sum("g.count").alias("count"),
+        F.min("g.first_line").alias("first_line"),
+        F.min("g.first_address").alias("first_address"),
+        F.min("g.ts_min").alias("ts_min"),
+        F.max("g.ts_max").alias("ts_max"),
     )
 
 
 def totals(levels: DataFrame) -> DataFrame:
-    """``file, total_lines, error_lines, warning_lines, error_rate, ts_min, ts_max``.
+    """``file, total_lines, error_lines, warning_lines, error_rate, level_counts, ts_min, ts_max,
+    file_format``.
 
-    Only ERROR counts as an error line; FATAL does not.
+    Only ERROR counts as an error line; FATAL does not. The format is the label reports show:
+    Nginx when the first entry has an address, else Syslog.
     """
     def of(level: str) -> Column:
         return F.sum(F.when(F.col("level") == level, F.col("count")).otherwise(0))
@@ -54,6 +66,7 @@ def totals(levels: DataFrame) -> DataFrame:
         of("WARN").alias("warning_lines"),
         F.min("ts_min").alias("ts_min"),
         F.max("ts_max").alias("ts_max"),
+        (F.min("first_address") == F.min("first_line")).alias("_addressed"),
         F.array_sort(
             F.collect_list(F.struct("first_line", F.col("level").alias("key"),
                                     F.col("count").alias("value")))
@@ -66,12 +79,16 @@ def totals(levels: DataFrame) -> DataFrame:
         round_exact(F.col("error_lines") / F.col("total_lines") * 100, 2).alias("error_rate"),
         F.map_from_entries(ordered).alias("level_counts"),
         "ts_min", "ts_max",
+        F.when(F.col("_addressed"), "Nginx").otherwise("Syslog").alias("file_format"),
     )
 
 
 def top_error_types(grouped: DataFrame, count: int = TOP_ERRORS) -> DataFrame:
     """``file, rank, error_type, count``: the most frequent error texts; ties by first line."""
-    types = grouped.filter(F.col("error_type").isNotNull())
+    types = grouped.filter(F.col("g.errors") > 0).select(
+        "file", "error_type", F.col("g.count").alias("count"),
+        F.col("g.first_line").alias("first_line"),
+    )
     order = Window.partitionBy("file").orderBy(F.desc("count"), "first_line")
     return (
         types.withColumn("rank", F.row_number().over(order))
@@ -81,7 +98,8 @@ def top_error_types(grouped: DataFrame, count: int = TOP_ERRORS) -> DataFrame:
 
 
 def log_statistics(entries: DataFrame) -> DataFrame:
-    """LOG_STATS: one row per file that has entries, as ``source``."""
+    """One row per file that has entries, as ``source``: counts, error rate, ``level_counts`` (map in
+    order of first appearance), ``error_types`` (array, most frequent first), time range, label."""
     grouped = grouped_entries(entries)
     top = top_error_types(grouped).groupBy("file").agg(
         F.array_sort(F.collect_list(F.struct("rank", "error_type", "count"))).alias("_top")
@@ -95,7 +113,7 @@ def log_statistics(entries: DataFrame) -> DataFrame:
             F.coalesce(
                 types, F.array().cast("array<struct<error_type:string,count:bigint>>")
             ).alias("error_types"),
-            "ts_min", "ts_max",
+            "ts_min", "ts_max", "file_format",
         )
     )
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.clock import ASSUMED_YEAR, HMS, instant
+from faultline.functions.clock import ASSUMED_YEAR, CLOCK_PARTS, HMS
 from faultline.functions.levels import syslog_level
-from faultline.functions.text import captures, matched, part
+from faultline.functions.text import captures, part
 from faultline.operators.lineformat import LineFormat
 
 _OLD = r"(\w+) (\d+) (\d{2}:\d{2}:\d{2}) (\S+) (\S+): (.+)"
@@ -20,8 +20,10 @@ _NEW_TIME = (
 )
 _NEW = rf"<\d+>\d+ (?:{_NEW_TIME}) (\S+) (\S+) \d+ - - (.+)"
 _PATTERN = rf"^(?:{_OLD}|{_NEW})$"
-# year, month, day, time, fraction with offset, unread time, host, process, message
-_OUTPUTS = ["$7$14", "$1$8$13", "$2$9$12", "$3$10$15", "$11", "$16", "$4$17", "$5$18", "$6$19"]
+# year, month, day, time, no zone; then host, process, message, fraction with offset, unread time
+_OUTPUTS = [
+    "$7$14", "$1$8$13", "$2$9$12", "$3$10$15", "", "$4$17", "$5$18", "$6$19", "$11", "$16",
+]
 
 HEAD_PATTERNS = (
     r"^\w+ \d+ \d{2}:\d{2}:\d{2} \S+ \S+: .+",
@@ -42,21 +44,26 @@ class Syslog(LineFormat):
     def first(self, line: Column) -> Column:
         return captures(line, _PATTERN, _OUTPUTS)
 
-    def entry(self, line: Column, first: Column, second: Column | None) -> dict[str, Column]:
-        year, month, day, hms, tail, unread, host, process, message = (
+    def derived(self, line: Column, first: Column, second: Column | None) -> list[dict[str, Column]]:
+        return [{"_syslog_text": F.lower(part(first, CLOCK_PARTS + 2))}]
+
+    def timestamp(self, first: Column, second: Column | None) -> Column:
+        ts = super().timestamp(first, second)
+        if self.compat:
+            return ts
+        year, month, day, hms, _, _, _, _, tail, unread = (
             part(first, i) for i in range(len(_OUTPUTS))
         )
-        ts = instant(year, month, day, hms, assume_year=self.assume_year)
-        if not self.compat:
-            exact = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), hms, tail)
-            ts = F.coalesce(
-                F.when(tail != "", exact.try_cast("timestamp")), ts,
-                F.when(unread.rlike(r"^\d{4}-"), unread.try_cast("timestamp")),
-            )
+        exact = F.concat(year, F.lit("-"), month, F.lit("-"), day, F.lit(" "), hms, tail)
+        return F.coalesce(
+            F.when(tail != "", exact.try_cast("timestamp")), ts,
+            F.when(unread.rlike(r"^\d{4}-"), unread.try_cast("timestamp")),
+        )
+
+    def entry(self, line: Column, first: Column, second: Column | None) -> dict[str, Column]:
+        host, process, message = (part(first, CLOCK_PARTS + i) for i in range(3))
         return {
-            "matched": matched(first),
-            "ts": ts,
-            "level": syslog_level(F.lower(message)),
+            "level": syslog_level(F.col("_syslog_text")),
             "message": message,
             "fields": F.create_map(F.lit("host"), host),
             "process": process,

@@ -99,13 +99,14 @@ class JsonLines(LineFormat):
         members = F.from_json(line, ", ".join(f"`{k}` string" for k in self.keys))
         return F.when(matched(first), members)
 
+    def timestamp(self, first: Column, second: Column | None) -> Column:
+        return second.getField(self.keys[0]).try_cast("timestamp")
+
     def entry(self, line: Column, first: Column, second: Column | None) -> dict[str, Column]:
-        time, level, message = (second.getField(k) for k in self.keys)
-        ts = time.try_cast("timestamp")
+        level, message = (second.getField(k) for k in self.keys[1:])
         return {
-            "ts": ts,
             "reason": F.when(~matched(first), NO_MATCH),
-            "ts_imputed": ts.isNull(),
+            "ts_imputed": F.col("_ts").isNull(),
             "level": F.coalesce(normalize_level(level), F.lit("INFO")),
             "message": F.coalesce(message, F.lit("")),
             "fields": F.create_map().cast("map<string,string>"),

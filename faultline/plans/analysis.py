@@ -6,9 +6,8 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from faultline.operators.detect import report_format_label
+from faultline.operators.lineformat import ParsedLines
 from faultline.operators.parse import parse_logs
 from faultline.operators.prompt import prompt_context
 from faultline.operators.stats import log_statistics
@@ -20,31 +19,25 @@ class LogAnalysis(NamedTuple):
     quarantine: DataFrame
     statistics: DataFrame
     prompts: DataFrame
-    #: ``source, file_format, file_size`` for reports.
-    labels: DataFrame
 
 
-def analyze_lines(
-    lines: DataFrame,
-    fmt: str | None = None,
-    heads: DataFrame | None = None,
-    files: int | None = None,
-    compat: bool = True,
-    sizes: DataFrame | None = None,
-) -> LogAnalysis:
-    """Everything about the given lines, lazily. Nothing runs until a result is used.
+def analyze_entries(parsed: ParsedLines) -> LogAnalysis:
+    """Statistics and requests for parsed lines. Nothing runs until a result is used."""
+    statistics = log_statistics(parsed.entries)
+    return LogAnalysis(*parsed, statistics, prompt_context(statistics, parsed.entries))
+
+
+def stored(spark: SparkSession, parsed: ParsedLines, folder: str) -> ParsedLines:
+    """The parsed lines written as parquet below ``folder``, and read back from there.
 
-    ``heads``, ``files`` and ``sizes`` (``file, file_size``) may come from the file listing.
+    Statistics and error samples then read the columns they need instead of parsing again.
     """
-    entries, quarantine = parse_logs(lines, fmt, heads, files, compat)
-    statistics = log_statistics(entries)
-    labels = report_format_label(entries)
-    if sizes is None:
-        labels = labels.withColumn("file_size", F.lit(0).cast("bigint"))
-    else:
-        labels = labels.join(sizes, "file", "left")
-    labels = labels.withColumnRenamed("file", "source")
-    return LogAnalysis(entries, quarantine, statistics, prompt_context(statistics, entries), labels)
+    tables = []
+    for name, table in zip(ParsedLines._fields, parsed):
+        path = f"{folder.rstrip('/')}/{name}"
+        table.write.mode("overwrite").parquet(path)
+        tables.append(spark.read.schema(table.schema).parquet(path))
+    return ParsedLines(*tables)
 
 
 def analyze_files(
@@ -53,9 +46,21 @@ def analyze_files(
     fmt: str | None = None,
     max_size: int | None = None,
     compat: bool = True,
+    store: str | None = None,
 ) -> LogAnalysis:
-    """:func:`analyze_lines` over log files. Detection reads only the head of each file."""
+    """Detect, parse and analyze log files.
+
+    Detection reads only the head of each file. With ``store``, a folder all executors share, the
+    lines are parsed once and kept there; without it every result parses the lines for itself.
+    """
     lines = read_lines(spark, paths, max_size)
     heads = None if fmt else read_heads(spark, paths)
-    sizes = list_files(spark, paths)
-    return analyze_lines(lines, fmt, heads, count_files(lines), compat, sizes)
+    parsed = parse_logs(lines, fmt, heads, count_files(lines), compat)
+    if store is not None:
+        parsed = stored(spark, parsed, store)
+    return analyze_entries(parsed)
+
+
+def file_sizes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``source, file_size`` for reports, from the file listing."""
+    return list_files(spark, paths).withColumnRenamed("file", "source")

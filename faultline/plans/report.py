@@ -131,20 +131,19 @@ def _analysis_lines() -> Column:
 def markdown_reports(
     stats: DataFrame,
     analyses: DataFrame,
-    labels: DataFrame,
+    sizes: DataFrame,
     as_of: Column,
     footer: str = FOOTER,
 ) -> DataFrame:
     """``source, report``: one document per source that has both statistics and an analysis.
 
-    ``labels`` has ``source, file_format, file_size``; sources missing there are of unknown format
-    and empty. ``as_of`` is the time the report states.
+    ``sizes`` has ``source, file_size``; sources missing there count as empty. ``as_of`` is the time
+    the report states.
     """
     generated = F.date_format(as_of, "yyyy-MM-dd HH:mm:ss")
     data = (
         stats.join(analyses, "source")
-        .join(labels.select("source", "file_format", "file_size"), "source", "left")
-        .withColumn("file_format", F.coalesce("file_format", F.lit("unknown")))
+        .join(sizes.select("source", "file_size"), "source", "left")
         .withColumn("file_size", F.coalesce("file_size", F.lit(0)))
     )
     lines = F.concat(

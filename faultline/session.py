@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Recording the Python line of every Column call costs more than planning itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # A skewed join may sit below an aggregation on the same key: let AQE add a shuffle for it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }

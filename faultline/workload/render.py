@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.sources.lines import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -16,8 +18,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with ``sec`` (time in whole seconds), a log file name and a line number."""
-    return table(spark, folder, "events").select(
-        "*",
+    return spread(table(spark, folder, "events")).select(
+        "event_id", "user_id", "event_type", "value", "ts",
         F.date_trunc("second", F.col("ts").cast("timestamp")).alias("sec"),
         F.concat(F.lit("app-"), (F.col("user_id") % 20).cast("string"), F.lit(".log")).alias("file"),
         F.col("event_id").alias("line_id"),

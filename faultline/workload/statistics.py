@@ -274,10 +274,8 @@ FROM tot
 """)
 def markdown_report(spark, folder) -> DataFrame:
     stats = log_statistics(_access(spark, folder))
-    labels = stats.select(
-        "source", F.lit("Nginx").alias("file_format"), (F.col("total_lines") * 100).alias("file_size")
-    )
-    return markdown_reports(stats, analyses(stats), labels, F.lit(AS_OF))
+    sizes = stats.select("source", (F.col("total_lines") * 100).alias("file_size"))
+    return markdown_reports(stats, analyses(stats), sizes, F.lit(AS_OF))
 
 
 @query("risk_labels", "R2", """
