@@ -101,12 +101,13 @@ def log_statistics(entries: DataFrame) -> DataFrame:
     """One row per file that has entries, as ``source``: counts, error rate, ``level_counts`` (map in
     order of first appearance), ``error_types`` (array, most frequent first), time range, label."""
     grouped = grouped_entries(entries)
-    top = top_error_types(grouped).groupBy("file").agg(
+    top = top_error_types(grouped).groupBy(F.col("file").alias("_file")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "error_type", "count"))).alias("_top")
     )
     types = F.transform("_top", lambda x: F.struct(x["error_type"], x["count"]))
     return (
-        totals(level_counts(grouped)).join(top, "file", "left")
+        # An ordinary equality would filter one side for NULL, and its shuffle would not be shared.
+        totals(level_counts(grouped)).join(top, F.col("file").eqNullSafe(F.col("_file")), "left")
         .select(
             F.col("file").alias("source"),
             "total_lines", "error_lines", "warning_lines", "error_rate", "level_counts",

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.text import bind
+
 #: A document of up to this many lines is one row; a longer one comes in parts of that size.
 PART_BITS = 12
 
@@ -23,13 +25,6 @@ class Section:
     gap: bool = False
 
 
-def _rows(df: DataFrame, key: str, section: int, pos: Column, line: Column) -> DataFrame:
-    return df.select(
-        F.col(key), F.lit(section).alias("_section"), pos.cast("bigint").alias("_pos"),
-        line.alias("_line"),
-    )
-
-
 def assemble(
     key: str,
     sections: Sequence[Section],
@@ -44,31 +39,67 @@ def assemble(
     parts of a key by newlines gives its whole text; a part holds at most ``2**part_bits`` lines of
     a section, so that no task has to hold a document of unbounded length.
     """
-    pieces, counts = [], []
-    for i, section in enumerate(sections, 1):
-        lines = _rows(section.lines, key, 3 * i, F.col("pos"), F.col("line"))
-        present = lines.groupBy(key).agg(F.count(F.lit(1)).alias("_lines"))
-        pieces.append(lines)
-        counts.append(present)
-        # Title and closing blank, one row each per key.
-        if section.title is not None:
-            title = [section.title, ""] if section.gap else [section.title]
-            pieces.append(_rows(present, key, 3 * i - 1, F.lit(0), F.lit("\n".join(title))))
-        pieces.append(_rows(present, key, 3 * i + 1, F.lit(0), F.lit("")))
-    if keys is not None:
-        counts.append(keys.select(key, F.lit(0).cast("bigint").alias("_lines")))
-    lengths = reduce(DataFrame.unionByName, counts).groupBy(key).agg(
-        F.sum("_lines").alias("_length")
+    rows = reduce(DataFrame.unionByName, [
+        section.lines.select(
+            key, F.lit(i).alias("_section"), F.shiftright("pos", part_bits).alias("_page"),
+            F.col("pos").alias("_pos"), F.col("line").alias("_line"),
+        )
+        for i, section in enumerate(sections)
+    ])
+    # A page holds the lines of a section whose positions share their upper bits. Text and count
+    # are bound together, so that the counts below come from this same shuffle.
+    pages = rows.groupBy(key, "_section", "_page").agg(
+        F.array_sort(F.collect_list(F.struct("_pos", "_line"))).alias("_lines")
     )
-    if opening:
-        pieces.append(_rows(lengths, key, 0, F.lit(0), F.lit("\n".join(opening))))
-    rows = reduce(DataFrame.unionByName, pieces)
+    page = F.struct(
+        F.array_join("_lines._line", "\n").alias("text"), F.size("_lines").alias("lines")
+    )
+    pages = bind(pages, "_p", page).select(key, "_section", "_page", "_p")
+    count = F.sum(F.when(F.col("_p.text").isNotNull(), F.col("_p.lines")))
+    present = pages.groupBy(key, "_section").agg(count.alias("_length"))
+    lengths = present.groupBy(key).agg(F.sum("_length").alias("_length"))
+    if keys is not None:
+        lengths = lengths.unionByName(
+            keys.select(key, F.lit(0).cast("bigint").alias("_length"))
+        ).groupBy(key).agg(F.sum("_length").alias("_length"))
 
-    page = F.shiftleft(F.col("_section").cast("bigint"), 57) + F.shiftright("_pos", part_bits)
-    parts = (
-        rows.join(lengths, key)
-        .withColumn("part", F.when(F.col("_length") > (1 << part_bits), page).otherwise(0))
+    # Each section has three places in the order: title, pages and closing blank.
+    place = F.col("_section") * 3 + 2
+    first = F.lit(0).cast("bigint")
+    pieces = [
+        pages.select(
+            key, place.alias("_place"), F.col("_page").cast("bigint").alias("_page"),
+            F.col("_p.text").alias("_text"),
+        ),
+        present.select(
+            key, (place + 1).alias("_place"), first.alias("_page"), F.lit("").alias("_text")
+        ),
+    ]
+    titled = {
+        i: section.title + ("\n" if section.gap else "")
+        for i, section in enumerate(sections) if section.title is not None
+    }
+    if titled:
+        title = F.coalesce(*[F.when(F.col("_section") == i, t) for i, t in titled.items()])
+        pieces.append(
+            present.filter(F.col("_section").isin(*titled)).select(
+                key, (place - 1).alias("_place"), first.alias("_page"), title.alias("_text")
+            )
+        )
+    if opening:
+        pieces.append(
+            lengths.select(
+                key, F.lit(0).alias("_place"), first.alias("_page"),
+                F.lit("\n".join(opening)).alias("_text"),
+            )
+        )
+    whole = reduce(DataFrame.unionByName, pieces)
+    length = lengths.select(F.col(key).alias("_key"), "_length")
+    part = F.shiftleft(F.col("_place").cast("bigint"), 57) + F.col("_page")
+    return (
+        whole.join(length, F.col(key).eqNullSafe(F.col("_key")))
+        .withColumn("part", F.when(F.col("_length") > (1 << part_bits), part).otherwise(0))
         .groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("_section", "_pos", "_line"))).alias("_rows"))
+        .agg(F.array_sort(F.collect_list(F.struct("_place", "_page", "_text"))).alias("_texts"))
+        .select(key, "part", F.array_join("_texts._text", "\n").alias("text"))
     )
-    return parts.select(key, "part", F.array_join("_rows._line", "\n").alias("text"))

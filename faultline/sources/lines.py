@@ -42,7 +42,8 @@ def read_lines(
     """Lines of all files under ``paths`` with ``file, line_id, file_size, block_start, modified``.
 
     ``line_id`` is unique and increasing within a file. ``max_size`` leaves out larger files; the
-    default keeps all. Bytes that are not UTF-8 become U+FFFD. Compressed files cannot be split:
+    default keeps all. Bytes that are not UTF-8 read
+    as U+FFFD. Compressed files cannot be split:
     use :func:`spread` before heavy work.
     """
     for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
@@ -78,9 +79,11 @@ def file_year(modified: Column | str = "modified") -> Column:
 
 
 def replaced_bytes(lines: DataFrame) -> DataFrame:
-    """Per file, how many lines hold characters that replaced undecodable bytes."""
+    """Per file, how many lines hold undecodable bytes or characters that replaced such bytes."""
     return lines.groupBy("file").agg(
-        F.count_if(F.col("value").contains("�")).alias("undecodable_lines")
+        F.count_if(~F.is_valid_utf8("value") | F.col("value").contains("�")).alias(
+            "undecodable_lines"
+        )
     )
 
 
