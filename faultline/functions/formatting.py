@@ -98,3 +98,10 @@ def python_datetime(ts: Column) -> Column:
     return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(
         F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     )
+
+
+def iso_datetime(ts: Column | str) -> Column:
+    """``datetime.isoformat()``."""
+    fraction = F.date_format(ts, "SSSSSS")
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(fraction == "000000", whole).otherwise(F.concat(whole, F.lit("."), fraction))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.text import bind
+
 # Kinds of finding and the words that show them, in order
 FINDING_WORDS = {
     "timeout": ["timeout", "timed out", "超时"],
@@ -26,25 +28,22 @@ MODEL_EVIDENCE = "AI分析识别的可能原因"
 LEADING_CAUSES = 3
 
 
-def finding_array(output: Column) -> Column:
-    """``array<struct<kind,keyword>>``: per kind the first of its words that occurs in the text."""
-    lowered = F.lower(output)
-    found = []
-    for kind, words in FINDING_WORDS.items():
-        keyword = F.coalesce(*[F.when(lowered.contains(w.lower()), w) for w in words])
-        found.append(
-            F.when(
-                keyword.isNotNull(), F.struct(F.lit(kind).alias("kind"), keyword.alias("keyword"))
-            )
-        )
-    return F.array_compact(F.array(*found))
-
-
 def extract_findings(outputs: DataFrame, output: str = "output") -> DataFrame:
-    """One row per finding: the input's columns but ``output``, then ``kind, keyword, finding``."""
+    """One row per finding: the input's columns but ``output``, then ``kind, keyword, finding``.
+
+    Per kind, the first of its words that occurs in the text counts; case does not matter.
+    """
     others = [c for c in outputs.columns if c != output]
-    rows = outputs.select(*others, F.explode(finding_array(F.col(output))).alias("_f"))
-    return rows.select(
+    lowered = F.col("_lowered")
+    found = F.array(*[
+        F.struct(
+            F.lit(kind).alias("kind"),
+            F.coalesce(*[F.when(lowered.contains(w.lower()), w) for w in words]).alias("keyword"),
+        )
+        for kind, words in FINDING_WORDS.items()
+    ])
+    rows = bind(outputs, "_lowered", F.lower(output)).select(*others, F.explode(found).alias("_f"))
+    return rows.filter(F.col("_f.keyword").isNotNull()).select(
         *others, "_f.kind", "_f.keyword",
         F.concat(F.lit("检测到"), "_f.kind", F.lit(": "), "_f.keyword").alias("finding"),
     )

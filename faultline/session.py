@@ -28,6 +28,13 @@ def build_session(app: str = "faultline", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """The settings above for a session that was started elsewhere, where they can still change."""
+    for key, value in SETTINGS.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+
+
 def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 

@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.functions.formatting import iso_datetime
 from faultline.operators.audit import query_audit
 from faultline.schema import AUDIT
 
 EXPORT_LIMIT = 10_000
 
 
-def _iso(timestamp: str) -> Column:
-    """``datetime.isoformat()``."""
-    fraction = F.date_format(timestamp, "SSSSSS")
-    whole = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(fraction == "000000", whole).otherwise(F.concat(whole, F.lit("."), fraction))
-
-
 def append_audit(entries: DataFrame, folder: str) -> None:
     """Append entries as JSON lines, one folder per day of writing (``date=YYYY-MM-DD``)."""
     (
         entries.select(*AUDIT.fieldNames())
         .withColumn("date", F.to_date("timestamp"))
-        .withColumn("timestamp", _iso("timestamp"))
+        .withColumn("timestamp", iso_datetime("timestamp"))
         .write.mode("append").partitionBy("date")
         .option("ignoreNullFields", "false")
         .json(folder)
@@ -48,7 +42,7 @@ def audit_export_rows(
     details = F.coalesce(F.to_json("details"), F.lit("{}"))
     return found.select(
         *[
-            _iso("timestamp").alias(name) if name == "timestamp"
+            iso_datetime("timestamp").alias(name) if name == "timestamp"
             else details.alias(name) if name == "details"
             else F.col(name)
             for name in AUDIT.fieldNames()
@@ -63,7 +57,7 @@ def export_audit(
     """Write an export, newest first: JSON objects, or CSV with a header."""
     if fmt == "json":
         found = query_audit(entries, start=start, end=end, limit=limit)
-        rows = found.select(*AUDIT.fieldNames()).withColumn("timestamp", _iso("timestamp"))
+        rows = found.select(*AUDIT.fieldNames()).withColumn("timestamp", iso_datetime("timestamp"))
         rows.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
     elif fmt == "csv":
         rows = audit_export_rows(entries, start, end, limit)

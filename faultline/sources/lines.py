@@ -55,7 +55,10 @@ def read_lines(
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = reader.text(paths)
     meta = F.col("_metadata")
-    lines = raw.select(
+    if max_size is not None:
+        # Before the line numbers, so that the files themselves are left out of the scan.
+        raw = raw.filter(meta["file_size"] <= max_size)
+    return raw.select(
         meta["file_path"].alias("file"),
         _line_id(meta["file_block_start"]).alias("line_id"),
         "value",
@@ -63,7 +66,6 @@ def read_lines(
         meta["file_block_start"].alias("block_start"),
         meta["file_modification_time"].alias("modified"),
     )
-    return lines if max_size is None else lines.filter(F.col("file_size") <= max_size)
 
 
 def read_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

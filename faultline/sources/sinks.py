@@ -20,11 +20,17 @@ def write_reports(reports: DataFrame, folder: str, text: str = "report", fmt: st
 
 
 def write_session_results(results: DataFrame, folder: str) -> None:
-    """Command results as JSON lines, one folder per session."""
-    with_success(results).write.mode("overwrite").partitionBy("session_id").json(folder)
+    """Command results as JSON lines."""
+    with_success(results).write.mode("overwrite").json(folder)
 
 
-def write_entries(entries: DataFrame, folder: str) -> None:
-    """Parsed entries as parquet, by format and day, so that later queries read what they need."""
-    day = F.to_date("ts").alias("day")
-    entries.select("*", day).write.mode("append").partitionBy("format", "day").parquet(folder)
+def write_entries(entries: DataFrame, folder: str, rebalance: bool = False) -> None:
+    """Parsed entries as parquet, by format and day, so that later queries read what they need.
+
+    Log files are mostly in time order, so a task meets few days and needs no shuffle. For others,
+    ``rebalance`` brings each day together in files of even size.
+    """
+    dated = entries.withColumn("day", F.to_date("ts"))
+    if rebalance:
+        dated = dated.hint("rebalance", "format", "day")
+    dated.write.mode("append").partitionBy("format", "day").parquet(folder)

@@ -21,6 +21,7 @@ from faultline.operators.sessions import (
     stop_on_error, successful_results,
 )
 from faultline.plans.report import diagnosis_reports
+from faultline.sources.lines import spread
 from faultline.functions.text import bind
 from faultline.workload import render
 from faultline.workload.registry import query
@@ -148,7 +149,7 @@ def _outputs(spark, folder) -> DataFrame:
         "rtt latency high", "0% packet loss", "DNS timeout, time=3 ms", "",
     ]
     note = F.get(F.array(*[F.lit(n) for n in notes]), (F.col("doc_id") % 7).cast("int"))
-    return render.table(spark, folder, "documents").select(
+    return spread(render.table(spark, folder, "documents")).select(
         F.col("source").alias("session_id"), F.col("doc_id").alias("seq"),
         text(note, "\n", F.col("text")).alias("output"),
     )

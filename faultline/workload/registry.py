@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.session import apply_settings
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -33,11 +36,16 @@ WITH ev AS (
 def query(name: str, operators: str, sql: str | None = None, with_events: bool = True):
     """Register a query; ``operators`` are the survey ids it exercises."""
     def register(run: Run) -> Run:
+        @wraps(run)
+        def prepared(spark: SparkSession, folder: str) -> DataFrame:
+            apply_settings(spark)
+            return run(spark, folder)
+
         text = sql
         if text is not None and with_events:
             tail = text.strip()
             text = EVENTS_SQL.strip() + (", " + tail[5:] if tail.startswith("WITH ") else "\n" + tail)
-        QUERIES[name] = Query(name, run, tuple(operators.split()), text)
+        QUERIES[name] = Query(name, prepared, tuple(operators.split()), text)
         return run
 
     return register
