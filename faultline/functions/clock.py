@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,6 +60,13 @@ def instant(
     ).try_cast("timestamp")
 
 
+def moment(when: datetime) -> Column:
+    """A point in time as a literal; without an offset it is UTC, whatever the machine's zone."""
+    if when.tzinfo is None:
+        when = when.replace(tzinfo=timezone.utc)
+    return F.lit(when.isoformat(sep=" ")).cast("timestamp")
+
+
 def bracket_clock(first: int) -> tuple[str, int, list[str]]:
     """Pattern of the text inside ``[...]`` whose groups start at ``first``.
 
@@ -83,9 +91,8 @@ def extract_timestamp(text: Column, assume_year: int | Column = ASSUMED_YEAR) ->
     """Timestamp of a text in one of the four accepted clock shapes, else NULL."""
     pattern, _, outputs = bracket_clock(1)
     parts = captures(text, f"^{pattern}$", outputs)
-    return F.when(
-        matched(parts), instant(part(parts, 0), part(parts, 1), part(parts, 2), part(parts, 3), part(parts, 4), assume_year)
-    )
+    clock = [part(parts, i) for i in range(CLOCK_PARTS)]
+    return F.when(matched(parts), instant(*clock, assume_year=assume_year))
 
 
 class UnsupportedFormat(ValueError):

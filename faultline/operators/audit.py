@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.clock import moment
 from faultline.functions.text import text_map
 from faultline.schema import AUDIT
 
@@ -33,11 +34,14 @@ def filter_audit(
     host: str | None = None,
 ) -> DataFrame:
     """Entries that meet all given conditions; both time bounds are inclusive."""
+    def bound(time: datetime | Column) -> Column:
+        return moment(time) if isinstance(time, datetime) else time
+
     timestamp = F.col("timestamp")
     if start is not None:
-        entries = entries.filter(timestamp >= start)
+        entries = entries.filter(timestamp >= bound(start))
     if end is not None:
-        entries = entries.filter(timestamp <= end)
+        entries = entries.filter(timestamp <= bound(end))
     for name, value in (("action", action), ("result", result), ("host", host)):
         if value:
             entries = entries.filter(F.col(name) == value)

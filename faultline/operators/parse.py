@@ -108,6 +108,7 @@ def parse_logs(
     """Parse with the named format, or detect the format of every file first.
 
     ``heads`` may hold the first lines of each file, so that detection need not read ``lines``.
+    ``files`` is their number if known: with it the lines are not shuffled to learn their format.
     """
     if fmt is not None:
         formats = builtin_formats(compat)

@@ -47,14 +47,16 @@ def analyze_files(
     max_size: int | None = None,
     compat: bool = True,
     store: str | None = None,
+    open_heads: bool = True,
 ) -> LogAnalysis:
     """Detect, parse and analyze log files.
 
-    Detection reads only the head of each file. With ``store``, a folder all executors share, the
+    Detection opens each file for its first lines only; without ``open_heads``, for stores that
+    only Spark can read, it takes them from a scan. With ``store``, a folder all executors share, the
     lines are parsed once and kept there; without it every result parses the lines for itself.
     """
     lines = read_lines(spark, paths, max_size)
-    heads = None if fmt else read_heads(spark, paths)
+    heads = read_heads(spark, paths) if fmt is None and open_heads else None
     parsed = parse_logs(lines, fmt, heads, count_files(lines), compat)
     if store is not None:
         parsed = stored(spark, parsed, store)

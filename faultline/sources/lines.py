@@ -101,19 +101,21 @@ def read_heads(spark: SparkSession, paths: str | Sequence[str], count: int = 20)
     """The first ``count`` lines of each file, without scanning the rest of it.
 
     The listing comes from Spark (no content is read for it); each task then opens its files and
-    stops after ``count`` lines.
+    stops after ``count`` lines. The files are opened by pyarrow, which knows local, HDFS, S3 and
+    GCS paths; for other stores take the heads from the scanned lines.
     """
     files = list_files(spark, paths).select("file")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
+        import re
         from itertools import islice
 
         from pyarrow import fs
 
         for batch in batches:
             for uri in batch["file"]:
-                system, path = fs.FileSystem.from_uri(uri)
+                system, path = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
                 with system.open_input_stream(path, compression="detect") as raw:
                     text = io.TextIOWrapper(raw, encoding="utf-8", errors="replace")
                     found = [line.rstrip("\n") for line in islice(text, count)]
@@ -128,7 +130,8 @@ def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores, when the scan gives fewer tasks than the cluster has.
 
     That is so for compressed files, which cannot be split, and for small inputs. A scan with
-    enough tasks is left alone and not shuffled.
+    enough tasks is left alone and not shuffled. ``df`` has to be a plain scan: asking for the
+    number of tasks would run the shuffles of anything else.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.clock import moment
+from faultline.functions.text import bind
 from faultline.operators.findings import (
     extract_findings, findings_to_facts, initial_facts, initial_hypotheses,
 )
@@ -22,7 +24,6 @@ from faultline.operators.sessions import (
 )
 from faultline.plans.report import diagnosis_reports
 from faultline.sources.lines import spread
-from faultline.functions.text import bind
 from faultline.workload import render
 from faultline.workload.registry import query
 from faultline.workload.render import text
@@ -431,6 +432,6 @@ def diagnosis_report(spark, folder) -> DataFrame:
         F.lit(0.85).alias("confidence"),
         F.array(F.lit("路由"), F.lit("网卡")).alias("possible_causes"),
     )
-    reports = diagnosis_reports(sessions, known, state, _executed(spark, folder), F.lit(AS_OF))
+    reports = diagnosis_reports(sessions, known, state, _executed(spark, folder), moment(AS_OF))
     # The text ends with the blank line that closes its last section.
     return reports.select("session_id", "part", F.concat("text", F.lit("\n")).alias("text"))

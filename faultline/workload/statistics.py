@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.clock import moment
 from faultline.functions.formatting import format_duration, format_size, risk_label
 from faultline.operators.lineformat import parse_as
 from faultline.operators.nginx import Nginx
@@ -22,7 +23,7 @@ from faultline.workload.parsing import (
     HTTP_LEVEL_SQL, MESSAGE_LEVEL_SQL, MESSAGE_SQL, METHOD_SQL, STATUS_SQL,
 )
 from faultline.workload.registry import query
-from faultline.workload.render import lines, text
+from faultline.workload.render import lines
 
 AS_OF = datetime(2024, 2, 1, 12, 0, 0)
 
@@ -275,7 +276,7 @@ FROM tot
 def markdown_report(spark, folder) -> DataFrame:
     stats = log_statistics(_access(spark, folder))
     sizes = stats.select("source", (F.col("total_lines") * 100).alias("file_size"))
-    return markdown_reports(stats, analyses(stats), sizes, F.lit(AS_OF))
+    return markdown_reports(stats, analyses(stats), sizes, moment(AS_OF))
 
 
 @query("risk_labels", "R2", """
