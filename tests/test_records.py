@@ -90,11 +90,12 @@ def test_audit_store_and_export(spark, audit, tmp_path):
     assert back.count() == 5
     first = [r for r in back.collect() if r["id"] == "4"][0]
     assert (first["timestamp"], first["error_message"]) == (T0 + timedelta(hours=4), 'say "hi",\nbye')
-    raw = next((tmp_path / "store").glob("date=2026-02-24/*.json")).read_text()
+    raw = "".join(f.read_text() for f in (tmp_path / "store").glob("date=2026-02-24/*.json"))
     assert '"timestamp":"2026-02-24T1' in raw and '"command":null' in raw
 
     export_audit(audit, str(tmp_path / "csv"), "csv")
-    with open(next((tmp_path / "csv").glob("*.csv")), newline="") as f:
+    (path,) = (tmp_path / "csv").glob("*.csv")
+    with open(path, newline="") as f:
         rows = list(csv.DictReader(f))
     assert [r["id"] for r in rows] == ["4", "2", "3", "1"]
     assert rows[0]["error_message"] == 'say "hi",\nbye'
