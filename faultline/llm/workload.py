@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, chunks, packing, shards
+from faultline.llm import chat, chunks, licences, packing, shards
 from faultline.llm.staging import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,8 +83,8 @@ WITH crc AS (
          xor(4294967295, list_reduce(
            list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(hx) // 2),
              lambda k: CAST('0x' || hx[2 * k + 1:2 * k + 2] AS BIGINT))),
-           lambda a, b: xor(a // 256, (SELECT t FROM crc)[CAST(xor(a % 256, b) AS INTEGER) + 1]))) AS text_crc32
-  FROM d
+           lambda a, b: xor(a // 256, t[CAST(xor(a % 256, b) AS INTEGER) + 1]))) AS text_crc32
+  FROM d CROSS JOIN crc
 ), r AS (
   SELECT *, (2.0::DOUBLE * row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, size, text_crc32) - 1)
             / (2 * count(*) OVER (PARTITION BY stratum)) AS f,
@@ -128,11 +128,19 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id,
 FROM d
 """
 
+def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and templates in all documents."""
+    return licences.scan(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op5_chat_format": op5_chat_format,
     "op6_shards": op6_shards,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_licences": op10_licences,
 }
 
 SQL: dict[str, str] = {
