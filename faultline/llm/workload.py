@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, chunks, licences, packing, shards
+from faultline.llm import chat, chunks, licences, packing, setjoin, shards
 from faultline.llm.staging import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +128,11 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id,
 FROM d
 """
 
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes and links of all documents by the similarity of their five-word shingles."""
+    return setjoin.join(table(spark, folder, "documents"))
+
+
 def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     """Licence phrases and templates in all documents."""
     return licences.scan(table(spark, folder, "documents")).select(
@@ -140,6 +145,7 @@ QUERIES: dict[str, Query] = {
     "op6_shards": op6_shards,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_ngram_join": op9_ngram_join,
     "op10_licences": op10_licences,
 }
 
