@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, chunks, decontaminate, licences, packing, setjoin, shards
+from faultline.llm import chat, chunks, decontaminate, licences, packing, quality, setjoin, shards
 from faultline.llm.staging import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade and tail probability of all documents, and whether they are kept."""
+    docs = table(spark, folder, "documents")
+    model = quality.train(docs, table(spark, folder, "labels"), quality.GRADE, quality.GRADES)
+    return quality.grade(docs, model).select("doc_id", "expected_grade", "tail", "kept")
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other values."""
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -146,6 +153,7 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat_format": op5_chat_format,
     "op6_shards": op6_shards,
