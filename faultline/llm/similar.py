@@ -26,11 +26,11 @@ SKETCH = 64
 BLOCK_SETS = 1024
 BLOCK_BYTES = 16 << 20
 
-_FACTORS = words.mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+_FACTORS = words.mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
 def minima(h: np.ndarray, offsets: np.ndarray, count: int = SKETCH) -> np.ndarray:
-    """For every text ``count`` minima of its hashes under different orders; all ones for none."""
+    """For every text ``count`` minima, up to 256, of its hashes under different orders; all ones for none."""
     out = np.full((len(offsets) - 1, count), np.iinfo(np.uint64).max, np.uint64)
     filled = np.flatnonzero(np.diff(offsets) > 0)
     # A few texts at a time, so that their hashes stay in the processor's cache.
