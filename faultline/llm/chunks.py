@@ -160,20 +160,43 @@ def _ranked(rows: DataFrame, texts: DataFrame, clashing: DataFrame, digest: Dige
 def classes(docs: DataFrame, digest: Digest = digest_of) -> DataFrame:
     """Per row ``doc_id, keep_id, group_size, kept, text_sha256, n_chunks``; the largest id stays.
 
-    Groups are counted in every task before they meet, and joined back to the rows by recipe, where
-    Spark may split a large group.
+    Groups are counted in every task before they meet. Those of more than one row are written and
+    joined back to the rows by recipe, where Spark may split a large group over tasks.
     """
     rows = staged(recipes(docs, digest), "recipes")
-    groups = rows.groupBy("n_bytes", "recipe").agg(
-        F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
-    )
-    return rows.join(groups, ["n_bytes", "recipe"]).select(
-        "doc_id", "keep_id", "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chunks",
+    groups = staged(rows.groupBy("n_bytes", "recipe").agg(
+        F.max("doc_id").alias("_keep"), F.count("*").alias("_size")
+    ).where("_size > 1"), "equal-texts")
+    keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
+    return rows.join(groups, ["n_bytes", "recipe"], "left").select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("bigint").alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "n_chunks",
     )
 
 
 def deduplicated(docs: DataFrame, digest: Digest = digest_of) -> DataFrame:
-    """The rows of ``docs`` that stay, one per text, with all their columns."""
-    kept = classes(docs, digest).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` that stay, one per text, with all their columns.
+
+    Rows that repeat an id and a text leave one of them; rows without an id stay.
+    """
+    found = staged(classes(docs, digest), "text-classes")
+    out = without(docs, found.where("NOT kept"))
+    repeated = staged(
+        found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n"))
+        .where("_n > 1").select("doc_id"), "repeated-rows",
+    )
+    if repeated.isEmpty():
+        return out
+    ids = repeated.select(F.col("doc_id").alias("_id"))
+    same = F.col("doc_id") == F.col("_id")
+    once = out.join(ids, same, "left_semi").withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).dropDuplicates(
+        ["doc_id", "_sha"]
+    ).drop("_sha")
+    return out.join(ids, same, "left_anti").unionByName(once)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is not among ``dropped``; the ids are written first, so
+    that Spark knows their size when it chooses how to join."""
+    ids = staged(dropped.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct(), "dropped-ids")
+    return docs.join(ids, F.col("doc_id") == F.col("_id"), "left_anti")
