@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words
+from faultline.llm.chunks import without
 from faultline.llm.words import mix
 
 WINDOW = 8
@@ -218,6 +219,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = LEAST_COVER, par
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` without any benchmark item, with all their columns."""
-    bad = leaks(docs, benchmark, **settings).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")), "left_anti")
+    """The rows of ``docs`` without any benchmark item, with all their columns; rows without an id stay."""
+    return without(docs, leaks(docs, benchmark, **settings))

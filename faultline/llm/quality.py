@@ -233,8 +233,18 @@ GRADES = 3
 GRADE = "CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 END"
 
 
+def _kept_rows(batches: Iterator[pa.RecordBatch], model, least_tail: float) -> Iterator[pa.RecordBatch]:
+    model = model.value
+    for batch in batches:
+        tails = [model.tails(model.scores(data, offsets))[:, -1] for _, _, data, offsets in words.blocks(batch["text"])]
+        if tails:
+            yield batch.filter(pa.array(np.concatenate(tails) >= least_tail))
+
+
 def kept(docs: DataFrame, labels: DataFrame, least_tail: float = 0.5, labelled: int = LABELLED) -> DataFrame:
-    """The rows of ``docs`` that are likely of the best grade, with all their columns."""
+    """The rows of ``docs`` that are likely of the best grade, with all their columns; no shuffle."""
     model = train(docs, labels, GRADE, GRADES, labelled)
-    good = grade(docs, model, least_tail).where("kept").select(F.col("doc_id").alias("_good_id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_good_id")), "left_semi")
+    if model is None:
+        return docs
+    given = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(partial(_kept_rows, model=given, least_tail=least_tail), docs.schema)

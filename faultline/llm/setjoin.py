@@ -11,7 +11,7 @@ Nodes yield spanning forests of likely pairs, not pairs; exact Jaccard similarit
 their components (see ``similar``). So a link is found if any run finds a path between its ends, and
 links are counted, not listed.
 
-Defined results: texts without words (null, empty) are one class without links; texts with equal
+Defined results: a text without words (null, empty, signs alone) is a class of its own; texts with equal
 shingle sets are copies, counted in ``n_copies``, not in ``n_links``; shorter texts than a shingle
 are a set of one; rows of null ``doc_id`` belong to the class of their set, but a set with no other
 row is not compared; repeated rows are copies; further columns are ignored; an empty table gives an
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words
+from faultline.llm.chunks import without
 from faultline.llm.components import components
 from faultline.llm.similar import BLOCK_SETS, SKETCH, exact_links, likely_pairs, minima, set_ids
 from faultline.llm.staging import staged
@@ -156,14 +157,16 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, buck
         "id", "n_copies", F.coalesce("class_id", "first_doc").alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
     ), "named-sets")
-    return rows.select("doc_id", "id").join(named, "id").select(
-        "doc_id", "class_id", "n_links", "n_copies", F.col("id").alias("set_id")
+    own = F.col("n") == 0
+    return rows.select("doc_id", "id", "n").join(named, "id").select(
+        "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links",
+        F.when(own, 1).otherwise(F.col("n_copies")).cast("bigint").alias("n_copies"), F.col("id").alias("set_id"),
     )
 
 
 def one_per_class(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each class, with all their columns."""
-    kept = join(docs, **settings).where("doc_id = class_id OR class_id IS NULL").select(
-        F.col("doc_id").alias("_kept_id")
-    ).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` with the smallest id of each class, with all their columns.
+
+    Rows without an id or without words stay.
+    """
+    return without(docs, join(docs, **settings).where("doc_id <> class_id"))
