@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from faultline.llm import words
 from faultline.llm.chunks import without
 from faultline.llm.components import components
-from faultline.llm.similar import BLOCK_SETS, SKETCH, exact_links, likely_pairs, minima, set_ids
+from faultline.llm.similar import BLOCK_SETS, SKETCH, agreeing, exact_links, likely_pairs, minima, set_ids
 from faultline.llm.staging import staged
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -103,7 +103,7 @@ def _forests(sets: DataFrame, similarity: float, bucket: int, deepest: int) -> D
         if depth == deepest:
             split = F.lit(False)
         pairs = staged(
-            likely_pairs(nodes.where(~split).select("bucket", "size", "id", "sketch"), similarity).distinct(), "likely"
+            likely_pairs(nodes.where(~split).select("bucket", "size", "id", "sketch"), agreeing(similarity)).distinct(), "likely"
         )
         found = pairs if found is None else found.union(pairs)
         large = nodes.where(split)
@@ -152,7 +152,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, buck
     links, classes = exact_links(members.join(hashes, "id").select("root", "id", "hashes"), similarity)
     firsts = classes.join(sets.select("id", "first_doc"), "id")
     firsts = firsts.join(firsts.groupBy("root").agg(F.min("first_doc").alias("class_id")), "root")
-    linked = links.join(firsts.select("id", "class_id"), "id")
+    linked = links.select("id", "links").join(firsts.select("id", "class_id"), "id")
     named = staged(sets.select("id", "first_doc", "n_copies").join(linked, "id", "left").select(
         "id", "n_copies", F.coalesce("class_id", "first_doc").alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),

@@ -98,12 +98,12 @@ def _forest(likely, n: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _likely_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _likely_pairs(batches: Iterator[pa.RecordBatch], least: int, kind: str) -> Iterator[pa.RecordBatch]:
     # columns: bucket, i, j, block, id, sketch
     for held, bounds in _streamed(batches, 3):
         ids = held.column("id").to_numpy()
         block, i, j = (held.column(n).to_numpy() for n in ("block", "i", "j"))
-        sketches = np.frombuffer(words.text_bytes(held.column("sketch"))[0].tobytes(), np.uint32).reshape(-1, SKETCH)
+        sketches = np.frombuffer(words.text_bytes(held.column("sketch"))[0].tobytes(), kind).reshape(-1, SKETCH)
         starts, sizes = bounds[:-1], np.diff(bounds)
         pairs = starts[(sizes == 2) & (i[starts] == j[starts])]
         alike = pairs[(sketches[pairs] == sketches[pairs + 1]).sum(1) >= least]
@@ -139,31 +139,60 @@ def in_block_pairs(rows: DataFrame, key: str, blocks) -> DataFrame:
     }).drop("_n", "_other")
 
 
-def likely_pairs(rows: DataFrame, least_similarity: float) -> DataFrame:
+def agreeing(least_similarity: float) -> int:
+    """Places in which sketches agree at a similarity, less three standard deviations."""
+    spread = (least_similarity * (1 - least_similarity) / SKETCH) ** 0.5
+    return int((least_similarity - 3 * spread) * SKETCH)
+
+
+def likely_pairs(rows: DataFrame, least: int, kind: str = "u4") -> DataFrame:
     """Spanning forests ``a, b`` of the pairs that look alike in buckets.
 
-    ``rows``: ``bucket`` (bigint), ``size`` (rows of the bucket), ``id`` (bigint), ``sketch``. A pair
-    looks alike if its sketches agree in three standard deviations less than expected at
-    ``least_similarity``.
+    ``rows``: ``bucket`` (bigint), ``size`` (rows of the bucket), ``id`` (bigint), ``sketch`` (numbers
+    of ``kind``). A pair looks alike if its sketches agree in ``least`` places.
     """
-    spread = (least_similarity * (1 - least_similarity) / SKETCH) ** 0.5
-    least = int((least_similarity - 3 * spread) * SKETCH)
     rows = in_block_pairs(rows, "bucket", F.ceil(F.col("size") / BLOCK_SETS))
     return (
         rows.select("bucket", "i", "j", "block", "id", "sketch")
         .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "id")
-        .mapInArrow(partial(_likely_pairs, least=least), "a bigint, b bigint")
+        .mapInArrow(partial(_likely_pairs, least=least, kind=kind), "a bigint, b bigint")
+    )
+
+
+def banded(sets: DataFrame, least: int) -> DataFrame:
+    """Components ``id, root`` of the sets that share a band and look alike there.
+
+    ``sets``: ``id``, ``bands`` (array of bigint) and ``sketch`` (16-bit numbers). Bands are counted in
+    every task before they meet; those of one set go no further.
+    """
+    level = sets.select("id", F.posexplode("bands").alias("band", "value")).select(
+        "id", F.xxhash64("band", "value").alias("bucket")
     )
+    sizes = staged(level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "band-sizes")
+    nodes = level.join(sizes, "bucket").join(sets.select("id", "sketch"), "id")
+    return components(staged(likely_pairs(nodes, least, "u2").distinct(), "likely"))
+
+
+def band_values(least: np.ndarray, bands: int, rows: int) -> pa.Array:
+    """The first ``bands`` times ``rows`` minima of every text, hashed band by band."""
+    out = np.zeros((len(least), bands), np.uint64)
+    for k in range(rows):
+        out = words.mix(out * np.uint64(3) + least[:, k:bands * rows:rows])
+    return pa.FixedSizeListArray.from_arrays(pa.array(out.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
+
 
+def sketch_values(least: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in (least >> np.uint64(32)).astype(np.uint16)], pa.binary())
 
-def _exact(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+
+def _exact(batches: Iterator[pa.RecordBatch], similarity: float, least_common: int | None) -> Iterator[pa.RecordBatch]:
     # columns: root, i, j, block, id, hashes
     for held, bounds in _streamed(batches, 3):
         ids = held.column("id").to_numpy()
         block, i, j = (held.column(n).to_numpy() for n in ("block", "i", "j"))
         data, offsets = words.text_bytes(held.column("hashes"))
         h, offsets = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
-        out_id, out_links, out_a, out_b = [], [], [], []
+        out_id, out_links, out_a, out_b, out_span = [], [], [], [], []
         for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             size, crossing = end - start, i[start] != j[start]
             if size < 2:
@@ -171,12 +200,16 @@ def _exact(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
             counts = np.diff(offsets[start:end + 1]).astype(np.float32)
             common = _intersections(h[offsets[start]:offsets[end]], np.diff(offsets[start:end + 1]))
             linked = common >= np.float32(similarity) * (counts[:, None] + counts[None, :] - common) - 1e-4
+            if least_common is not None:
+                linked |= common >= least_common
             np.fill_diagonal(linked, False)
             if crossing:
                 own = block[start:end]
                 linked &= own[:, None] != own[None, :]
             out_id.append(ids[start:end])
             out_links.append(linked.sum(1))
+            if least_common is not None:
+                out_span.append(_shared_places(h, offsets[start:end + 1], linked))
             for x, y in _forest(lambda k, m=linked: np.flatnonzero(m[k, k + 1:]) + k + 1, size):
                 out_a.append(ids[start + x])
                 out_b.append(ids[start + y])
@@ -185,9 +218,25 @@ def _exact(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
             "id": np.concatenate([*out_id, np.array(out_a, np.int64)]).astype(np.int64),
             "links": np.concatenate([*out_links, np.zeros(len(out_a), np.int64)]).astype(np.int64),
             "other": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(out_b, pa.int64())]),
+            **{name: pa.concat_arrays([
+                pa.array(np.concatenate([x[:, k] for x in out_span]), from_pandas=True).cast(pa.int64())
+                if out_span else pa.nulls(n, pa.int64()), pa.nulls(len(out_b), pa.int64())])
+                for k, name in enumerate(("first", "last"))},
         })
 
 
+def _shared_places(h: np.ndarray, offsets: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The first and last place of every set's hashes that a linked one holds too; NaN without links."""
+    out = np.full((len(linked), 2), np.nan)
+    for i in np.flatnonzero(linked.any(1)).tolist():
+        own = h[offsets[i]:offsets[i + 1]]
+        others = np.unique(np.concatenate([h[offsets[k]:offsets[k + 1]] for k in np.flatnonzero(linked[i])]))
+        at = np.flatnonzero(np.isin(own, others))
+        if len(at):
+            out[i] = at[0], at[-1]
+    return out
+
+
 def _intersections(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The sizes of all pairwise intersections; columns that only one set has are left out."""
     n = len(counts)
@@ -208,11 +257,13 @@ def _intersections(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return common
 
 
-def exact_links(sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+def exact_links(sets: DataFrame, similarity: float, least_common: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Number of links per id, and the classes that they form.
 
     ``sets``: ``root`` (the group to compare), ``id`` (unique), ``hashes`` (distinct 64-bit hashes,
-    joined). Gives ``id, links`` of ids with links and ``id, root`` of the classes.
+    joined). Gives ``id, links, first, last`` of ids with links and ``id, root`` of the classes. Sets
+    with ``least_common`` hashes in common are linked too; then ``first`` and ``last`` are the outer
+    places in ``hashes`` of those that linked sets share, else null.
     """
     sizes = sets.groupBy("root").agg(F.count("*").alias("_sets"), F.sum(F.octet_length("hashes")).alias("_bytes"))
     blocks = F.greatest(F.ceil(F.col("_sets") / BLOCK_SETS), F.ceil(F.col("_bytes") / BLOCK_BYTES))
@@ -220,9 +271,12 @@ def exact_links(sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFram
     found = staged(
         rows.select("root", "i", "j", "block", "id", "hashes")
         .repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "id")
-        .mapInArrow(partial(_exact, similarity=similarity), "id bigint, links bigint, other bigint")
+        .mapInArrow(partial(_exact, similarity=similarity, least_common=least_common),
+                    "id bigint, links bigint, other bigint, first bigint, last bigint")
         .where("links > 0 OR other IS NOT NULL"),
         "links",
     )
-    links = found.groupBy("id").agg(F.sum("links").cast("bigint").alias("links"))
+    links = found.groupBy("id").agg(
+        F.sum("links").cast("bigint").alias("links"), F.min("first").alias("first"), F.max("last").alias("last")
+    ).where("links > 0")
     return links, components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, chunks, decontaminate, licences, packing, quality, setjoin, shards
+from faultline.llm import chat, chunks, decontaminate, licences, lines, packing, passages, quality, setjoin, shards
 from faultline.llm.staging import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of all documents with its class and whether it is kept."""
+    return lines.classes(table(spark, folder, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of all documents that other documents repeat."""
+    return passages.repeats(table(spark, folder, "documents"))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Expected grade and tail probability of all documents, and whether they are kept."""
     docs = table(spark, folder, "documents")
@@ -153,6 +163,8 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_chat_format": op5_chat_format,
