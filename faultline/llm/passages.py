@@ -8,7 +8,8 @@ if their similarity is 0.8 or more, or if they share the shingles of a long pass
 links are the removals' clusters; the first paragraph of each stays, of the others the span goes that
 linked paragraphs share.
 
-Defined results: null and empty texts have no paragraphs; shorter paragraphs than ``LEAST_WORDS`` are
+Defined results: null and empty texts have no paragraphs; what repeats in one document alone is left
+alone; shorter paragraphs than ``LEAST_WORDS`` are
 left alone; repeated rows are repeated paragraphs; rows without ``doc_id`` come last among equals,
 and a paragraph that only such rows hold is compared by its exact copies alone; further columns are
 ignored; an empty table gives an empty result. Very long texts are read whole.
@@ -143,7 +144,9 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, least_common: int =
         (F.col("word") + F.coalesce(F.col("last_shingle") + SHINGLE, F.col("n_words")) - 1).alias("last_word"), "class_id",
     ), "paragraph-spans")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "first_word")
-    firsts = staged(spans.groupBy("class_id").agg(F.min(place).alias("_first"), F.count("*").alias("class_size")), "first-spans")
+    firsts = staged(spans.groupBy("class_id").agg(
+        F.min(place).alias("_first"), F.max(place).alias("_last"), F.count("*").alias("class_size")
+    ).where("NOT (_first.none <=> _last.none AND _first.doc_id <=> _last.doc_id)").drop("_last"), "first-spans")
     return spans.join(firsts, "class_id").select(
         "doc_id", "first_word", "last_word", "class_id", "class_size",
         (F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "first_word") != F.col("_first")).alias("removed"),
