@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +77,7 @@ def _recipes(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.R
         for first, last, data, offsets in words.blocks(batch["text"]):
             raw, lists, counts = data.tobytes(), [], []
             for start, ends in zip(offsets.tolist(), cuts(data, offsets), strict=False):
-                starts = [start, *ends[:-1]]
-                lists.append(b"".join(digest(raw[a:b]) for a, b in zip(starts, ends, strict=True)))
+                lists.append(b"".join(digest(raw[a:b]) for a, b in zip([start, *ends], ends, strict=False)))
                 counts.append(len(ends))
             part = batch.slice(first, last - first)
             yield pa.record_batch({
@@ -92,7 +92,7 @@ def _contents(batches: Iterator[pa.RecordBatch], digest: Digest, places: bool) -
         for first, _, data, offsets in words.blocks(batch["text"]):
             raw, found, seen = data.tobytes(), [], set()
             for i, (start, ends) in enumerate(zip(offsets.tolist(), cuts(data, offsets), strict=False)):
-                for pos, (a, b) in enumerate(zip([start, *ends[:-1]], ends, strict=True)):
+                for pos, (a, b) in enumerate(zip([start, *ends], ends, strict=False)):
                     chunk = raw[a:b]
                     if places:
                         found.append((batch["row_key"][first + i].as_py(), pos, digest(chunk), chunk))
@@ -187,16 +187,16 @@ def deduplicated(docs: DataFrame, digest: Digest = digest_of) -> DataFrame:
     )
     if repeated.isEmpty():
         return out
-    ids = repeated.select(F.col("doc_id").alias("_id"))
-    same = F.col("doc_id") == F.col("_id")
-    once = out.join(ids, same, "left_semi").withColumn("_sha", F.sha2(normalised(F.col("text")), 256)).dropDuplicates(
-        ["doc_id", "_sha"]
-    ).drop("_sha")
-    return out.join(ids, same, "left_anti").unionByName(once)
+    # A name that no table has: the rows carry all their columns.
+    sha = f"sha_{uuid4().hex}"
+    once = out.join(repeated, out["doc_id"] == repeated["doc_id"], "left_semi").withColumn(
+        sha, F.sha2(normalised(F.col("text")), 256)
+    ).dropDuplicates(["doc_id", sha]).drop(sha)
+    return out.join(repeated, out["doc_id"] == repeated["doc_id"], "left_anti").unionByName(once)
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is not among ``dropped``; the ids are written first, so
     that Spark knows their size when it chooses how to join."""
-    ids = staged(dropped.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct(), "dropped-ids")
-    return docs.join(ids, F.col("doc_id") == F.col("_id"), "left_anti")
+    ids = staged(dropped.where("doc_id IS NOT NULL").select("doc_id").distinct(), "dropped-ids")
+    return docs.join(ids, docs["doc_id"] == ids["doc_id"], "left_anti")
