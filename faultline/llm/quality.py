@@ -32,7 +32,8 @@ from faultline.llm.similar import minima
 
 #: Bound on the labelled rows of a fit.
 LABELLED = 8000
-FEATURES = 1 << 18
+#: Hash values of features; so many that long texts meet no wrong one.
+FEATURES = 1 << 40
 #: Labelled texts a feature needs, at least and as a part of them all, and the standard deviations by
 #: which it leans to low grades.
 LEAST_TEXTS, LEAST_PART, LEAST_LEAN = 8, 1 / 500, 5.0
@@ -80,15 +81,20 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of the features and the ordered thresholds between the grades."""
+    """Weights of features, sorted by their hash, and the ordered thresholds between the grades."""
+    features: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if not len(self.features):
+            return np.zeros(len(offsets) - 1)
         number, text = features(data, offsets)
-        counts = self.weights[number] != 0
-        pair = np.unique(text[counts] * FEATURES + number[counts])
-        return np.bincount(pair // FEATURES, weights=self.weights[pair % FEATURES], minlength=len(offsets) - 1)
+        at = np.minimum(np.searchsorted(self.features, number), len(self.features) - 1)
+        counts = self.features[at] == number
+        pair = np.unique(text[counts] * len(self.features) + at[counts])
+        weights = self.weights[pair % len(self.features)]
+        return np.bincount(pair // len(self.features), weights=weights, minlength=len(offsets) - 1)
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """``P(grade >= k)`` for every grade but the lowest, a row per text."""
@@ -127,15 +133,16 @@ def fit(lists: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty: flo
     places = _without_copies(lists)
     lists, grades = [lists[i] for i in places], grades[places]
     counts = np.array([len(x) for x in lists])
-    number, row = np.concatenate(lists), np.repeat(np.arange(len(lists)), counts)
+    names, number = np.unique(np.concatenate(lists), return_inverse=True)
+    row = np.repeat(np.arange(len(lists)), counts)
     share = np.bincount(grades, minlength=n_grades) / len(grades)
     weight = 1 / np.sqrt(np.maximum(share, 1e-9))[grades]
     weight /= weight.sum()
     # Only features that lean to low grades far beyond chance are fitted.
     upto = np.cumsum(share)
     lean = 1 - (upto + upto - share)[grades]
-    often = np.bincount(number, minlength=FEATURES)
-    z = np.bincount(number, weights=lean[row], minlength=FEATURES) / np.sqrt(np.maximum(often, 1) * max(lean.var(), 1e-9))
+    often = np.bincount(number, minlength=len(names))
+    z = np.bincount(number, weights=lean[row], minlength=len(names)) / np.sqrt(np.maximum(often, 1) * max(lean.var(), 1e-9))
     chosen = (z >= LEAST_LEAN) & (often >= max(LEAST_TEXTS, LEAST_PART * len(lists)))
     some = chosen[number]
     row = row[some]
@@ -166,9 +173,7 @@ def fit(lists: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty: flo
             by_step = np.cumsum(by[::-1])[::-1][1:] * np.exp(steps)
             past_steps += by_step ** 2
             steps -= 0.3 * by_step / np.sqrt(past_steps)
-    weights = np.zeros(FEATURES)
-    weights[at] = w
-    return Model(weights, first + np.concatenate([[0], np.cumsum(np.exp(steps))]))
+    return Model(names[at][w < 0], w[w < 0], first + np.concatenate([[0], np.cumsum(np.exp(steps))]))
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +182,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, text = features(data, offsets)
             pair = np.unique(text * FEATURES + number)
             bounds = np.searchsorted(pair // FEATURES, np.arange(last - first + 1))
-            number = (pair % FEATURES).astype(np.int32)
+            number = pair % FEATURES
             yield pa.record_batch({
                 "grade": batch["grade"].slice(first, last - first),
                 "features": pa.array([number[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
@@ -193,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str, n_grades: int, labelle
     found = rows.mapInArrow(_listed, "grade int, features binary").toArrow()
     if not found.num_rows:
         return None
-    lists = [np.frombuffer(x, np.int32) for x in found["features"].to_pylist()]
+    lists = [np.frombuffer(x, np.int64) for x in found["features"].to_pylist()]
     # The order of rows depends on the cluster; sums of the fit should not.
     order = sorted(range(len(lists)), key=lambda i: (found["grade"][i].as_py(), lists[i].tobytes()))
     return fit([lists[i] for i in order], found["grade"].to_numpy()[order].astype(np.int64), n_grades)
