@@ -165,11 +165,13 @@ def _matches(batches: Iterator[pa.RecordBatch], part, cover: float) -> Iterator[
                 part_cover = len(set(a.tolist())) / len(values)
                 if part_cover < cover:
                     continue
-                slots = (kinds[a] != _PLAIN) & (kinds[a] == own_kind[b])
-                # A passage that stands in a text twice is checked by its first place alone.
+                # A word of the item that fits in several places stands in the best aligned one.
+                _, line, often = np.unique(b - a, return_inverse=True, return_counts=True)
+                order = np.lexsort((b, -often[line], a))
+                a, b = a[order], b[order]
                 _, once = np.unique(a, return_index=True)
-                slots = slots[once]
                 a, b = a[once], b[once]
+                slots = (kinds[a] != _PLAIN) & (kinds[a] == own_kind[b])
                 x, y = values[a][slots], own_value[b][slots]
                 if consistent(x, y):
                     out.append((first + text, item, int(b.min()), int(b.max()), part_cover, int(slots.sum()), int((x != y).sum())))
