@@ -44,17 +44,22 @@ ZONE = r"[+-]\d{2}:?[0-5]\d(?::?[0-5]\d)?|Z"
 
 def instant(
     year: Column, month: Column, day: Column, hms: Column, zone: Column | None = None,
-    assume_year: int | Column = ASSUMED_YEAR,
+    assume_year: int | Column = ASSUMED_YEAR, short_yearless: bool = False,
 ) -> Column:
     """Timestamp of textual calendar parts; NULL when they are no valid date.
 
     An empty year means the assumed one; month may be a number or a name; an empty zone is UTC.
+    With ``short_yearless`` a clock without a year needs the short name of its month.
     """
     assumed = assume_year if isinstance(assume_year, Column) else F.lit(str(assume_year))
     utc = F.lit("Z")
+    name = F.lower(month)
+    number = F.coalesce(lookup(_MONTH_NUMBERS, name), month)
+    if short_yearless:
+        number = F.when((year != "") | name.isin(*MONTHS), number)
     return F.concat(
         F.coalesce(empty_to_null(year), assumed.cast("string")), F.lit("-"),
-        F.coalesce(lookup(_MONTH_NUMBERS, F.lower(month)), month), F.lit("-"),
+        number, F.lit("-"),
         day, F.lit(" "), hms,
         utc if zone is None else F.coalesce(empty_to_null(zone), utc),
     ).try_cast("timestamp")

@@ -105,3 +105,11 @@ def iso_datetime(ts: Column | str) -> Column:
     fraction = F.date_format(ts, "SSSSSS")
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     return F.when(fraction == "000000", whole).otherwise(F.concat(whole, F.lit("."), fraction))
+
+
+def plain_number(value: Column) -> Column:
+    """A double as a text without an exponent from 0.0001 up to 10^16, and beyond with one."""
+    digits = F.rtrim(value.cast("decimal(38,21)").cast("string"), F.lit("0"))
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    size = F.abs(value)
+    return F.when((size >= 1e-4) & (size < 1e16), plain).otherwise(value.cast("string"))

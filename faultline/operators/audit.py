@@ -33,15 +33,24 @@ def filter_audit(
     result: str | None = None,
     host: str | None = None,
 ) -> DataFrame:
-    """Entries that meet all given conditions; both time bounds are inclusive."""
+    """Entries that meet all given conditions; both time bounds are inclusive.
+
+    Entries stored by day have a ``date``; the bounds then limit it too, so that only the days
+    between them are read.
+    """
     def bound(time: datetime | Column) -> Column:
         return moment(time) if isinstance(time, datetime) else time
 
     timestamp = F.col("timestamp")
+    by_day = "date" in entries.columns
     if start is not None:
         entries = entries.filter(timestamp >= bound(start))
+        if by_day:
+            entries = entries.filter(F.col("date") >= F.to_date(bound(start)))
     if end is not None:
         entries = entries.filter(timestamp <= bound(end))
+        if by_day:
+            entries = entries.filter(F.col("date") <= F.to_date(bound(end)))
     for name, value in (("action", action), ("result", result), ("host", host)):
         if value:
             entries = entries.filter(F.col(name) == value)

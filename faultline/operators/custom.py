@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from faultline.functions.formatting import plain_number
 from faultline.functions.clock import TimeFormat, UnsupportedFormat
 from faultline.functions.levels import lookup, normalize_level
 from faultline.functions.pyregex import group_count, optional_groups, translate
@@ -203,7 +204,7 @@ def _transformed(value: Column, transform: str | None) -> Column:
         real = value.rlike(
             r"(?Ui)^\s*[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf(?:inity)?|nan)\s*$"
         )
-        return F.when(real, strip(value).try_cast("double").cast("string"))
+        return F.when(real, plain_number(strip(value).try_cast("double")))
     if transform == "bool":
         return F.lower(value).isin("true", "1", "yes", "on").cast("string")
     return value

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from faultline.functions.formatting import plain_number
 from faultline.functions.clock import CLOCK_PARTS, HMS
 from faultline.functions.levels import kernel_message_level, kernel_tag_level
 from faultline.functions.text import (
@@ -105,7 +106,7 @@ class Dmesg(LineFormat):
         subsystem, lowered = F.col("_subsystem"), F.col("_kernel_text")
         network, uptime = F.col("_network"), F.col("_uptime")
         fields = {
-            "uptime": uptime.cast("string"),
+            "uptime": plain_number(uptime),
             "subsystem": subsystem,
             "network_related": F.when(network, "true"),
             "device": F.col("_device"),

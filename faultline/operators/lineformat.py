@@ -58,7 +58,8 @@ class LineFormat:
         return []
 
     def timestamp(self, first: Column, second: Column | None) -> Column:
-        return instant(*[part(first, i) for i in range(CLOCK_PARTS)], assume_year=self.assume_year)
+        clock = [part(first, i) for i in range(CLOCK_PARTS)]
+        return instant(*clock, assume_year=self.assume_year, short_yearless=True)
 
     def entry(self, line: Column, first: Column, second: Column | None) -> dict[str, Column]:
         """Entry columns by name. ``reason`` tells why a line is refused; without it, a line

@@ -15,7 +15,6 @@ from faultline.operators.ordered import numbered
 from faultline.plans.documents import Section, assemble
 from faultline.schema import MEMORY
 
-RETAINED = 100
 RECENT = 5
 SUMMARY_RECENT = 10
 
@@ -30,11 +29,6 @@ def recent_entries(entries: DataFrame, count: int = RECENT) -> DataFrame:
     )
 
 
-def retained_entries(entries: DataFrame) -> DataFrame:
-    """What is left of the entries after older ones have been let go."""
-    return recent_entries(entries, RETAINED)
-
-
 def entries_of_round(entries: DataFrame, number: int) -> DataFrame:
     return entries.filter(F.col("round") == number)
 
@@ -63,15 +57,24 @@ def number_hypotheses(created: DataFrame) -> DataFrame:
     )
 
 
+def _updates_of_known(hypotheses: DataFrame, updates: DataFrame) -> DataFrame:
+    """Updates written after the hypothesis they name; an earlier one knew no such hypothesis."""
+    born = hypotheses.select("session_id", "hypothesis_id", F.col("seq").alias("_born"))
+    return updates.join(born, ["session_id", "hypothesis_id"]).filter(
+        F.col("seq") > F.col("_born")
+    ).drop("_born")
+
+
 def hypothesis_state(hypotheses: DataFrame, updates: DataFrame) -> DataFrame:
     """Hypotheses after their updates (``session_id, hypothesis_id, seq, status, confidence,
     new_evidence``).
 
-    An update changes only what it states. The evidence itself, which has no bound, is in
+    An update changes only what it states, and only a hypothesis that was there before it. The
+    evidence itself, which has no bound, is in
     :func:`hypothesis_evidence`; here it is counted.
     """
     stated = empty_to_null(F.col("status"))
-    folded = updates.groupBy("session_id", "hypothesis_id").agg(
+    folded = _updates_of_known(hypotheses, updates).groupBy("session_id", "hypothesis_id").agg(
         F.max_by(stated, F.when(stated.isNotNull(), F.col("seq"))).alias("_status"),
         F.max_by("confidence", F.when(F.col("confidence").isNotNull(), F.col("seq"))).alias(
             "_confidence"
@@ -96,8 +99,7 @@ def hypothesis_evidence(hypotheses: DataFrame, updates: DataFrame) -> DataFrame:
         "session_id", "hypothesis_id", F.lit(-1).cast("bigint").alias("seq"),
         F.posexplode("evidence").alias("position", "evidence"),
     )
-    known = hypotheses.select("session_id", "hypothesis_id")
-    added = updates.join(known, ["session_id", "hypothesis_id"], "left_semi").select(
+    added = _updates_of_known(hypotheses, updates).select(
         "session_id", "hypothesis_id", "seq",
         F.posexplode("new_evidence").alias("position", "evidence"),
     )

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import astuple, dataclass, field
+from dataclasses import astuple, dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.pyregex import translate
@@ -30,128 +30,127 @@ class Rule:
     allowed_patterns: Sequence[str] = field(default_factory=list)
 
 
-def _args(text: str) -> list[str]:
-    return text.split()
-
-
 # The commands known by default. A command named twice keeps the later rule.
 DEFAULT_RULES: tuple[Rule, ...] = (
-    Rule("ping", "测试网络连通性", "network", _args("-c -w -W -i -s -q -n"),
+    Rule("ping", "测试网络连通性", "network", ["-c", "-w", "-W", "-i", "-s", "-q", "-n"],
          allowed_patterns=[r"-c\s+\d+", r"-w\s+\d+", r"-W\s+\d+"]),
-    Rule("traceroute", "路由追踪", "network", _args("-n -m -w -q -I -T -U"),
+    Rule("traceroute", "路由追踪", "network", ["-n", "-m", "-w", "-q", "-I", "-T", "-U"],
          allowed_patterns=[r"-m\s+\d+", r"-w\s+\d+"]),
-    Rule("tracepath", "MTU路径发现", "network", _args("-n -m -p -l"),
+    Rule("tracepath", "MTU路径发现", "network", ["-n", "-m", "-p", "-l"],
          allowed_patterns=[r"-m\s+\d+", r"-p\s+\d+"]),
-    Rule("mtr", "网络诊断工具", "network", _args("-r -c -n -s -p -T -u"),
+    Rule("mtr", "网络诊断工具", "network", ["-r", "-c", "-n", "-s", "-p", "-T", "-u"],
          allowed_patterns=[r"-c\s+\d+", r"-s\s+\d+", r"-p\s+\d+"]),
     Rule("curl", "HTTP请求测试", "network",
-         _args("-I -i -s -S -o -O -w -H -X -m --connect-timeout --max-time -k -L -v -d"),
+         ["-I", "-i", "-s", "-S", "-o", "-O", "-w", "-H", "-X", "-m", "--connect-timeout",
+         "--max-time", "-k", "-L", "-v", "-d"],
          allowed_patterns=[r"-m\s+\d+", r"--connect-timeout\s+\d+", r"--max-time\s+\d+",
                            r"-H\s+['\"][^'\"]+['\"]", r"-w\s+['\"][^'\"]+['\"]"]),
     Rule("wget", "HTTP下载测试", "network",
-         _args("-q -O -o -T -t --spider -S --no-check-certificate"),
+         ["-q", "-O", "-o", "-T", "-t", "--spider", "-S", "--no-check-certificate"],
          allowed_patterns=[r"-T\s+\d+", r"-t\s+\d+"]),
-    Rule("nc", "Netcat网络工具", "network", _args("-z -v -w -u -l"), "medium",
+    Rule("nc", "Netcat网络工具", "network", ["-z", "-v", "-w", "-u", "-l"], "medium",
          allowed_patterns=[r"-w\s+\d+"]),
-    Rule("netstat", "网络连接统计", "port", _args("-t -u -l -n -p -a -r -i -s")),
-    Rule("ss", "Socket统计", "port", _args("-t -u -l -n -p -a -r -s -o -m -i -4 -6")),
-    Rule("lsof", "列出打开文件", "port", _args("-i -P -n -p -u -t"), requires_sudo=True,
+    Rule("netstat", "网络连接统计", "port", ["-t", "-u", "-l", "-n", "-p", "-a", "-r", "-i", "-s"]),
+    Rule("ss", "Socket统计", "port", ["-t", "-u", "-l", "-n", "-p", "-a", "-r", "-s", "-o", "-m",
+         "-i", "-4", "-6"]),
+    Rule("lsof", "列出打开文件", "port", ["-i", "-P", "-n", "-p", "-u", "-t"], requires_sudo=True,
          allowed_patterns=[r"-i\s*(:\d+|tcp|udp)", r"-p\s+\d+"]),
     Rule("dig", "DNS查询", "dns",
-         _args("@ +short +trace +recurse +norecurse ANY A AAAA MX NS TXT SOA CNAME PTR -x")),
-    Rule("nslookup", "DNS查询工具", "dns", _args("-type -query -debug"),
+         ["@", "+short", "+trace", "+recurse", "+norecurse", "ANY", "A", "AAAA", "MX", "NS", "TXT",
+         "SOA", "CNAME", "PTR", "-x"]),
+    Rule("nslookup", "DNS查询工具", "dns", ["-type", "-query", "-debug"],
          allowed_patterns=[r"-type=\w+", r"-query=\w+"]),
-    Rule("host", "DNS查询", "dns", _args("-t -a -v -w -W -R"),
+    Rule("host", "DNS查询", "dns", ["-t", "-a", "-v", "-w", "-W", "-R"],
          allowed_patterns=[r"-t\s+\w+", r"-R\s+\d+"]),
     Rule("systemctl", "系统服务管理", "service",
-         _args("status is-active is-enabled list-units show"), allowed_patterns=[r"status\s+\S+"]),
-    Rule("service", "服务状态", "service", _args("status")),
-    Rule("iptables", "防火墙规则查看", "firewall", _args("-L -n -v -t -S --line-numbers"),
+         ["status", "is-active", "is-enabled", "list-units", "show"],
+         allowed_patterns=[r"status\s+\S+"]),
+    Rule("service", "服务状态", "service", ["status"]),
+    Rule("iptables", "防火墙规则查看", "firewall", ["-L", "-n", "-v", "-t", "-S", "--line-numbers"],
          requires_sudo=True),
-    Rule("ip6tables", "IPv6防火墙规则", "firewall", _args("-L -n -v -t -S --line-numbers"),
+    Rule("ip6tables", "IPv6防火墙规则", "firewall", ["-L", "-n", "-v", "-t", "-S", "--line-numbers"],
          requires_sudo=True),
     Rule("ufw", "UFW防火墙状态", "firewall", ["status", "status numbered"], requires_sudo=True),
     Rule("firewall-cmd", "firewalld管理", "firewall",
-         _args("--list-all --list-services --list-ports --state"), requires_sudo=True),
-    Rule("dmesg", "内核消息", "system", _args("-T -w -n -l -f"),
+         ["--list-all", "--list-services", "--list-ports", "--state"], requires_sudo=True),
+    Rule("dmesg", "内核消息", "system", ["-T", "-w", "-n", "-l", "-f"],
          allowed_patterns=[r"-n\s+\d+", r"-l\s+[\w,]+", r"-f\s+\w+"]),
     Rule("journalctl", "系统日志", "system",
-         _args("-u -n -f --since --until -p -k -b --no-pager"),
+         ["-u", "-n", "-f", "--since", "--until", "-p", "-k", "-b", "--no-pager"],
          allowed_patterns=[r"-u\s+\S+", r"-n\s+\d+", r"-p\s+\w+",
                            r"--since\s+['\"][^'\"]+['\"]"]),
-    Rule("top", "进程监控", "system", _args("-b -n -p -u"),
+    Rule("top", "进程监控", "system", ["-b", "-n", "-p", "-u"],
          allowed_patterns=[r"-n\s+\d+", r"-p\s+\d+"]),
-    Rule("ps", "进程状态", "system", _args("aux -ef -eo --sort")),
-    Rule("free", "内存状态", "system", _args("-h -m -g -b -t -s")),
-    Rule("vmstat", "虚拟内存统计", "system", _args("-a -s -d -p")),
-    Rule("iostat", "IO统计", "system", _args("-c -d -k -m -x -t")),
-    Rule("df", "磁盘使用", "system", _args("-h -H -T -i -l -a")),
-    Rule("du", "目录大小", "system", _args("-h -s -a -d --max-depth"),
+    Rule("ps", "进程状态", "system", ["aux", "-ef", "-eo", "--sort"]),
+    Rule("free", "内存状态", "system", ["-h", "-m", "-g", "-b", "-t", "-s"]),
+    Rule("vmstat", "虚拟内存统计", "system", ["-a", "-s", "-d", "-p"]),
+    Rule("iostat", "IO统计", "system", ["-c", "-d", "-k", "-m", "-x", "-t"]),
+    Rule("df", "磁盘使用", "system", ["-h", "-H", "-T", "-i", "-l", "-a"]),
+    Rule("du", "目录大小", "system", ["-h", "-s", "-a", "-d", "--max-depth"],
          allowed_patterns=[r"-d\s+\d+", r"--max-depth=\d+"]),
     Rule("uptime", "系统运行时间", "system"),
-    Rule("hostname", "主机名", "system", _args("-f -i -I -s")),
+    Rule("hostname", "主机名", "system", ["-f", "-i", "-I", "-s"]),
     Rule("ip", "网络配置", "network",
-         _args("addr link route show list neigh maddr rule netns -4 -6 -0 -d -r -n -b -c -v -s -h"
-               " -o -t -rc -oneline -details -statistics -human"),
+         ["addr", "link", "route", "show", "list", "neigh", "maddr", "rule", "netns", "-4", "-6",
+         "-0", "-d", "-r", "-n", "-b", "-c", "-v", "-s", "-h", "-o", "-t", "-rc", "-oneline",
+         "-details", "-statistics", "-human"],
          allowed_patterns=[r"-4", r"-6", r"-0", r"addr\s+show", r"link\s+show", r"route\s+show",
                            r"maddr\s+show", r"neigh\s+show"]),
-    Rule("ifconfig", "网络接口配置", "network", _args("-a")),
-    Rule("arp", "ARP缓存", "network", _args("-a -n -e")),
-    Rule("route", "路由表", "network", _args("-n -ee")),
-    Rule("ethtool", "网卡工具", "network", _args("-i -k -S -s -a -c -g")),
-    Rule("tcpdump", "网络抓包", "network", _args("-i -n -nn -c -w -r -v -vv -X -s -e"), "medium",
+    Rule("ifconfig", "网络接口配置", "network", ["-a"]),
+    Rule("arp", "ARP缓存", "network", ["-a", "-n", "-e"]),
+    Rule("route", "路由表", "network", ["-n", "-ee"]),
+    Rule("ethtool", "网卡工具", "network", ["-i", "-k", "-S", "-s", "-a", "-c", "-g"]),
+    Rule("tcpdump", "网络抓包", "network", ["-i", "-n", "-nn", "-c", "-w", "-r", "-v", "-vv", "-X",
+         "-s", "-e"], "medium",
          True, [r"-i\s+\w+", r"-c\s+\d+", r"-w\s+\S+", r"-s\s+\d+"]),
     Rule("lsmod", "列出已加载模块", "driver"),
-    Rule("modinfo", "模块信息", "driver", _args("-n -F"), allowed_patterns=[r"-F\s+\w+"]),
-    Rule("lspci", "PCI设备列表", "hardware", _args("-v -vv -n -nn -k -s"),
+    Rule("modinfo", "模块信息", "driver", ["-n", "-F"], allowed_patterns=[r"-F\s+\w+"]),
+    Rule("lspci", "PCI设备列表", "hardware", ["-v", "-vv", "-n", "-nn", "-k", "-s"],
          allowed_patterns=[r"-s\s+[\da-fA-F:.]+", r"-v+", r"-nn"]),
-    Rule("lshw", "硬件信息", "hardware", _args("-short -C -c -businfo"),
+    Rule("lshw", "硬件信息", "hardware", ["-short", "-C", "-c", "-businfo"],
          allowed_patterns=[r"-C\s+\w+", r"-c\s+\w+"]),
-    Rule("dmidecode", "DMI信息", "hardware", _args("-t"), requires_sudo=True,
+    Rule("dmidecode", "DMI信息", "hardware", ["-t"], requires_sudo=True,
          allowed_patterns=[r"-t\s+\d+"]),
     Rule("ethtool", "网卡诊断工具", "network",
-         _args("-i -k -S -s -a -c -g -m -d -e -r -p -t -T"),
+         ["-i", "-k", "-S", "-s", "-a", "-c", "-g", "-m", "-d", "-e", "-r", "-p", "-t", "-T"],
          allowed_patterns=[r"-m\s+\w+", r"-d\s+\w+", r"-S\s+\w+", r"-i\s+\w+", r"-k\s+\w+"]),
-    Rule("sysctl", "内核参数", "system", _args("-a -n"),
+    Rule("sysctl", "内核参数", "system", ["-a", "-n"],
          allowed_patterns=[r"-a", r"-n", r"net\.\S+", r"kernel\.\S+"]),
     Rule("nmcli", "NetworkManager CLI", "network",
-         _args("device connection show status general -p -f -t"),
+         ["device", "connection", "show", "status", "general", "-p", "-f", "-t"],
          allowed_patterns=[r"device\s+show", r"device\s+status", r"connection\s+show",
                            r"general\s+status", r"-f\s+[\w,]+"]),
     Rule("cat", "查看文件内容", "system"),
-    Rule("head", "文件头部", "system", _args("-n"), allowed_patterns=[r"-n\s+\d+"]),
-    Rule("tail", "文件尾部", "system", _args("-n -f"), allowed_patterns=[r"-n\s+\d+"]),
-    Rule("grep", "文本搜索", "system", _args("-i -n -c -v -E -r -l")),
+    Rule("head", "文件头部", "system", ["-n"], allowed_patterns=[r"-n\s+\d+"]),
+    Rule("tail", "文件尾部", "system", ["-n", "-f"], allowed_patterns=[r"-n\s+\d+"]),
+    Rule("grep", "文本搜索", "system", ["-i", "-n", "-c", "-v", "-E", "-r", "-l"]),
     Rule("awk", "文本处理", "system"),
-    Rule("sort", "排序", "system", _args("-n -r -k -u")),
-    Rule("uniq", "去重", "system", _args("-c -d")),
-    Rule("wc", "统计", "system", _args("-l -w -c")),
-    Rule("setpci", "PCI配置空间", "hardware", _args("-s -d -v -H"), "medium",
+    Rule("sort", "排序", "system", ["-n", "-r", "-k", "-u"]),
+    Rule("uniq", "去重", "system", ["-c", "-d"]),
+    Rule("wc", "统计", "system", ["-l", "-w", "-c"]),
+    Rule("setpci", "PCI配置空间", "hardware", ["-s", "-d", "-v", "-H"], "medium",
          allowed_patterns=[r"-s\s+[\da-fA-F:.]+", r"-d\s+[\da-fA-F:]+", r"VENDOR_ID",
                            r"DEVICE_ID"]),
-    Rule("bridge", "网桥管理", "network", _args("link fdb mdb vlan")),
+    Rule("bridge", "网桥管理", "network", ["link", "fdb", "mdb", "vlan"]),
     Rule("systemctl", "系统服务状态", "service",
-         _args("status is-active is-enabled show list-units"),
+         ["status", "is-active", "is-enabled", "show", "list-units"],
          allowed_patterns=[r"status\s+\S+", r"show\s+\S+", r"is-active\s+\S+",
                            r"is-enabled\s+\S+"]),
 )
 
 
-def policy_patterns_ok(rule: Rule) -> None:
-    """Raise for a rule whose patterns Spark cannot evaluate."""
-    for pattern in rule.allowed_patterns:
-        translate(pattern)
-
-
 def policy_table(spark: SparkSession, custom: Sequence[Rule] = ()) -> DataFrame:
     """The policy with ``position``: default rules overridden and extended by ``custom`` ones.
 
-    A command keeps the position of its first rule and the content of its last.
+    A command keeps the position of its first rule and the content of its last. The patterns of
+    rules are Python's; the table holds them in Java syntax. A pattern without a Java counterpart
+    raises.
     """
     rules: dict[str, Rule] = {}
     for rule in (*DEFAULT_RULES, *custom):
-        policy_patterns_ok(rule)
-        rules[rule.command] = rule
+        rules[rule.command] = replace(
+            rule, allowed_patterns=[translate(p) for p in rule.allowed_patterns]
+        )
     table = spark.createDataFrame(
         [(i, *astuple(rule)) for i, rule in enumerate(rules.values())],
         "position int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in POLICY.fields),
@@ -160,7 +159,11 @@ def policy_table(spark: SparkSession, custom: Sequence[Rule] = ()) -> DataFrame:
 
 
 def upsert_rules(policy: DataFrame, rules: DataFrame) -> DataFrame:
-    """The policy with further rules added or replaced; ``rules`` need ``seq`` for their order."""
+    """The policy with further rules added or replaced; ``rules`` need ``seq`` for their order.
+
+    ``allowed_patterns`` of both are in Java syntax, as :func:`policy_table` makes them. Positions
+    are numbered anew; a policy is configuration, small enough for that.
+    """
     base = policy.withColumnRenamed("position", "seq").withColumn("_late", F.lit(0))
     both = base.unionByName(rules.withColumn("_late", F.lit(1)))
     names = [f.name for f in POLICY.fields if f.name != "command"]
@@ -173,7 +176,7 @@ def upsert_rules(policy: DataFrame, rules: DataFrame) -> DataFrame:
         )
         .select(
             # Commands that are new come after all that were there.
-            (F.col("_first._late") * 1_000_000 + F.col("_first.seq")).alias("position"),
+            (F.row_number().over(Window.orderBy("_first", "command")) - 1).alias("position"),
             "command", *[F.col(f"_rule.{n}").alias(n) for n in names],
         )
     )
@@ -215,8 +218,8 @@ def shell_words(command: Column) -> Column:
     return F.when(~quoted, plain).when(~broken, words)
 
 
-def _argument_allowed(arg: Column, allowed: Column, pattern: Column) -> Column:
-    """Whether one argument passes; ``pattern`` is the rule's regex or NULL."""
+def _argument_allowed(arg: Column, allowed: Column, patterns: Column) -> Column:
+    """Whether one argument passes; ``patterns`` are the rule's regexes."""
     option = arg.startswith("-")
     letters = F.transform(
         F.sequence(F.lit(2), F.length(arg)), lambda i: F.concat(F.lit("-"), arg.substr(i, F.lit(1)))
@@ -228,19 +231,17 @@ def _argument_allowed(arg: Column, allowed: Column, pattern: Column) -> Column:
     )
     base = F.substring_index(arg, "=", 1)
     with_value = arg.contains("=") & F.exists(allowed, lambda a: F.startswith(a, base))
-    by_pattern = F.coalesce(F.rlike(arg, pattern), F.lit(False))
+    by_pattern = F.exists(patterns, lambda p: F.rlike(arg, p))
     return ~option | F.array_contains(allowed, arg) | bundle | with_value | by_pattern
 
 
-def _with_pattern(policy: DataFrame) -> DataFrame:
-    """One regex per rule that accepts what any of its patterns accepts at the start of a word."""
-    either = F.array_join(
-        F.transform("allowed_patterns", lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|"
-    )
-    regex = F.when(
-        F.size("allowed_patterns") > 0, F.concat(F.lit("(?Ud)^(?:"), either, F.lit(")"))
+def _with_patterns(policy: DataFrame) -> DataFrame:
+    """The rules' patterns, each made to match at the start of a word; one by one, since patterns
+    joined into one would count their groups together."""
+    anchored = F.transform(
+        "allowed_patterns", lambda p: F.concat(F.lit("(?Ud)^(?:"), p, F.lit(")"))
     )
-    return policy.withColumn("_pattern", regex)
+    return policy.withColumn("_patterns", F.coalesce(anchored, F.array().cast("array<string>")))
 
 
 def validate_commands(
@@ -257,13 +258,13 @@ def validate_commands(
         "_words", F.when(sudo, F.slice("_all", 2, F.size("_all"))).otherwise(F.col("_all"))
     ).withColumn("program", F.get(words, F.lit(0)))
     args = F.slice(words, 2, F.size(words))
-    rules = _with_pattern(policy).select(
-        F.col("command").alias("program"), "allowed_args", "_pattern", F.lit(True).alias("_listed"),
+    rules = _with_patterns(policy).select(
+        F.col("command").alias("program"), "allowed_args", "_patterns", F.lit(True).alias("_listed"),
         F.col("description").alias("rule_description"), F.col("category").alias("rule_category"),
         "risk_level", "requires_sudo",
     )
     fine = F.forall(
-        args, lambda a: _argument_allowed(a, F.col("allowed_args"), F.col("_pattern"))
+        args, lambda a: _argument_allowed(a, F.col("allowed_args"), F.col("_patterns"))
     )
     verdict = (
         F.when(F.col("_listed").isNull(), COMMAND_NOT_ALLOWED)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,13 @@ _READ = (
     " suggested_commands array<map<string,string>>, confidence string"
 )
 
+#: Members that are more than a text, with the type they are read as.
+_TYPES = {
+    "possible_causes": "array<variant>",
+    "suggested_commands": "array<map<string,variant>>",
+    "confidence": "double",
+}
+
 # What an absent member means
 DEFAULTS = {
     "problem_type": "未知",
@@ -48,7 +57,8 @@ def json_text(content: Column) -> Column:
 
 
 def decode_responses(responses: DataFrame, content: str = "content") -> DecodedResponses:
-    """Read the model's answers. Text that is no JSON object is a failure.
+    """Read the model's answers. Text that is no JSON object is a failure (``bad_json``), and so is
+    an object with a member of the wrong type (``bad_member``).
 
     A member that is present but null stays NULL; only absent members take their default.
     """
@@ -60,7 +70,18 @@ def decode_responses(responses: DataFrame, content: str = "content") -> DecodedR
     failures = df.filter(F.col("_keys").isNull()).select(
         *others, content, F.lit("bad_json").alias("reason")
     )
-    read = df.filter(F.col("_keys").isNotNull()).withColumn("_r", F.from_json("_json", _READ))
+    # A member that is there, is not null and cannot be read as its type spoils the answer.
+    read = df.filter(F.col("_keys").isNotNull()).withColumn("_v", F.try_parse_json("_json"))
+    wrong = reduce(or_, [
+        F.get_json_object("_json", f"$.{name}").isNotNull()
+        & F.try_variant_get("_v", f"$.{name}", kind).isNull()
+        for name, kind in _TYPES.items()
+    ])
+    read = bind(read, "_wrong", F.coalesce(wrong, F.lit(False)))
+    failures = failures.unionByName(read.filter("_wrong").select(
+        *others, content, F.lit("bad_member").alias("reason")
+    ))
+    read = read.filter("NOT _wrong").withColumn("_r", F.from_json("_json", _READ))
 
     def member(name: str, value: Column, default: Column) -> Column:
         return F.when(F.array_contains("_keys", name), value).otherwise(default)

@@ -18,8 +18,8 @@ def succeeded() -> Column:
 
 
 def _position() -> Column:
-    """Running order of a result: by command, then host (of at most 2**20 hosts)."""
-    return F.shiftleft(F.col("command_idx").cast("bigint"), 20) + F.col("host_idx")
+    """Running order of a result: by command, then host."""
+    return F.struct(F.col("command_idx").cast("bigint"), F.col("host_idx").cast("bigint"))
 
 
 def stop_on_error(results: DataFrame) -> DataFrame:
@@ -118,9 +118,11 @@ def observations(results: DataFrame) -> DataFrame:
 def observed_facts(results: DataFrame) -> DataFrame:
     """``session_id, seq, fact, source, confidence`` from the output and the failures of runs.
 
-    ``seq`` puts the facts in the order in which the runs would have added them.
+    ``seq`` puts the facts in the order in which the runs would have added them: a decimal that
+    holds any command, any host and the kind of finding side by side.
     """
-    runs = results.withColumn("_run", _position())
+    wide = F.col("command_idx").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)")
+    runs = results.withColumn("_run", wide + F.col("host_idx"))
     found = findings_to_facts(
         extract_findings(
             runs.filter(succeeded()).select(
@@ -137,6 +139,6 @@ def observed_facts(results: DataFrame) -> DataFrame:
     kind = F.when(F.col("fact") == "存在超时问题", 0).when(F.col("fact") == "连接被拒绝", 1)
     return found.unionByName(failures).select(
         "session_id",
-        (F.shiftleft(F.col("_run"), 2) + kind.otherwise(2)).alias("seq"),
+        (F.col("_run") * 4 + kind.otherwise(2)).cast("decimal(38,0)").alias("seq"),
         "fact", "source", "confidence",
     )

@@ -11,7 +11,7 @@ from faultline.operators.lineformat import ParsedLines
 from faultline.operators.parse import parse_logs
 from faultline.operators.prompt import prompt_context
 from faultline.operators.stats import log_statistics
-from faultline.sources.lines import count_files, list_files, read_heads, read_lines
+from faultline.sources.lines import list_files, read_heads, read_lines
 
 
 class LogAnalysis(NamedTuple):
@@ -57,7 +57,7 @@ def analyze_files(
     """
     lines = read_lines(spark, paths, max_size)
     heads = read_heads(spark, paths) if fmt is None and open_heads else None
-    parsed = parse_logs(lines, fmt, heads, count_files(lines), compat)
+    parsed = parse_logs(lines, fmt, heads, compat=compat)
     if store is not None:
         parsed = stored(spark, parsed, store)
     return analyze_entries(parsed)

@@ -9,14 +9,16 @@ from faultline.functions.formatting import iso_datetime
 from faultline.operators.audit import query_audit
 from faultline.schema import AUDIT
 
-EXPORT_LIMIT = 10_000
-
 
 def append_audit(entries: DataFrame, folder: str) -> None:
-    """Append entries as JSON lines, one folder per day of writing (``date=YYYY-MM-DD``)."""
+    """Append entries as JSON lines, one folder per day of the entries (``date=YYYY-MM-DD``).
+
+    Each day's entries are brought together first, in files of even size.
+    """
     (
         entries.select(*AUDIT.fieldNames())
         .withColumn("date", F.to_date("timestamp"))
+        .hint("rebalance", "date")
         .withColumn("timestamp", iso_datetime("timestamp"))
         .write.mode("append").partitionBy("date")
         .option("ignoreNullFields", "false")
@@ -25,7 +27,7 @@ def append_audit(entries: DataFrame, folder: str) -> None:
 
 
 def read_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries written by :func:`append_audit`; a filter on ``date`` prunes folders."""
+    """Entries written by :func:`append_audit`; time bounds prune folders by ``date``."""
     fields = ", ".join(
         f"`{f.name}` {'string' if f.name == 'timestamp' else f.dataType.simpleString()}"
         for f in AUDIT.fields
@@ -35,9 +37,10 @@ def read_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_export_rows(
-    entries: DataFrame, start=None, end=None, limit: int | None = EXPORT_LIMIT
+    entries: DataFrame, start=None, end=None, limit: int | None = None
 ) -> DataFrame:
-    """What an export holds: the newest entries with ISO times and details as a JSON text."""
+    """What an export holds, newest first, with ISO times and details as a JSON text; all matching
+    entries unless a ``limit`` is given."""
     found = query_audit(entries, start=start, end=end, limit=limit)
     details = F.coalesce(F.to_json("details"), F.lit("{}"))
     return found.select(
@@ -52,7 +55,7 @@ def audit_export_rows(
 
 def export_audit(
     entries: DataFrame, folder: str, fmt: str = "json", start=None, end=None,
-    limit: int | None = EXPORT_LIMIT,
+    limit: int | None = None,
 ) -> None:
     """Write an export, newest first: JSON objects, or CSV with a header."""
     if fmt == "json":

@@ -43,8 +43,7 @@ def read_lines(
 
     ``line_id`` is unique and increasing within a file. ``max_size`` leaves out larger files; the
     default keeps all. Bytes that are not UTF-8 read
-    as U+FFFD. Compressed files cannot be split:
-    use :func:`spread` before heavy work.
+    as U+FFFD. Compressed files cannot be split; ``repartition`` them before heavy work.
     """
     for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
         if _bytes(spark.conf.get(key)) < _MIB:
@@ -124,21 +123,3 @@ def read_heads(spark: SparkSession, paths: str | Sequence[str], count: int = 20)
                 )
 
     return files.mapInPandas(read, "file string, line_id bigint, value string")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, when the scan gives fewer tasks than the cluster has.
-
-    That is so for compressed files, which cannot be split, and for small inputs. A scan with
-    enough tasks is left alone and not shuffled. ``df`` has to be a plain scan: asking for the
-    number of tasks would run the shuffles of anything else.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
-def count_files(lines: DataFrame) -> int:
-    """Number of files behind a file-based frame, from its listing; runs no job."""
-    return len(lines.inputFiles())

@@ -9,10 +9,11 @@ from faultline.sources.records import with_success
 
 
 def write_reports(reports: DataFrame, folder: str, text: str = "report", fmt: str = "parquet") -> None:
-    """One report per row. ``text`` output has the reports' lines only, one folder per source."""
+    """One report per row. ``text`` output, for few sources, has the reports' lines only, in one folder
+    per source; its name is the source's, URL-encoded, so that no two sources share one."""
     if fmt == "text":
         named = reports.select(
-            F.regexp_replace("source", r"[^\w.-]+", "_").alias("source"), F.col(text).alias("value")
+            F.url_encode("source").alias("source"), F.col(text).alias("value")
         )
         named.write.mode("overwrite").partitionBy("source").text(folder)
     else:

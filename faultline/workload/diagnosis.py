@@ -23,7 +23,6 @@ from faultline.operators.sessions import (
     stop_on_error, successful_results,
 )
 from faultline.plans.report import diagnosis_reports
-from faultline.sources.lines import spread
 from faultline.workload import render
 from faultline.workload.registry import query
 from faultline.workload.render import text
@@ -35,7 +34,7 @@ def _responses(spark, folder) -> DataFrame:
     """A model answer per conversation turn: fenced in two ways, bare, sparse, or broken."""
     turns = render.table(spark, folder, "conversations")
     turns = bind(turns, "_full", F.to_json(F.struct(
-        F.substring("text", 1, 40).alias("problem_type"),
+        F.col("text").alias("problem_type"),
         F.array(F.col("role"), text("cause ", F.col("turn")), F.lit("第三"), F.lit("fourth"))
         .alias("possible_causes"),
         text("P", F.col("turn") % 3).alias("risk_level"),
@@ -68,7 +67,7 @@ _FULL = "turn % 5 IN (0, 1, 2)"
 
 @query("decoded_responses", "I2 I3", f"""
 SELECT conv_id || '-' || turn AS source,
-       CASE WHEN {_FULL} THEN text[:40] ELSE '未知' END AS problem_type,
+       CASE WHEN {_FULL} THEN text ELSE '未知' END AS problem_type,
        CASE WHEN {_FULL} THEN role || '|cause ' || turn || '|第三|fourth' ELSE '' END AS causes,
        CASE WHEN {_FULL} THEN 'P' || (turn % 3) ELSE 'P2' END AS risk_level,
        CASE WHEN {_FULL} THEN '网络/d/ping ' || conv_id || '|其他//uptime|网络/again/ss' ELSE '' END
@@ -110,7 +109,7 @@ def commands_by_category_(spark, folder) -> DataFrame:
 
 @query("initial_facts", "I6", f"""
 SELECT conv_id || '-' || turn AS source,
-       '问题类型: ' || CASE WHEN {_FULL} THEN text[:40] ELSE '未知' END AS fact,
+       '问题类型: ' || CASE WHEN {_FULL} THEN text ELSE '未知' END AS fact,
        'AI分析' AS fact_source, CASE WHEN {_FULL} THEN turn / 8 ELSE 0.5 END::DOUBLE AS confidence
 FROM conversations WHERE turn % 5 <> 4
 """, with_events=False)
@@ -150,7 +149,7 @@ def _outputs(spark, folder) -> DataFrame:
         "rtt latency high", "0% packet loss", "DNS timeout, time=3 ms", "",
     ]
     note = F.get(F.array(*[F.lit(n) for n in notes]), (F.col("doc_id") % 7).cast("int"))
-    return spread(render.table(spark, folder, "documents")).select(
+    return render.table(spark, folder, "documents").select(
         F.col("source").alias("session_id"), F.col("doc_id").alias("seq"),
         text(note, "\n", F.col("text")).alias("output"),
     )
@@ -322,13 +321,13 @@ state AS (
   SELECT hyp.session_id, hyp.hypothesis_id, hyp.hypothesis,
          coalesce((SELECT arg_max(u.status, u.seq) FROM upd u
                    WHERE u.session_id = hyp.session_id AND u.hypothesis_id = hyp.hypothesis_id
-                     AND u.status IS NOT NULL), 'active') AS status,
+                     AND u.seq > hyp.seq AND u.status IS NOT NULL), 'active') AS status,
          coalesce((SELECT arg_max(u.confidence, u.seq) FROM upd u
                    WHERE u.session_id = hyp.session_id AND u.hypothesis_id = hyp.hypothesis_id
-                     AND u.confidence IS NOT NULL), hyp.confidence) AS confidence,
+                     AND u.seq > hyp.seq AND u.confidence IS NOT NULL), hyp.confidence) AS confidence,
          1 + coalesce((SELECT count(*) FROM upd u
                    WHERE u.session_id = hyp.session_id AND u.hypothesis_id = hyp.hypothesis_id
-                     AND u.event_type = 'view'), 0) AS evidence_count
+                     AND u.seq > hyp.seq AND u.event_type = 'view'), 0) AS evidence_count
   FROM hyp
 )
 """
@@ -372,7 +371,8 @@ def active_hypotheses_(spark, folder) -> DataFrame:
 SELECT session_id, hypothesis_id, -1 AS seq, 'seen' AS evidence FROM hyp
 UNION ALL
 SELECT u.session_id, u.hypothesis_id, u.seq, 'view ' || u.seq FROM upd u
-JOIN hyp USING (session_id, hypothesis_id) WHERE u.event_type = 'view'
+JOIN hyp ON hyp.session_id = u.session_id AND hyp.hypothesis_id = u.hypothesis_id
+WHERE u.event_type = 'view' AND u.seq > hyp.seq
 """)
 def hypothesis_evidence_(spark, folder) -> DataFrame:
     return hypothesis_evidence(*hypotheses_and_updates(spark, folder)).select(

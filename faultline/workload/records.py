@@ -16,7 +16,7 @@ from faultline.operators.audit import (
 from faultline.operators.lineformat import parse_as
 from faultline.operators.memory import (
     append_decisions, entries_of_round, hypothesis_state, memory_from_json, memory_summary,
-    memory_to_json, recent_entries, retained_entries, upsert_facts,
+    memory_to_json, recent_entries, upsert_facts,
 )
 from faultline.operators.nginx import Nginx
 from faultline.operators.sessions import observed_facts
@@ -40,7 +40,9 @@ AS_OF = datetime(2024, 1, 25, 12, 0, 0)
 
 def _folder(spark: SparkSession) -> str:
     """A new folder for files that a query writes before it reads them."""
-    base = shared_folder(spark, fallback=tempfile.gettempdir())
+    # Without a shared folder, one machine has its own.
+    alone = spark.sparkContext.master.startswith("local[")
+    base = shared_folder(spark, fallback=tempfile.gettempdir() if alone else None)
     return f"{base.rstrip('/')}/faultline-{uuid4().hex}"
 
 
@@ -116,7 +118,7 @@ SELECT 'id-' || event_id AS id, CASE event_type WHEN 'error' THEN 'command_execu
          WHEN 'purchase' THEN 'log_file=/l' || CASE WHEN user_id % 2 = 0 THEN ',problem_type=p'
                                                ELSE '' END
          ELSE 'action_type=step,round=9' END AS details
-FROM ev WHERE event_type <> 'view'
+FROM ev
 """)
 def audit_events(spark, folder) -> DataFrame:
     ev = render.events(spark, folder).select(
@@ -137,7 +139,7 @@ def audit_events(spark, folder) -> DataFrame:
         analyze_events(of("purchase").select(
             "id", "result", "timestamp", F.lit("/l").alias("log_file"),
             F.when(even, "p").otherwise("").alias("problem_type"))),
-        agent_action_events(of("click").select(
+        agent_action_events(ev.filter(F.col("event_type").isin("click", "view")).select(
             "id", "result", "timestamp", F.lit(1).alias("round"), F.lit("step").alias("action_type"),
             F.create_map(F.lit("round"), F.lit("9")).alias("extra"))),
     ]
@@ -162,7 +164,6 @@ def audit_store(spark, folder) -> DataFrame:
 SELECT id, replace(strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') AS timestamp, action, result, host,
        CASE WHEN log_file IS NULL THEN '{}' ELSE '{"log_file":"' || log_file || '"}' END AS details
 FROM audit WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp <= TIMESTAMP '2024-01-20'
-ORDER BY timestamp DESC, id LIMIT 10000
 """)
 def audit_export(spark, folder) -> DataFrame:
     path = _folder(spark)
@@ -193,7 +194,7 @@ SELECT 'c' || conv_id AS session_id, turn AS id, role AS action_type FROM conver
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5
 """, with_events=False)
 def recent_memory(spark, folder) -> DataFrame:
-    return recent_entries(retained_entries(_memory(spark, folder))).select(
+    return recent_entries(_memory(spark, folder)).select(
         "session_id", "id", "action_type"
     )
 
@@ -293,14 +294,14 @@ SELECT 'entries' AS section, 'c' || conv_id || '/' || turn || '/' || role || '/'
        (1700000000 + turn) || '/' || length(text) AS record
 FROM conversations
 UNION ALL
-SELECT 'decisions', 'c' || conv_id || '/' || turn || '/' || text[:20] || '/a,b' FROM conversations
+SELECT 'decisions', 'c' || conv_id || '/' || turn || '/' || text || '/a,b' FROM conversations
 """, with_events=False)
 def memory_json(spark, folder) -> DataFrame:
     """Memory written as JSON records and read back."""
     entries = _memory(spark, folder)
     choices = render.table(spark, folder, "conversations").select(
         text("c", F.col("conv_id")).alias("session_id"), F.col("turn").alias("seq"),
-        F.substring("text", 1, 20).alias("decision"), F.lit("").alias("reasoning"),
+        F.col("text").alias("decision"), F.lit("").alias("reasoning"),
         F.array(F.lit("a"), F.lit("b")).alias("alternatives"),
     )
     rows = memory_to_json(entries=entries, decisions=choices)

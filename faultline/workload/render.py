@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.sources.lines import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,7 +17,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with ``sec`` (time in whole seconds), a log file name and a line number."""
-    return spread(table(spark, folder, "events")).select(
+    return table(spark, folder, "events").select(
         "event_id", "user_id", "event_type", "value", "ts",
         F.date_trunc("second", F.col("ts").cast("timestamp")).alias("sec"),
         F.concat(F.lit("app-"), (F.col("user_id") % 20).cast("string"), F.lit(".log")).alias("file"),
@@ -187,7 +186,7 @@ def memory_entries(conversations: DataFrame) -> DataFrame:
         text("c", F.col("conv_id")).alias("session_id"), F.col("turn").alias("id"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn")).alias("timestamp"),
         (F.col("turn") % 3).cast("int").alias("round"), F.col("role").alias("action_type"),
-        F.substring("text", 1, 30).alias("action_description"),
-        F.substring("text", 1, 500).alias("observation"), F.lit("").alias("result_summary"),
+        F.col("text").alias("action_description"),
+        F.col("text").alias("observation"), F.lit("").alias("result_summary"),
         F.create_map(F.lit("chars"), F.length("text").cast("string")).alias("metadata"),
     )
