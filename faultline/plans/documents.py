@@ -17,7 +17,7 @@ PART_BITS = 12
 
 @dataclass(frozen=True)
 class Section:
-    """A titled block. ``lines`` has the key, ``pos`` (bigint, unique per key) and ``line``."""
+    """A titled block. ``lines`` has the key, ``pos`` (whole, not negative, unique per key) and ``line``."""
 
     title: str | None
     lines: DataFrame
@@ -41,7 +41,7 @@ def assemble(
     """
     rows = reduce(DataFrame.unionByName, [
         section.lines.select(
-            key, F.lit(i).alias("_section"), F.shiftright("pos", part_bits).alias("_page"),
+            key, F.lit(i).alias("_section"), F.expr(f"pos DIV {1 << part_bits}").alias("_page"),
             F.col("pos").alias("_pos"), F.col("line").alias("_line"),
         )
         for i, section in enumerate(sections)
