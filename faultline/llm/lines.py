@@ -86,9 +86,11 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in words.blocks(batch["text"]):
+        for first, last, data, offsets in words.blocks(batch["text"]):
             found = Lines(data, offsets)
             names, chosen = np.unique(found.names, return_index=True)
+            wanted = np.isin(names, batch["ids"].slice(first, last - first).flatten().to_numpy())
+            names, chosen = names[wanted], chosen[wanted]
             h, bounds = words.distinct_per_text(*found.shingles(chosen))
             yield pa.record_batch({
                 "id": names,
@@ -112,9 +114,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     roots = banded(sets, agreeing(similarity))
     places = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     members = staged(roots.join(places, "id"), "line-members")
-    wanted = members.select("doc_id").distinct()
-    hashes = texts.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(
-        _hashed, "id bigint, hashes binary").join(members.select("id", "root"), "id").dropDuplicates(["id"])
+    # Shingles of the members alone, each from one document that holds it; read twice below.
+    wanted = members.groupBy("doc_id").agg(F.collect_list("id").alias("ids"))
+    hashes = staged(
+        texts.join(wanted, "doc_id").select("text", "ids").mapInArrow(_hashed, "id bigint, hashes binary")
+        .join(members.select("id", "root"), "id").dropDuplicates(["id"]),
+        "line-hashes",
+    )
     _, named = exact_links(hashes, similarity)
     # The place of a line as a number that sorts like it: ids first, nulls last.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
