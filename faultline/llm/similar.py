@@ -197,8 +197,11 @@ def _exact(batches: Iterator[pa.RecordBatch], similarity: float, least_common: i
             size, crossing = end - start, i[start] != j[start]
             if size < 2:
                 continue
-            counts = np.diff(offsets[start:end + 1]).astype(np.float32)
-            common = _intersections(h[offsets[start]:offsets[end]], np.diff(offsets[start:end + 1]))
+            own_h, own_offsets = h[offsets[start]:offsets[end]], offsets[start:end + 1] - offsets[start]
+            common = _intersections(own_h, np.diff(own_offsets))
+            # Hashes listed for their places repeat; a set's size counts each once.
+            distinct = own_offsets if least_common is None else words.distinct_per_text(own_h, own_offsets)[1]
+            counts = np.diff(distinct).astype(np.float32)
             linked = common >= np.float32(similarity) * (counts[:, None] + counts[None, :] - common) - 1e-4
             if least_common is not None:
                 linked |= common >= least_common
@@ -261,7 +264,7 @@ def exact_links(sets: DataFrame, similarity: float, least_common: int | None = N
     """Number of links per id, and the classes that they form.
 
     ``sets``: ``root`` (the group to compare), ``id`` (unique), ``hashes`` (distinct 64-bit hashes,
-    joined). Gives ``id, links, first, last`` of ids with links and ``id, root`` of the classes. Sets
+    joined; with ``least_common`` in their order, and they may repeat). Gives ``id, links, first, last`` of ids with links and ``id, root`` of the classes. Sets
     with ``least_common`` hashes in common are linked too; then ``first`` and ``last`` are the outer
     places in ``hashes`` of those that linked sets share, else null.
     """

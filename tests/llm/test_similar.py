@@ -122,3 +122,14 @@ def test_passages_of_other_documents_are_found(docs):
     assert set(found) - {i for i, _ in rows} - {204} == ({103, 200} if long_enough else set())
     assert sum(not r.removed for r in got) == len({r.class_id for r in got})
     assert passages.repeats(docs()).count() == 0
+
+
+def test_repetitive_paragraphs_are_compared_by_distinct_shingles(docs):
+    rng = random.Random(8)
+    refrain = text(rng, 26).split() * 3
+    edited = [*refrain[:38], "edited", *refrain[39:]]
+    rows = [(1, " ".join(refrain)), (2, " ".join(edited)), (3, text(rng, 78))]
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert len(a & b) >= 0.8 * len(a | b) and len(a & b) < passages.LEAST_COMMON
+    got = passages.repeats(docs(*rows)).collect()
+    assert {r.doc_id for r in got} == {1, 2} and len({r.class_id for r in got}) == 1
