@@ -1,6 +1,7 @@
 """Substring deduplication by MinHash of paragraphs.
 
-A text's lines are its paragraphs; very long ones are cut where the hash of a word is the largest
+A text's lines are its paragraphs, and lines of fewer words than ``LEAST_WORDS`` in a row are one
+together, so that hard-wrapped text is read; very long ones are cut where the hash of a word is the largest
 around, so that equal stretches have equal cuts. Paragraphs of enough words are banded by single
 minima of their five-word shingles: sixteen bands find 98 % of the pairs that share a fifth, so a
 passage is found inside different surroundings too. Colliding paragraphs are compared exactly and linked
@@ -51,6 +52,13 @@ class Paragraphs:
         lines = np.flatnonzero(found.data == 10)
         cut[np.searchsorted(found.starts, lines)] = True
         places = np.flatnonzero(cut)
+        if len(places) > 1:
+            # Short lines in a row are one paragraph, however it is wrapped.
+            short = np.diff(places) < LEAST_WORDS
+            text = np.searchsorted(found.offsets, places[:-1], "right")
+            wrapped = np.flatnonzero(short[1:] & short[:-1] & (text[1:] == text[:-1])) + 1
+            cut[places[wrapped]] = False
+            places = np.flatnonzero(cut)
         starts, ends = places[:-1], places[1:]
         long = ends - starts > LONG_WORDS
         if long.any():

@@ -133,3 +133,19 @@ def test_repetitive_paragraphs_are_compared_by_distinct_shingles(docs):
     assert len(a & b) >= 0.8 * len(a | b) and len(a & b) < passages.LEAST_COMMON
     got = passages.repeats(docs(*rows)).collect()
     assert {r.doc_id for r in got} == {1, 2} and len({r.class_id for r in got}) == 1
+
+
+def wrapped(value, width):
+    w = value.split()
+    return "\n".join(" ".join(w[i:i + width]) for i in range(0, len(w), width))
+
+
+def test_hard_wrapped_passages_are_found(docs):
+    rng = random.Random(9)
+    passage = text(rng, 60)
+    rows = [(1, wrapped(text(rng, 20) + " " + passage + " " + text(rng, 20), 15)),
+            (2, wrapped(text(rng, 8) + " " + passage + " " + text(rng, 30), 12)), (3, wrapped(passage, 13)), (4, wrapped(text(rng, 90), 14))]
+    got = passages.repeats(docs(*rows)).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3}
+    for r in got:
+        assert set(passage.split()) <= set(words_of(dict(rows)[r.doc_id])[r.first_word:r.last_word + 1])
