@@ -107,3 +107,24 @@ def test_at_most_the_bound_of_labels_is_used(spark, docs):
     rows = [(i, f"text {i}") for i in range(50)]
     known = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id bigint, quality int, toxic int")
     assert quality.train(docs(*rows), known, quality.GRADE, quality.GRADES, labelled=10) is not None
+
+
+def test_items_are_found_with_ties_opening_names_and_names_of_other_lengths(spark, docs):
+    rng = random.Random(11)
+    items = [
+        (1, "Together they buy 3 apples and 5 pears at the market, so how much fruit do they carry home?"),
+        (2, "Tom has 5 apples in all. Tom buys 3 more today. Tom eats 2 of them. How many are left?"),
+        (3, "Yesterday the teacher told Paul that the red box holds more books than what Paul had counted."),
+    ]
+    rows = [
+        (1, "Together they buy 4 apples and 4 pears at the market, so how much fruit do they carry home?"),
+        (2, "Ann has 9 apples in all. Ann buys 4 more today. Ann eats 1 of them. How many are left?"),
+        (3, "Yesterday the teacher told Mary Ann Jones that the red box holds more books than what Mary Ann Jones had counted."),
+        (4, "Tom has 5 apples in all but nobody asked how many of them are left for the others."),
+        (5, "Yesterday the teacher told Rita that the red box holds more books than what Otto had counted."),
+    ]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    full = [(i, f"{text(rng, 30)}. {t} {text(rng, 30)}") for i, t in rows]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs(*full), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3)}
+    assert got[1, 1].n_changed == 2 and got[2, 2].cover == 1
