@@ -28,7 +28,16 @@ def staged(frame: DataFrame, label: str) -> DataFrame:
     frame.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.staged_in = folder
+    return table
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete what ``staged`` wrote for these frames, which nothing reads any more."""
+    for frame in frames:
+        folder = frame.staged_in
+        folder.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shipped(spark: SparkSession) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, chunks, decontaminate, licences, lines, packing, passages, quality, setjoin, shards
+from faultline.llm import chat, chunks, decontaminate, licences, lines, packing, passages, quality, resample, setjoin, shards
 from faultline.llm.staging import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +162,70 @@ def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their weight towards the benchmark, and the ranks of the drawn."""
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank"
+    )
+
+
+#: ``crc32`` of the column ``hx``, a hexadecimal text, over the relation ``hexed``.
+CRC_SQL = """
+crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(
+           [CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t
+), summed AS (
+  SELECT hexed.*, CAST(xor(4294967295, list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(hx) // 2),
+             lambda k: CAST('0x' || hx[2 * k + 1:2 * k + 2] AS BIGINT))),
+           lambda a, b: xor(a // 256, t[CAST(xor(a % 256, b) AS INTEGER) + 1]))) AS BIGINT) AS crc32
+  FROM hexed CROSS JOIN crc
+)
+"""
+
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH texts AS (
+  SELECT 'd' AS kind, rowid AS r, doc_id, text FROM (SELECT *, row_number() OVER () AS rowid FROM documents)
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark
+), w AS (
+  SELECT kind, r, doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")},
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts
+), f AS (
+  SELECT kind, r, unnest(ws) AS f FROM w
+  UNION ALL SELECT kind, r, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT kind, r, unnest(list_transform(range(1, len(ws) - 1),
+                   lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w
+), hexed AS (
+  SELECT f, hex(encode(f)) AS hx FROM (SELECT DISTINCT f FROM f)
+), {CRC_SQL.strip()}, b AS (
+  SELECT kind, r, crc32 % {resample.BUCKETS} AS bucket, count(*) AS n FROM f JOIN summed USING (f) GROUP BY ALL
+), c AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t
+  FROM b GROUP BY bucket
+), g AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + {resample.BUCKETS} AS DOUBLE)
+         / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + {resample.BUCKETS} AS DOUBLE)))) AS BIGINT) AS gain FROM c
+), d AS (
+  SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM b JOIN g USING (bucket) WHERE kind = 'd' GROUP BY r
+), s AS (
+  SELECT doc_id, r, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8]
+           AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS score
+  FROM w LEFT JOIN d USING (r) WHERE kind = 'd'
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, r) AS place,
+         count(*) FILTER (n_words >= 20) OVER () AS allowed FROM s
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight,
+       CAST(score AS BIGINT) AS score,
+       CASE WHEN n_words >= 20 AND place <= 5 * allowed // 100 THEN place END AS rank
+FROM o
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -173,10 +237,12 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_licences": op10_licences,
+    "op11_resample": op11_resample,
 }
 
 SQL: dict[str, str] = {
     "op5_chat_format": OP5_SQL,
     "op6_shards": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_resample": OP11_SQL,
 }
