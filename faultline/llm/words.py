@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once: bounds the temporary arrays of a task. A longer text is a block by itself.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 512 << 10
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -66,12 +66,12 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Consecutive rows ``first`` to ``last`` with their bytes and offsets, a bounded size at a time."""
     data, offsets = text_bytes(column)
     first, rows = 0, len(offsets) - 1
     while first < rows:
-        last = int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), rows)
         yield first, last, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
         first = last

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, chunks, decontaminate, licences, lines, packing, passages, quality, resample, setjoin, shards, spelling
+from faultline.llm import chat, chunks, decontaminate, licences, lines, packing, passages, quality, resample, scoring, setjoin, shards, spelling
 from faultline.llm.staging import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,6 +268,13 @@ SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms
 """
 
 
+def op13_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with their probability under a model of the rows that are not held out."""
+    return scoring.score(table(spark, folder, "documents")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -281,6 +288,7 @@ QUERIES: dict[str, Query] = {
     "op10_licences": op10_licences,
     "op11_resample": op11_resample,
     "op12_spelling": op12_spelling,
+    "op13_lm_score": op13_lm_score,
 }
 
 SQL: dict[str, str] = {
