@@ -1,4 +1,8 @@
-"""Events that span several physical lines."""
+"""Events that span several physical lines, as two related tables: heads, and lines in their order.
+
+An event may have any number of lines, so none is ever put together in one row or one task: the lines
+keep their rows and learn the number of their event and their place in it.
+"""
 
 from __future__ import annotations
 
@@ -8,27 +12,21 @@ from pyspark.sql import functions as F
 from faultline.functions.pyregex import translate
 from faultline.functions.text import DIALECT
 from faultline.operators.custom import ParserConfig
-from faultline.operators.ordered import CHUNK_BITS
-
-#: Lines per output row. A longer event continues in further rows, so no row grows without bound.
-SEGMENT_BITS = 13
+from faultline.operators.ordered import CHUNK_BITS, FAN_BITS, before
 
 
-def assemble_events(
-    lines: DataFrame, start_pattern: str, bits: int = CHUNK_BITS, segment_bits: int = SEGMENT_BITS
+def event_lines(
+    lines: DataFrame, start_pattern: str, bits: int = CHUNK_BITS, fan_bits: int = FAN_BITS
 ) -> DataFrame:
-    """``file, event_no, segment, line_id, lines, head, value``: one row per event.
+    """``file, event_no, line_no, line_id, value``: every line with its event and its place there.
 
     A line that matches ``start_pattern`` at its beginning starts an event; lines before the first
-    start form event 0. ``head`` is the first line of the row, ``value`` all of its lines. Events
-    of more than ``2**segment_bits`` lines go on in segments 1, 2, ...
+    start form event 0. ``line_no`` counts from 0. The result does not depend on the sizes of the
+    chunks in which the lines are numbered.
     """
     start = F.col("_start")
     chunk = Window.partitionBy("file", "_chunk").orderBy("line_id")
     so_far = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("file").orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
 
     # A file is cut into chunks of lines; each is numbered on its own.
     lines = lines.select(
@@ -42,43 +40,40 @@ def assemble_events(
         F.count_if(start).alias("_starts"),
         F.max(F.when(start, F.col("_k"))).alias("_last_k"),
     )
-    carried = chunks.withColumn(
-        "_lines_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))
-    ).select(
-        "file", "_chunk", "_lines_before",
-        F.coalesce(F.sum("_starts").over(before), F.lit(0)).alias("_starts_before"),
-        F.max(F.col("_lines_before") + F.col("_last_k")).over(before).alias("_open_since"),
+    counted = before(
+        chunks, ["file"], "_chunk", {"_lines_before": ("sum", "_rows"), "_starts_before": ("sum", "_starts")},
+        fan_bits,
+    ).withColumn("_last", F.col("_lines_before") + F.col("_last_k"))
+    carried = before(counted, ["file"], "_chunk", {"_open_since": ("max", "_last")}, fan_bits).select(
+        "file", "_chunk", "_lines_before", "_starts_before", "_open_since"
     )
     number = F.col("_lines_before") + F.col("_k")
-    placed = lines.join(carried, ["file", "_chunk"]).select(
-        "file", "line_id", "value", number.alias("_n"),
+    first = F.coalesce(F.max(F.when(start, number)).over(so_far), "_open_since", F.lit(1))
+    return lines.join(carried, ["file", "_chunk"]).select(
+        "file",
         (F.count_if(start).over(so_far) + F.col("_starts_before")).alias("event_no"),
-        F.coalesce(
-            F.max(F.when(start, number)).over(so_far), "_open_since", F.lit(1)
-        ).alias("_first_n"),
-    ).withColumn("segment", F.shiftright(F.col("_n") - F.col("_first_n"), segment_bits))
-    rows = placed.groupBy("file", "event_no", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("line_id", "value"))).alias("_rows")
+        (number - first).alias("line_no"), "line_id", "value",
     )
-    first = F.get(F.col("_rows"), F.lit(0))
-    return rows.select(
-        "file", "event_no", "segment",
-        first["line_id"].alias("line_id"),
-        F.size("_rows").cast("bigint").alias("lines"),
-        first["value"].alias("head"),
-        F.array_join("_rows.value", "\n").alias("value"),
+
+
+def event_heads(placed: DataFrame) -> DataFrame:
+    """``file, event_no, line_id, lines, value``: the first line of each event and how many it has."""
+    head = F.col("line_no") == 0
+    return placed.groupBy("file", "event_no").agg(
+        F.min("line_id").alias("line_id"),
+        F.count(F.lit(1)).alias("lines"),
+        F.max(F.when(head, F.col("value"))).alias("value"),
     )
 
 
 def multiline_lines(lines: DataFrame, config: ParserConfig) -> DataFrame:
-    """Lines as the format sees them: assembled heads when it is a multi-line one.
+    """Lines as the format sees them: the heads of events when it is a multi-line one.
 
-    The result has the usual line columns, ready for parsing, plus ``text`` with the whole event.
+    The result has the usual line columns, ready for parsing: an event is one entry, or one line in
+    quarantine, however long it is. Its lines are those of :func:`event_lines` by ``line_id``.
     """
     if not (config.multiline and config.multiline_pattern):
-        return lines.withColumn("text", F.col("value"))
-    events = assemble_events(lines, config.multiline_pattern)
-    return events.select(
-        "file", "line_id", "event_no", "segment", F.col("head").alias("value"),
-        F.col("value").alias("text"),
+        return lines
+    return event_heads(event_lines(lines, config.multiline_pattern)).select(
+        "file", "line_id", "value", "event_no", "lines"
     )

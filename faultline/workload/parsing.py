@@ -12,7 +12,7 @@ from faultline.operators.detect import detect_custom, detect_formats, report_for
 from faultline.operators.dmesg import Dmesg
 from faultline.operators.haproxy import HAProxy
 from faultline.operators.lineformat import parse_as
-from faultline.operators.multiline import assemble_events, multiline_lines
+from faultline.operators.multiline import event_lines, multiline_lines
 from faultline.operators.nginx import Nginx
 from faultline.operators.parse import parse_logs, parse_mixed
 from faultline.operators.syslog import Syslog
@@ -498,18 +498,37 @@ def _physical_lines(ev: DataFrame) -> DataFrame:
     ).select("file", (F.col("_event") * 3 + F.col("_i")).alias("line_id"), "value")
 
 
-@query("multiline_events", "P19", """
-SELECT file, row_number() OVER (PARTITION BY file ORDER BY event_id) AS event_no,
-       0::BIGINT AS segment, event_id * 3 AS line_id, 3::BIGINT AS lines,
-       strftime(sec, '%Y-%m-%d %H:%M:%S') || ',' || event_type || ',event ' || event_id || chr(10) ||
-       '  at user ' || user_id || chr(10) || '  at value ' || (event_id * 2) AS value
-FROM ev
+#: A file in which everything but the first event's head belongs to that event.
+LONG = "long.log"
+
+
+def _multiline_files(spark, folder) -> DataFrame:
+    """The usual files, and one whose only event has three lines for each event of the table."""
+    ev = render.events(spark, folder)
+    first = ev.agg(F.min("event_id")).head()[0]
+    line_id = F.col("event_id") * 3 + F.col("_i")
+    long = ev.select("event_id", F.explode(F.array(*map(F.lit, range(3)))).alias("_i")).select(
+        F.lit(LONG).alias("file"), line_id.alias("line_id"),
+        F.when(line_id == F.lit(first) * 3, "2024-01-01 00:00:00,error,all of them")
+        .otherwise(text("  then ", line_id)).alias("value"),
+    )
+    return _physical_lines(ev).unionByName(long)
+
+
+@query("multiline_events", "P19", f"""
+SELECT file, event_no, i AS line_no, event_id * 3 + i AS line_id,
+       CASE i WHEN 0 THEN strftime(sec, '%Y-%m-%d %H:%M:%S') || ',' || event_type || ',event ' || event_id
+         WHEN 1 THEN '  at user ' || user_id ELSE '  at value ' || (event_id * 2) END AS value
+FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY event_id) AS event_no FROM ev),
+     (SELECT unnest([0, 1, 2])::BIGINT AS i)
+UNION ALL
+SELECT '{LONG}', 1, row_number() OVER (ORDER BY event_id, i) - 1, event_id * 3 + i,
+       CASE WHEN event_id * 3 + i = 3 * min(event_id) OVER () THEN '2024-01-01 00:00:00,error,all of them'
+         ELSE '  then ' || (event_id * 3 + i) END
+FROM ev, (SELECT unnest([0, 1, 2])::BIGINT AS i)
 """)
 def multiline_events(spark, folder) -> DataFrame:
-    lines_ = _physical_lines(render.events(spark, folder))
-    return assemble_events(lines_, r"\d{4}-\d{2}-\d{2} ").select(
-        "file", "event_no", "segment", "line_id", "lines", "value"
-    )
+    return event_lines(_multiline_files(spark, folder), r"\d{4}-\d{2}-\d{2} ")
 
 
 MULTILINE_CSV = ParserConfig.from_dict(
@@ -517,14 +536,25 @@ MULTILINE_CSV = ParserConfig.from_dict(
 )
 
 
-@query("multiline_entries", "P19 P16", """
+@query("multiline_entries", "P19 P16", f"""
 SELECT CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, count(*) AS n,
-       min(sec) AS ts_min
+       min(sec) AS ts_min, (count(*) * 3)::BIGINT AS lines, 0::BIGINT AS quarantined
 FROM ev GROUP BY 1
+UNION ALL
+SELECT '{LONG}', 1, TIMESTAMP '2024-01-01 00:00:00', 3 * count(*), 0 FROM ev
 """)
 def multiline_entries(spark, folder) -> DataFrame:
-    heads = multiline_lines(_physical_lines(render.events(spark, folder)), MULTILINE_CSV)
-    entries = parse_as(heads, CustomFormat(MULTILINE_CSV)).entries
-    return entries.groupBy("level").agg(
-        F.count(F.lit(1)).alias("n"), F.min("ts").cast("timestamp_ntz").alias("ts_min")
+    """Entries of the heads, with the lines of their events and those that could not be read."""
+    heads = multiline_lines(_multiline_files(spark, folder), MULTILINE_CSV)
+    parsed = parse_as(heads, CustomFormat(MULTILINE_CSV))
+    name = F.when(F.col("file") == LONG, LONG).otherwise(F.col("level"))
+    read = parsed.entries.select("file", "line_id", name.alias("level"), "ts", F.lit(0).alias("_bad"))
+    bad = parsed.quarantine.select(
+        "file", "line_id", F.lit("quarantine").alias("level"),
+        F.lit(None).cast("timestamp").alias("ts"), F.lit(1).alias("_bad"),
+    )
+    sizes = heads.select("file", "line_id", "lines")
+    return read.unionByName(bad).join(sizes, ["file", "line_id"]).groupBy("level").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").cast("timestamp_ntz").alias("ts_min"),
+        F.sum("lines").alias("lines"), F.sum("_bad").alias("quarantined"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from faultline.operators.custom import CustomFormat, ParserConfig
 from faultline.operators.detect import detect_formats, report_format_label
 from faultline.operators.lineformat import parse_as
-from faultline.operators.multiline import assemble_events, multiline_lines
+from faultline.operators.multiline import event_heads, event_lines, multiline_lines
 from faultline.operators.parse import parse_logs
 from faultline.operators.templates import TEMPLATES
 from faultline.plans.analysis import analyze_files, file_sizes
@@ -147,21 +147,19 @@ def test_scan_details(spark, tmp_path):
 EVENTS = ["lost", "2026-01-01 00:00:00,ERROR,a", " at x", "2026-01-01 00:00:01,INFO,b", " y", " z", " w"]
 
 
-@pytest.mark.parametrize("bits, segment_bits", [(18, 13), (1, 13), (2, 1), (0, 0)])
-def test_multiline_events(lines, bits, segment_bits):
-    """Chunk and segment borders may fall anywhere."""
-    events = assemble_events(lines(*EVENTS), r"\d{4}-", bits, segment_bits)
-    rows = events.orderBy("event_no", "segment").collect()
+@pytest.mark.parametrize("bits, fan_bits", [(18, 12), (1, 12), (2, 1), (0, 0), (0, 1)])
+def test_multiline_events(lines, bits, fan_bits):
+    """Chunk borders may fall anywhere."""
+    rows = event_lines(lines(*EVENTS), r"\d{4}-", bits, fan_bits).orderBy("event_no", "line_no").collect()
     whole = {}
     for r in rows:
-        assert r["lines"] <= 2**segment_bits
-        whole.setdefault(r["event_no"], []).append(r["value"])
-    assert {k: "\n".join(v) for k, v in whole.items()} == {
-        0: "lost", 1: "\n".join(EVENTS[1:3]), 2: "\n".join(EVENTS[3:])
-    }
+        assert r["line_no"] == len(whole.setdefault(r["event_no"], []))
+        whole[r["event_no"]].append(r["value"])
+    assert whole == {0: EVENTS[:1], 1: EVENTS[1:3], 2: EVENTS[3:]}
 
 
-def test_multiline_chunks_match_brute_force(spark):
+@pytest.mark.parametrize("bits, fan_bits", [(5, 12), (5, 2), (3, 1)])
+def test_multiline_chunks_match_brute_force(spark, bits, fan_bits):
     import random
 
     rng = random.Random(7)
@@ -175,8 +173,25 @@ def test_multiline_chunks_match_brute_force(spark):
             expected.setdefault((file, number), []).append(rows[-1][2])
     shuffled = rng.sample(rows, len(rows))
     df = spark.createDataFrame(shuffled, "file string, line_id bigint, value string")
-    found = assemble_events(df, "S", bits=5).collect()
-    assert {(r["file"], r["event_no"]): r["value"].split("\n") for r in found} == expected
+    placed = event_lines(df, "S", bits, fan_bits)
+    found = {}
+    for r in placed.orderBy("file", "event_no", "line_no").collect():
+        found.setdefault((r["file"], r["event_no"]), []).append(r["value"])
+    assert found == expected
+    heads = {(r["file"], r["event_no"]): (r["value"], r["lines"]) for r in event_heads(placed).collect()}
+    assert heads == {k: (v[0], len(v)) for k, v in expected.items()}
+
+
+def test_a_long_event_is_one_entry(spark):
+    config = ParserConfig.from_dict(
+        {**TEMPLATES["csv_log"], "multiline": True, "multiline_pattern": r"\d{4}-"}
+    )
+    text = F.when(F.col("id") % 20_000 == 0, "2026-01-01 00:00:00,ERROR,a").otherwise(F.concat(F.lit("  at "), "id"))
+    df = spark.range(40_000).select(F.lit("f").alias("file"), F.col("id").alias("line_id"), text.alias("value"))
+    parsed = parse_as(multiline_lines(df, config), CustomFormat(config))
+    assert parsed.entries.count() == 2 and parsed.quarantine.count() == 0
+    sizes = event_heads(event_lines(df, r"\d{4}-", bits=10, fan_bits=2))
+    assert {(r["event_no"], r["lines"]) for r in sizes.collect()} == {(1, 20_000), (2, 20_000)}
 
 
 def test_multiline_entries(lines):
@@ -186,4 +201,4 @@ def test_multiline_entries(lines):
     heads = multiline_lines(lines(*EVENTS), config)
     entries = parse_as(heads, CustomFormat(config)).entries
     assert {r["message"] for r in entries.collect()} == {"a", "b"}
-    assert "at x" in heads.filter("event_no = 1").collect()[0]["text"]
+    assert heads.filter("event_no = 1").collect()[0]["lines"] == 2
