@@ -34,26 +34,27 @@ def entries_of_round(entries: DataFrame, number: int) -> DataFrame:
 
 
 def upsert_facts(facts: DataFrame) -> DataFrame:
-    """Facts (``session_id, seq, fact, source, confidence``) with the last writing of each.
+    """Facts (``session_id, seq, fact`` and what is stated of them, such as ``source, confidence,
+    timestamp``) with the last writing of each.
 
     ``position`` is the ``seq`` of the first writing, which is where the fact stays listed.
     """
-    last = F.max_by(F.struct("source", "confidence"), "seq").alias("_last")
+    stated = [c for c in facts.columns if c not in ("session_id", "seq", "fact")]
+    last = F.max_by(F.struct(*stated), "seq").alias("_last")
     return (
         facts.groupBy("session_id", "fact")
         .agg(F.min("seq").alias("position"), F.max("seq").alias("updated"), last)
-        .select(
-            "session_id", "fact", "_last.source", "_last.confidence", "position", "updated"
-        )
+        .select("session_id", "fact", *[f"_last.{c}" for c in stated], "position", "updated")
     )
 
 
 def number_hypotheses(created: DataFrame) -> DataFrame:
-    """Hypotheses (``session_id, seq, hypothesis, evidence, confidence``) with their id, counted
-    from 0 in each session."""
+    """Hypotheses (``session_id, seq, hypothesis, evidence, confidence`` and, if known,
+    ``created_at``) with their id, counted from 0 in each session."""
+    known = ["created_at"] if "created_at" in created.columns else []
     return numbered(created, ["session_id"], "seq", "_n").select(
         "session_id", (F.col("_n") - 1).alias("hypothesis_id"), "seq", "hypothesis", "evidence",
-        "confidence",
+        "confidence", *known,
     )
 
 
@@ -86,6 +87,7 @@ def hypothesis_state(hypotheses: DataFrame, updates: DataFrame) -> DataFrame:
         F.coalesce("_status", F.lit("active")).alias("status"),
         F.coalesce("_confidence", "confidence").alias("confidence"),
         (F.size("evidence") + F.coalesce("_added", F.lit(0))).alias("evidence_count"),
+        *(["created_at"] if "created_at" in hypotheses.columns else []),
     )
 
 
@@ -111,7 +113,8 @@ def active_hypotheses(state: DataFrame) -> DataFrame:
 
 
 def append_decisions(decisions: DataFrame, more: DataFrame) -> DataFrame:
-    """The log of decisions (``session_id, seq, decision, reasoning, alternatives``) with more."""
+    """The log of decisions (``session_id, seq, decision, reasoning, alternatives, timestamp``) with
+    more."""
     return decisions.unionByName(more)
 
 
@@ -122,10 +125,10 @@ def hypothesis_mark(status: Column) -> Column:
 def memory_summary(
     facts: DataFrame, hypotheses: DataFrame, decisions: DataFrame, entries: DataFrame
 ) -> DataFrame:
-    """``session_id, part, text``: what each session remembers, as a text.
+    """``session_id, section, place, pos, line``: what each session remembers, as lines of a text.
 
-    ``facts`` and ``hypotheses`` are the folded tables. Sections without rows are left out. A text
-    of many lines comes in several parts, to be joined by newlines.
+    ``facts`` and ``hypotheses`` are the folded tables. Sections without rows are left out. The lines'
+    order is that of :func:`faultline.plans.documents.assemble`.
     """
     certainty = F.concat(F.lit("置信度: "), percent(F.col("confidence")), F.lit(")"))
     sections = [
@@ -150,38 +153,3 @@ def memory_summary(
         )),
     ]
     return assemble("session_id", sections, opening=["# 诊断记忆摘要", ""])
-
-
-_RECORDS = {
-    "entries": MEMORY.simpleString(),
-    "facts": "struct<session_id:string,seq:bigint,fact:string,source:string,confidence:double>",
-    "hypotheses": "struct<session_id:string,hypothesis_id:bigint,hypothesis:string,status:string,"
-                  "confidence:double,evidence_count:bigint>",
-    "decisions": "struct<session_id:string,seq:bigint,decision:string,reasoning:string,"
-                 "alternatives:array<string>>",
-    "context": "struct<session_id:string,key:string,value:string>",
-}
-
-
-def memory_to_json(**tables: DataFrame) -> DataFrame:
-    """``session_id, section, json``: every remembered record as one JSON object.
-
-    Sections are entries, facts, hypotheses, decisions and context. One record per row keeps a
-    row small however much a session remembers; the rows can be written as JSON lines.
-    """
-    rows = None
-    for section, table in tables.items():
-        if section not in _RECORDS:
-            raise ValueError(f"unknown section: {section}")
-        part = table.select(
-            "session_id", F.lit(section).alias("section"),
-            F.to_json(F.struct(*table.columns)).alias("json"),
-        )
-        rows = part if rows is None else rows.unionByName(part)
-    return rows
-
-
-def memory_from_json(rows: DataFrame, section: str, schema: str | None = None) -> DataFrame:
-    """The table of one section back from :func:`memory_to_json`."""
-    record = F.from_json("json", schema or _RECORDS[section])
-    return rows.filter(F.col("section") == section).select(record.alias("_r")).select("_r.*")

@@ -37,22 +37,38 @@ def stop_on_error(results: DataFrame) -> DataFrame:
     )
 
 
-def session_rollup(results: DataFrame, stops_on_error: bool = True) -> DataFrame:
-    """Per session: results, successes, errors, total duration and status."""
-    failed = F.col("errors") > 0
-    return (
-        results.groupBy("session_id")
+def session_rollup(
+    results: DataFrame, stops_on_error: bool = True, entries: DataFrame | None = None
+) -> DataFrame:
+    """Per session: results, successes, errors, total duration and status.
+
+    With the remembered ``entries`` also ``rounds_completed``, the last round that any of them names;
+    a session of entries alone has no results.
+    """
+    runs = results.select(
+        "session_id", F.lit(1).alias("_run"), succeeded().alias("_good"), "duration", F.lit(None).cast("int").alias("round")
+    )
+    if entries is not None:
+        none = F.lit(None)
+        runs = runs.unionByName(entries.select(
+            "session_id", F.lit(0).alias("_run"), none.cast("boolean").alias("_good"),
+            none.cast("double").alias("duration"), F.col("round").cast("int").alias("round"),
+        ))
+    rolled = (
+        runs.groupBy("session_id")
         .agg(
-            F.count(F.lit(1)).alias("results"),
-            F.count_if(succeeded()).alias("successes"),
-            F.count_if(~succeeded()).alias("errors"),
+            F.sum("_run").alias("results"),
+            F.count_if(F.col("_good")).alias("successes"),
+            F.count_if(~F.col("_good")).alias("errors"),
             F.sum("duration").alias("total_duration"),
+            F.coalesce(F.max("round"), F.lit(0)).alias("rounds_completed"),
         )
         .withColumn(
             "status",
-            F.when(failed & F.lit(stops_on_error), "failed").otherwise("completed"),
+            F.when((F.col("errors") > 0) & F.lit(stops_on_error), "failed").otherwise("completed"),
         )
     )
+    return rolled if entries is not None else rolled.drop("rounds_completed")
 
 
 def pending_commands(suggested: DataFrame, executed: DataFrame) -> DataFrame:

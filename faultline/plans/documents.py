@@ -1,4 +1,4 @@
-"""Texts built from many rows, such as one report per session."""
+"""Texts built from many rows, such as one report per session: rows of lines that carry their order."""
 
 from __future__ import annotations
 
@@ -9,15 +9,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import bind
-
-#: A document of up to this many lines is one row; a longer one comes in parts of that size.
-PART_BITS = 12
+#: What orders the lines of a document.
+ORDER = ("section", "place", "pos")
+#: Places in a section: its title, its lines, and what closes it.
+TITLE, LINES, CLOSING = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Section:
-    """A titled block. ``lines`` has the key, ``pos`` (whole, not negative, unique per key) and ``line``."""
+    """A titled block. ``lines`` has the key, ``pos`` (whole, unique per key) and ``line``."""
 
     title: str | None
     lines: DataFrame
@@ -30,76 +30,61 @@ def assemble(
     sections: Sequence[Section],
     opening: Sequence[str] = (),
     keys: DataFrame | None = None,
-    part_bits: int = PART_BITS,
 ) -> DataFrame:
-    """``key, part, text``: the sections' lines in order, joined by newlines.
+    """``key, section, place, pos, line``: the lines of each key's document.
 
-    A section starts with its title and ends with a blank line, and is left out for keys without
-    lines in it. Only keys that occur in a section, or in ``keys``, get a document. Joining the
-    parts of a key by newlines gives its whole text; a part holds at most ``2**part_bits`` lines of
-    a section, so that no task has to hold a document of unbounded length.
+    A document is its lines in the order of ``ORDER``, joined by newlines; :func:`write_documents`
+    writes it so. A section starts with its title and ends with a blank line, and is left out for keys
+    without lines in it. Only keys that occur in a section, or in ``keys``, get a document. Every
+    line is a row, so a document may be of any length: no task ever holds one.
     """
+    number = F.lit(0).cast("int")
     rows = reduce(DataFrame.unionByName, [
         section.lines.select(
-            key, F.lit(i).alias("_section"), F.expr(f"pos DIV {1 << part_bits}").alias("_page"),
-            F.col("pos").alias("_pos"), F.col("line").alias("_line"),
+            key, (number + i).alias("section"), F.lit(LINES).alias("place"),
+            F.col("pos").cast("bigint").alias("pos"), "line",
         )
         for i, section in enumerate(sections)
     ])
-    # A page holds the lines of a section whose positions share their upper bits. Text and count
-    # are bound together, so that the counts below come from this same shuffle.
-    pages = rows.groupBy(key, "_section", "_page").agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_line"))).alias("_lines")
-    )
-    page = F.struct(
-        F.array_join("_lines._line", "\n").alias("text"), F.size("_lines").alias("lines")
-    )
-    pages = bind(pages, "_p", page).select(key, "_section", "_page", "_p")
-    count = F.sum(F.when(F.col("_p.text").isNotNull(), F.col("_p.lines")))
-    present = pages.groupBy(key, "_section").agg(count.alias("_length"))
-    lengths = present.groupBy(key).agg(F.sum("_length").alias("_length"))
-    if keys is not None:
-        lengths = lengths.unionByName(
-            keys.select(key, F.lit(0).cast("bigint").alias("_length"))
-        ).groupBy(key).agg(F.sum("_length").alias("_length"))
-
-    # Each section has three places in the order: title, pages and closing blank.
-    place = F.col("_section") * 3 + 2
-    first = F.lit(0).cast("bigint")
-    pieces = [
-        pages.select(
-            key, place.alias("_place"), F.col("_page").cast("bigint").alias("_page"),
-            F.col("_p.text").alias("_text"),
-        ),
-        present.select(
-            key, (place + 1).alias("_place"), first.alias("_page"), F.lit("").alias("_text")
-        ),
-    ]
-    titled = {
-        i: section.title + ("\n" if section.gap else "")
-        for i, section in enumerate(sections) if section.title is not None
+    present = rows.select(key, "section").distinct()
+    # What stands around a section's lines: title, blank line below it, closing blank line.
+    frames = {
+        i: [(TITLE, 0, section.title)] * (section.title is not None)
+        + [(TITLE, 1, "")] * (section.title is not None and section.gap) + [(CLOSING, 0, "")]
+        for i, section in enumerate(sections)
     }
-    if titled:
-        title = F.coalesce(*[F.when(F.col("_section") == i, t) for i, t in titled.items()])
-        pieces.append(
-            present.filter(F.col("_section").isin(*titled)).select(
-                key, (place - 1).alias("_place"), first.alias("_page"), title.alias("_text")
-            )
-        )
+    frame = F.coalesce(*[
+        F.when(F.col("section") == i, F.array(*[
+            F.struct(F.lit(place).alias("place"), F.lit(pos).cast("bigint").alias("pos"), F.lit(line).alias("line"))
+            for place, pos, line in lines
+        ]))
+        for i, lines in frames.items()
+    ])
+    whole = rows.unionByName(
+        present.select(key, "section", F.explode(frame).alias("_f")).select(key, "section", "_f.*")
+    )
     if opening:
-        pieces.append(
-            lengths.select(
-                key, F.lit(0).alias("_place"), first.alias("_page"),
-                F.lit("\n".join(opening)).alias("_text"),
-            )
-        )
-    whole = reduce(DataFrame.unionByName, pieces)
-    length = lengths.select(F.col(key).alias("_key"), "_length")
-    part = F.shiftleft(F.col("_place").cast("bigint"), 57) + F.col("_page")
-    return (
-        whole.join(length, F.col(key).eqNullSafe(F.col("_key")))
-        .withColumn("part", F.when(F.col("_length") > (1 << part_bits), part).otherwise(0))
-        .groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("_place", "_page", "_text"))).alias("_texts"))
-        .select(key, "part", F.array_join("_texts._text", "\n").alias("text"))
+        everyone = present.select(key)
+        if keys is not None:
+            everyone = everyone.unionByName(keys.select(key))
+        first = F.posexplode(F.array(*map(F.lit, opening)))
+        whole = whole.unionByName(everyone.distinct().select(key, first.alias("_at", "line")).select(
+            key, F.lit(-1).alias("section"), F.lit(TITLE).alias("place"), F.col("_at").cast("bigint").alias("pos"), "line",
+        ))
+    return whole
+
+
+def write_documents(rows: DataFrame, key: str, folder: str, order: Sequence[str] = ORDER) -> None:
+    """Write each key's document as text files in a folder of its own.
+
+    ``rows`` has the key, ``order`` and ``line``. Rows are dealt to tasks by ranges of that order, so a
+    long document is written by several tasks: its files, in the order of their names, are its text.
+    The folder's name is the key, URL-encoded.
+    """
+    named = rows.withColumn("_name", F.url_encode(F.col(key).cast("string")))
+    sort = ["_name", *order]
+    (
+        named.repartitionByRange(*sort).sortWithinPartitions(*sort)
+        .select(F.col("_name").alias(key), F.col("line").alias("value"))
+        .write.mode("overwrite").partitionBy(key).text(folder)
     )

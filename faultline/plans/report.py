@@ -162,36 +162,34 @@ def diagnosis_reports(
     executed: DataFrame,
     as_of: Column,
 ) -> DataFrame:
-    """``session_id, part, text``: what each session found, did and advises.
+    """``session_id, section, place, pos, line``: what each session found, did and advises.
 
-    ``sessions`` has ``session_id, rounds`` and the analysis columns (NULL ``problem_type`` when
-    there was no analysis); ``executed`` has ``session_id, seq, command``.
+    The lines of a report are those of :func:`faultline.plans.documents.assemble`. ``sessions`` has
+    ``session_id, rounds`` and the analysis columns (NULL ``problem_type`` when there was no analysis);
+    ``executed`` has ``session_id, seq, command``.
     """
     certainty = F.concat(F.lit(" (置信度: "), percent(F.col("confidence")), F.lit(")"))
-    head = sessions.select(
-        "session_id", F.lit(0).alias("pos"),
-        F.concat(
-            F.lit("# 网络诊断报告\n\n**诊断时间**: "), F.date_format(as_of, "yyyy-MM-dd HH:mm:ss"),
-            F.lit("\n**执行轮次**: "), F.col("rounds").cast("string"),
-        ).alias("line"),
-    )
+
+    def few(rows: DataFrame, lines: Column) -> DataFrame:
+        return rows.select("session_id", F.posexplode(lines).alias("pos", "line"))
+
+    head = few(sessions, F.array(
+        F.lit("# 网络诊断报告"), F.lit(""),
+        F.concat(F.lit("**诊断时间**: "), F.date_format(as_of, "yyyy-MM-dd HH:mm:ss")),
+        F.concat(F.lit("**执行轮次**: "), F.col("rounds").cast("string")),
+    ))
     analysed = sessions.filter(F.col("problem_type").isNotNull())
-    overview = analysed.select(
-        "session_id", F.lit(0).alias("pos"),
-        F.concat(
-            F.lit("- **问题类型**: "), "problem_type", F.lit("\n- **风险等级**: "), "risk_level",
-            F.lit("\n- **置信度**: "), percent(F.col("confidence")),
-        ).alias("line"),
-    )
+    overview = few(analysed, F.array(
+        F.concat(F.lit("- **问题类型**: "), "problem_type"),
+        F.concat(F.lit("- **风险等级**: "), "risk_level"),
+        F.concat(F.lit("- **置信度**: "), percent(F.col("confidence"))),
+    ))
     status = F.coalesce(
         *[F.when(F.col("status") == k, v) for k, v in STATUS_TEXT.items()], F.col("status")
     )
-    steps = analysed.select(
-        "session_id", F.lit(0).alias("pos"),
-        F.concat_ws(
-            "\n", F.lit("## 建议的排查步骤"), F.lit(""), _numbered(F.col("possible_causes"))
-        ).alias("line"),
-    )
+    steps = few(analysed, F.concat(
+        F.array(F.lit("## 建议的排查步骤"), F.lit("")), _numbered(F.col("possible_causes"))
+    ))
     sections = [
         Section(None, head),
         Section("## 问题概述", overview, gap=True),

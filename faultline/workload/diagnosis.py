@@ -246,11 +246,15 @@ def successful_results_(spark, folder) -> DataFrame:
 @query("session_rollup", "M8", _RESULTS + """
 SELECT session_id, count(*) AS results, count(*) FILTER (exit_code = 0) AS successes,
        count(*) FILTER (exit_code <> 0) AS errors, round(sum(duration), 4) AS total_duration,
-       CASE WHEN max(exit_code) = 1 THEN 'failed' ELSE 'completed' END AS status
+       CASE WHEN max(exit_code) = 1 THEN 'failed' ELSE 'completed' END AS status,
+       max(command_idx % 7)::INT AS rounds_completed
 FROM res GROUP BY 1
 """)
 def session_rollup_(spark, folder) -> DataFrame:
-    return session_rollup(_results(spark, folder)).withColumn(
+    entries = render.events(spark, folder).select(
+        render.session().alias("session_id"), (F.col("event_id") % 7).alias("round")
+    )
+    return session_rollup(_results(spark, folder), entries=entries).withColumn(
         "total_duration", F.round("total_duration", 4)
     )
 
@@ -307,7 +311,8 @@ _HYPOTHESES = """
 WITH hyp AS (
   SELECT 's' || user_id AS session_id,
          row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS hypothesis_id,
-         event_id AS seq, 'idea ' || event_id AS hypothesis, value / 500 AS confidence
+         event_id AS seq, 'idea ' || event_id AS hypothesis, value / 500 AS confidence,
+         sec AS created_at
   FROM ev WHERE event_type = 'signup'
 ),
 upd AS (
@@ -318,7 +323,7 @@ upd AS (
   FROM ev WHERE event_type <> 'signup'
 ),
 state AS (
-  SELECT hyp.session_id, hyp.hypothesis_id, hyp.hypothesis,
+  SELECT hyp.session_id, hyp.hypothesis_id, hyp.hypothesis, hyp.created_at,
          coalesce((SELECT arg_max(u.status, u.seq) FROM upd u
                    WHERE u.session_id = hyp.session_id AND u.hypothesis_id = hyp.hypothesis_id
                      AND u.seq > hyp.seq AND u.status IS NOT NULL), 'active') AS status,
@@ -339,6 +344,7 @@ def hypotheses_and_updates(spark, folder) -> tuple[DataFrame, DataFrame]:
         render.session().alias("session_id"), F.col("event_id").alias("seq"),
         text("idea ", F.col("event_id")).alias("hypothesis"),
         F.array(F.lit("seen")).alias("evidence"), (F.col("value") / 500).alias("confidence"),
+        F.col("sec").alias("created_at"),
     )
     kind = F.col("event_type")
     updates = ev.filter("event_type <> 'signup'").select(
@@ -353,10 +359,11 @@ def hypotheses_and_updates(spark, folder) -> tuple[DataFrame, DataFrame]:
 
 
 @query("hypothesis_state", "M4", _HYPOTHESES + """
-SELECT session_id, hypothesis_id, hypothesis, status, confidence, evidence_count FROM state
+SELECT session_id, hypothesis_id, hypothesis, status, confidence, evidence_count, created_at FROM state
 """)
 def hypothesis_state_(spark, folder) -> DataFrame:
-    return hypothesis_state(*hypotheses_and_updates(spark, folder))
+    state = hypothesis_state(*hypotheses_and_updates(spark, folder))
+    return state.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query("active_hypotheses", "M4", _HYPOTHESES + """
@@ -397,34 +404,44 @@ def can_conclude_(spark, folder) -> DataFrame:
 @query("diagnosis_report", "R5", _HYPOTHESES.rstrip() + """,
 who AS (SELECT DISTINCT user_id, 's' || user_id AS session_id FROM ev),
 fact AS (
-  SELECT 's' || user_id AS session_id, '命令执行失败: refused ' || (user_id % 9) AS fact
+  SELECT 's' || user_id AS session_id, '命令执行失败: refused ' || (user_id % 9) AS fact, 0 AS position
   FROM ev WHERE event_type = 'error' GROUP BY user_id
-)
-SELECT session_id, 0::BIGINT AS part, '# 网络诊断报告' || chr(10) || chr(10) ||
-  '**诊断时间**: 2024-02-01 12:00:00' || chr(10) || '**执行轮次**: ' || (user_id % 5) || chr(10) ||
-  chr(10) ||
-  CASE WHEN user_id % 2 = 0 THEN '## 问题概述' || chr(10) || chr(10) || '- **问题类型**: 高延迟' ||
-    chr(10) || '- **风险等级**: P1' || chr(10) || '- **置信度**: 85%' || chr(10) || chr(10)
-    ELSE '' END ||
-  coalesce((SELECT '## 发现的事实' || chr(10) || chr(10) || '- ' || fact || ' (置信度: 100%)' ||
-    chr(10) || chr(10) FROM fact WHERE fact.session_id = who.session_id), '') ||
-  coalesce((SELECT '## 假设验证' || chr(10) || chr(10) || string_agg('- ' ||
+),
+body AS (
+  SELECT session_id, 0 AS section, 1 AS place, i AS pos,
+         ['# 网络诊断报告', '', '**诊断时间**: 2024-02-01 12:00:00', '**执行轮次**: ' || (user_id % 5)][i + 1] AS line
+  FROM who, (SELECT unnest(range(4)) AS i)
+  UNION ALL
+  SELECT session_id, 1, 1, i, ['- **问题类型**: 高延迟', '- **风险等级**: P1', '- **置信度**: 85%'][i + 1]
+  FROM who, (SELECT unnest(range(3)) AS i) WHERE user_id % 2 = 0
+  UNION ALL SELECT session_id, 2, 1, position, '- ' || fact || ' (置信度: 100%)' FROM fact
+  UNION ALL
+  SELECT session_id, 3, 1, hypothesis_id, '- ' ||
     CASE status WHEN 'confirmed' THEN '✓ 已确认' WHEN 'rejected' THEN '✗ 已排除' ELSE '? 待验证' END ||
-    ': ' || hypothesis || ' (置信度: ' || printf('%.0f', confidence * 100) || '%)', chr(10)
-    ORDER BY hypothesis_id) || chr(10) || chr(10)
-    FROM state WHERE state.session_id = who.session_id), '') ||
-  coalesce((SELECT '## 执行的诊断命令' || chr(10) || chr(10) || string_agg('- `probe ' ||
-    (event_id % 11) || '`', chr(10) ORDER BY event_id) || chr(10) || chr(10) FROM ev
-    WHERE ev.user_id = who.user_id AND event_type = 'error'), '') ||
-  CASE WHEN user_id % 2 = 0 THEN '## 建议的排查步骤' || chr(10) || chr(10) || '1. 路由' || chr(10) ||
-    '2. 网卡' || chr(10) || chr(10) ELSE '' END AS text
-FROM who
+    ': ' || hypothesis || ' (置信度: ' || printf('%.0f', confidence * 100) || '%)'
+  FROM state
+  UNION ALL
+  SELECT 's' || user_id, 4, 1, event_id, '- `probe ' || (event_id % 11) || '`' FROM ev WHERE event_type = 'error'
+  UNION ALL
+  SELECT session_id, 5, 1, i, ['## 建议的排查步骤', '', '1. 路由', '2. 网卡'][i + 1]
+  FROM who, (SELECT unnest(range(4)) AS i) WHERE user_id % 2 = 0
+),
+present AS (SELECT DISTINCT session_id, section FROM body),
+titles AS (
+  SELECT unnest([1, 2, 3, 4]) AS section,
+         unnest(['## 问题概述', '## 发现的事实', '## 假设验证', '## 执行的诊断命令']) AS title
+)
+SELECT session_id, section::INT AS section, place::INT AS place, pos::BIGINT AS pos, line FROM body
+UNION ALL SELECT session_id, section, 0, 0, title FROM present JOIN titles USING (section)
+UNION ALL SELECT session_id, section, 0, 1, '' FROM present JOIN titles USING (section)
+UNION ALL SELECT session_id, section, 2, 0, '' FROM present
 """)
 def diagnosis_report(spark, folder) -> DataFrame:
     ev = render.events(spark, folder)
     state = hypothesis_state(*hypotheses_and_updates(spark, folder))
     failures = _results(spark, folder).filter("exit_code = 1")
-    known = upsert_facts(observed_facts(failures))
+    # One fact a session.
+    known = upsert_facts(observed_facts(failures)).withColumn("position", F.lit(0))
     even = F.col("user_id") % 2 == 0
     sessions = ev.select("user_id").distinct().select(
         render.session().alias("session_id"), (F.col("user_id") % 5).alias("rounds"),
@@ -432,6 +449,4 @@ def diagnosis_report(spark, folder) -> DataFrame:
         F.lit(0.85).alias("confidence"),
         F.array(F.lit("路由"), F.lit("网卡")).alias("possible_causes"),
     )
-    reports = diagnosis_reports(sessions, known, state, _executed(spark, folder), moment(AS_OF))
-    # The text ends with the blank line that closes its last section.
-    return reports.select("session_id", "part", F.concat("text", F.lit("\n")).alias("text"))
+    return diagnosis_reports(sessions, known, state, _executed(spark, folder), moment(AS_OF))

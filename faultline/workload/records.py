@@ -4,27 +4,33 @@ from __future__ import annotations
 
 import tempfile
 from datetime import datetime
+from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from faultline.functions.formatting import iso_datetime
+
 from faultline.operators.audit import (
     agent_action_events, analyze_events, audit_entry, audit_statistics, command_events,
     query_audit, recent_audit, ssh_connect_events,
 )
 from faultline.operators.lineformat import parse_as
 from faultline.operators.memory import (
-    append_decisions, entries_of_round, hypothesis_state, memory_from_json, memory_summary,
-    memory_to_json, recent_entries, upsert_facts,
+    append_decisions, entries_of_round, hypothesis_evidence, hypothesis_state, memory_summary,
+    recent_entries, upsert_facts,
 )
+from faultline.operators.memory_json import ORDER, memory_documents, memory_tables
 from faultline.operators.nginx import Nginx
 from faultline.operators.sessions import observed_facts
 from faultline.operators.stats import log_statistics
 from faultline.plans.analysis import analyze_files
 from faultline.schema import AUDIT, LOG_ENTRY
 from faultline.session import shared_folder
-from faultline.sources.audit_store import append_audit, audit_export_rows, export_audit, read_audit
+from faultline.sources.audit_store import (
+    append_audit, audit_export_rows, export_audit, index_audit, lookup_audit, newest_audit, read_audit,
+)
 from faultline.sources.lines import read_files, read_heads, read_lines, replaced_bytes
 from faultline.sources.records import from_records, to_records
 from faultline.sources.sinks import write_entries, write_reports, write_session_results
@@ -91,11 +97,34 @@ def audit_recent(spark, folder) -> DataFrame:
     return recent_audit(_audit(spark, folder), AS_OF)
 
 
+@query("audit_newest", "A1 A2 S6", _AUDIT + """
+SELECT id, timestamp, action, result, host FROM audit WHERE action = 'command_execute'
+ORDER BY timestamp DESC, id LIMIT 500
+""")
+def audit_newest(spark, folder) -> DataFrame:
+    """The last entries of the stored table, from its newest folders."""
+    path = _folder(spark)
+    append_audit(_audit(spark, folder), path)
+    found = query_audit(newest_audit(spark, path, 500, action="command_execute"), limit=500)
+    return found.select(
+        "id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "action", "result", "host"
+    )
+
+
 @query("audit_lookup", "A3", _AUDIT + "SELECT id, action, result FROM audit WHERE id = 'id-77'")
 def audit_lookup(spark, folder) -> DataFrame:
     return audit_entry(_audit(spark, folder), "id-77").select("id", "action", "result")
 
 
+@query("audit_index", "A3", _AUDIT + "SELECT id, action, result, host FROM audit WHERE id = 'id-77'")
+def audit_index(spark, folder) -> DataFrame:
+    """One entry from the index by id, into which its batch came twice."""
+    path = _folder(spark)
+    for _ in range(2):
+        index_audit(_audit(spark, folder), path, "first")
+    return lookup_audit(spark, path, "id-77").select("id", "action", "result", "host")
+
+
 _AUDIT_STATS = """
 SELECT 'total' AS dimension, NULL AS value, count(*) AS count FROM audit
 UNION ALL SELECT 'action', action, count(*) FROM audit GROUP BY 2
@@ -154,9 +183,11 @@ def audit_events(spark, folder) -> DataFrame:
 
 @query("audit_store", "S5 S6 A4", _AUDIT + _AUDIT_STATS)
 def audit_store(spark, folder) -> DataFrame:
-    """Entries written as JSON lines by day, then read back."""
+    """Entries written as JSON lines by day, one batch of them twice, then read back."""
     path = _folder(spark)
-    append_audit(_audit(spark, folder), path)
+    half = F.xxhash64("id") % 2 == 0
+    for batch, part in (("a", half), ("b", ~half), ("a", half)):
+        append_audit(_audit(spark, folder).filter(part), path, batch)
     return audit_statistics(read_audit(spark, path))
 
 
@@ -212,20 +243,21 @@ def _facts(spark, folder) -> DataFrame:
         render.session().alias("session_id"), F.col("event_id").alias("seq"),
         text("saw ", F.col("event_type")).alias("fact"),
         text("e", F.col("event_id")).alias("source"), (F.col("value") / 500).alias("confidence"),
+        F.col("sec").alias("timestamp"),
     )
 
 
 _FACTS_SQL = """
 SELECT 's' || user_id AS session_id, 'saw ' || event_type AS fact,
        'e' || max(event_id) AS source, arg_max(value / 500, event_id) AS confidence,
-       min(event_id) AS position, max(event_id) AS updated
+       min(event_id) AS position, max(event_id) AS updated, arg_max(sec, event_id) AS timestamp
 FROM ev GROUP BY user_id, event_type
 """
 
 
 @query("facts_upsert", "M3", _FACTS_SQL)
 def facts_upsert(spark, folder) -> DataFrame:
-    return upsert_facts(_facts(spark, folder))
+    return upsert_facts(_facts(spark, folder)).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 def _decisions(spark, folder) -> DataFrame:
@@ -236,6 +268,7 @@ def _decisions(spark, folder) -> DataFrame:
             render.session().alias("session_id"), F.col("event_id").alias("seq"),
             text(kind, " ", F.col("event_id")).alias("decision"), F.lit("why").alias("reasoning"),
             F.array(F.lit("wait"), F.col("event_type")).alias("alternatives"),
+            F.col("sec").alias("timestamp"),
         )
 
     return append_decisions(of("purchase"), of("click"))
@@ -243,12 +276,13 @@ def _decisions(spark, folder) -> DataFrame:
 
 @query("decisions", "M5", """
 SELECT 's' || user_id AS session_id, event_id AS seq, event_type || ' ' || event_id AS decision,
-       'wait,' || event_type AS alternatives
+       'wait,' || event_type AS alternatives, sec AS timestamp
 FROM ev WHERE event_type IN ('purchase', 'click')
 """)
 def decisions(spark, folder) -> DataFrame:
     return _decisions(spark, folder).select(
-        "session_id", "seq", "decision", F.array_join("alternatives", ",").alias("alternatives")
+        "session_id", "seq", "decision", F.array_join("alternatives", ",").alias("alternatives"),
+        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
     )
 
 
@@ -257,66 +291,170 @@ def _entries(spark, folder) -> DataFrame:
         render.session().alias("session_id"), F.col("event_id").alias("id"),
         (F.col("user_id") % 3).cast("int").alias("round"), F.col("event_type").alias("action_type"),
         text("act ", F.col("event_id")).alias("action_description"),
+        F.col("sec").alias("timestamp"), F.lit("").alias("observation"), F.lit("").alias("result_summary"),
+        F.create_map(F.lit("of"), F.col("event_type")).alias("metadata"),
     )
 
 
 @query("memory_summary", "M6 M1", _HYPOTHESES.rstrip() + f""",
-fact AS ({_FACTS_SQL})
-SELECT session_id, 0::BIGINT AS part, '# 诊断记忆摘要' || chr(10) || chr(10) ||
-  coalesce((SELECT '## 发现的事实' || chr(10) || string_agg('- ' || fact || ' (来源: ' || source ||
-    ', 置信度: ' || printf('%.0f', confidence * 100) || '%)', chr(10) ORDER BY position) || chr(10) ||
-    chr(10) FROM fact WHERE fact.session_id = who.session_id), '') ||
-  coalesce((SELECT '## 假设' || chr(10) || string_agg('- [' || CASE status WHEN 'confirmed' THEN '✓'
+fact AS ({_FACTS_SQL}),
+body AS (
+  SELECT session_id, 0 AS section, position AS pos, '- ' || fact || ' (来源: ' || source ||
+    ', 置信度: ' || printf('%.0f', confidence * 100) || '%)' AS line FROM fact
+  UNION ALL
+  SELECT session_id, 1, hypothesis_id, '- [' || CASE status WHEN 'confirmed' THEN '✓'
     WHEN 'rejected' THEN '✗' ELSE '?' END || '] ' || hypothesis || ' (置信度: ' ||
-    printf('%.0f', confidence * 100) || '%)', chr(10) ORDER BY hypothesis_id) || chr(10) || chr(10)
-    FROM state WHERE state.session_id = who.session_id), '') ||
-  coalesce((SELECT '## 做出的决策' || chr(10) || string_agg('- ' || event_type || ' ' || event_id,
-    chr(10) ORDER BY event_id) || chr(10) || chr(10) FROM ev
-    WHERE ev.user_id = who.user_id AND event_type IN ('purchase', 'click')), '') ||
-  coalesce((SELECT '## 最近操作' || chr(10) || string_agg('- Round ' || (user_id % 3) || ': [' ||
-    event_type || '] act ' || event_id, chr(10) ORDER BY event_id) || chr(10) || chr(10)
-    FROM (SELECT * FROM ev WHERE ev.user_id = who.user_id ORDER BY event_id DESC LIMIT 10)), '')
-  AS text
-FROM (SELECT DISTINCT user_id, 's' || user_id AS session_id FROM ev) who
+    printf('%.0f', confidence * 100) || '%)' FROM state
+  UNION ALL
+  SELECT 's' || user_id, 2, event_id, '- ' || event_type || ' ' || event_id FROM ev
+  WHERE event_type IN ('purchase', 'click')
+  UNION ALL
+  SELECT 's' || user_id, 3, event_id, '- Round ' || (user_id % 3) || ': [' || event_type || '] act ' || event_id
+  FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10
+),
+present AS (SELECT DISTINCT session_id, section FROM body)
+SELECT session_id, section::INT AS section, 1 AS place, pos::BIGINT AS pos, line FROM body
+UNION ALL SELECT session_id, section, 2, 0, '' FROM present
+UNION ALL
+SELECT session_id, section, 0, 0, ['## 发现的事实', '## 假设', '## 做出的决策', '## 最近操作'][section + 1]
+FROM present
+UNION ALL
+SELECT session_id, -1, 0, i, ['# 诊断记忆摘要', ''][i + 1]
+FROM (SELECT DISTINCT session_id FROM present), (SELECT unnest(range(2)) AS i)
 """)
 def memory_summary_(spark, folder) -> DataFrame:
-    summary = memory_summary(
+    return memory_summary(
         upsert_facts(_facts(spark, folder)),
         hypothesis_state(*hypotheses_and_updates(spark, folder)),
         _decisions(spark, folder), _entries(spark, folder),
     )
-    # The text ends with the blank line that closes its last section.
-    return summary.select("session_id", "part", F.concat("text", F.lit("\n")).alias("text"))
 
 
-@query("memory_json", "M7", """
-SELECT 'entries' AS section, 'c' || conv_id || '/' || turn || '/' || role || '/' ||
-       (1700000000 + turn) || '/' || length(text) AS record
-FROM conversations
+def _remembered(spark, folder) -> dict[str, DataFrame]:
+    """The tables of what each session remembers, with confidences that all print alike."""
+    created, updates = hypotheses_and_updates(spark, folder)
+
+    def sure(of: str):
+        return (F.col(of) % 4 / 4).alias("confidence")
+
+    context = render.events(spark, folder).select("user_id").distinct().select(
+        render.session().alias("session_id"), F.posexplode(F.create_map(
+            F.lit("user"), F.col("user_id").cast("string"), F.lit("host"), text('"h', F.col("user_id") % 5, '"')
+        )).alias("position", "key", "value"),
+    )
+    return {
+        "entries": _entries(spark, folder),
+        "context": context,
+        "facts": upsert_facts(_facts(spark, folder)).withColumn("confidence", sure("position")),
+        "hypotheses": hypothesis_state(created, updates).withColumn("confidence", sure("hypothesis_id")),
+        "evidence": hypothesis_evidence(created, updates),
+        "decisions": _decisions(spark, folder),
+    }
+
+
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S')"
+
+#: Records of the remembered tables by section and place, each as JSON.
+_MEMORY_SQL = _HYPOTHESES.rstrip() + f""",
+fact AS ({_FACTS_SQL}),
+proof AS (
+  SELECT session_id, hypothesis_id, -1 AS seq, 'seen' AS evidence FROM hyp
+  UNION ALL
+  SELECT u.session_id, u.hypothesis_id, u.seq, 'view ' || u.seq FROM upd u
+  JOIN hyp ON hyp.session_id = u.session_id AND hyp.hypothesis_id = u.hypothesis_id
+  WHERE u.event_type = 'view' AND u.seq > hyp.seq
+),
+who AS (SELECT DISTINCT user_id, 's' || user_id AS session_id FROM ev),
+record AS (
+  SELECT 's' || user_id AS session_id, 0 AS section, event_id AS pos, '{{"id":' || event_id || ',"timestamp":"' ||
+    {_ISO.format("sec")} || '","round":' || (user_id % 3) || ',"action_type":"' || event_type ||
+    '","action_description":"act ' || event_id || '","observation":"","result_summary":"","metadata":{{"of":"' ||
+    event_type || '"}}}}' AS json FROM ev
+  UNION ALL SELECT session_id, 1, 0, '"user":' || user_id FROM who
+  UNION ALL SELECT session_id, 1, 1, '"host":"h' || (user_id % 5) || '"' FROM who
+  UNION ALL
+  SELECT session_id, 2, position, '"' || fact || '":{{"source":"' || source || '","confidence":' ||
+    (position % 4 / 4)::DOUBLE || ',"timestamp":"' || {_ISO.format("timestamp")} || '"}}' FROM fact
+  UNION ALL
+  SELECT 's' || user_id, 4, event_id, '{{"decision":"' || event_type || ' ' || event_id ||
+    '","reasoning":"why","alternatives":["wait","' || event_type || '"],"timestamp":"' || {_ISO.format("sec")} || '"}}'
+  FROM ev WHERE event_type IN ('purchase', 'click')
+),
+idea AS (
+  SELECT session_id, hypothesis_id AS pos, '{{"id":' || hypothesis_id || ',"hypothesis":"' || hypothesis ||
+    '","confidence":' || (hypothesis_id % 4 / 4)::DOUBLE || ',"status":"' || status || '","created_at":"' ||
+    {_ISO.format("created_at")} || '","evidence":[' AS json FROM state
+)"""
+
+
+@query("memory_json", "M7", _MEMORY_SQL + """
+SELECT session_id, section::INT AS section, 1 AS place, pos::BIGINT AS pos, 0::BIGINT AS sub, 0 AS item,
+       CASE WHEN pos > min(pos) OVER (PARTITION BY session_id, section) THEN ',' ELSE '' END || json AS line
+FROM record
 UNION ALL
-SELECT 'decisions', 'c' || conv_id || '/' || turn || '/' || text || '/a,b' FROM conversations
-""", with_events=False)
+SELECT session_id, 3, 1, pos, -4611686018427387904, 0, CASE WHEN pos > 0 THEN ',' ELSE '' END || json FROM idea
+UNION ALL SELECT session_id, 3, 1, pos, 4611686018427387904, 0, ']}' FROM idea
+UNION ALL
+SELECT session_id, 3, 1, hypothesis_id, seq, 0, CASE WHEN seq >= 0 THEN ',' ELSE '' END || '"' || evidence || '"'
+FROM proof
+UNION ALL
+SELECT session_id, i // 2, i % 2 * 2, 0, 0, 0, ['{"entries":[', '],', '"context":{', '},', '"facts":{', '},',
+       '"hypotheses":[', '],', '"decisions":[', ']}'][i + 1]
+FROM who, (SELECT unnest(range(10)) AS i)
+""")
 def memory_json(spark, folder) -> DataFrame:
-    """Memory written as JSON records and read back."""
-    entries = _memory(spark, folder)
-    choices = render.table(spark, folder, "conversations").select(
-        text("c", F.col("conv_id")).alias("session_id"), F.col("turn").alias("seq"),
-        F.col("text").alias("decision"), F.lit("").alias("reasoning"),
-        F.array(F.lit("a"), F.lit("b")).alias("alternatives"),
-    )
-    rows = memory_to_json(entries=entries, decisions=choices)
-    back = memory_from_json(rows, "entries").select(
-        F.lit("entries").alias("section"),
-        F.concat_ws(
-            "/", "session_id", "id", "action_type", F.unix_seconds("timestamp").cast("string"),
-            F.col("metadata")["chars"],
-        ).alias("record"),
-    )
-    return back.unionByName(memory_from_json(rows, "decisions").select(
-        F.lit("decisions").alias("section"),
-        F.concat_ws("/", "session_id", "seq", "decision", F.array_join("alternatives", ","))
-        .alias("record"),
-    ))
+    """The documents of all sessions, line by line."""
+    return memory_documents(**_remembered(spark, folder))
+
+
+@query("memory_round_trip", "M7 M3 M5", _MEMORY_SQL + """
+SELECT session_id, ['entries', 'context', 'facts', '', 'decisions'][section + 1] AS section,
+       row_number() OVER (PARTITION BY session_id, section ORDER BY pos) - 1 AS place, json AS record
+FROM record
+UNION ALL SELECT session_id, 'hypotheses', pos, json || ']}' FROM idea
+UNION ALL
+SELECT session_id, 'evidence', row_number() OVER (PARTITION BY session_id, hypothesis_id ORDER BY seq) - 1,
+       hypothesis_id || ' ' || evidence FROM proof
+""")
+def memory_round_trip(spark, folder) -> DataFrame:
+    """The tables read back from the documents, each record as it stands in them."""
+    whole = render.documents(memory_documents(**_remembered(spark, folder)), "session_id", ORDER)
+    back = memory_tables(whole.withColumnRenamed("text", "json"))
+    time = iso_datetime("timestamp").alias("timestamp")
+
+    def shown(*columns) -> Column:
+        return F.to_json(F.struct(*columns))
+
+    def inside(json: Column) -> Column:
+        return F.substring(json, F.lit(2), F.length(json) - 2)
+
+    rank = Window.partitionBy("session_id").orderBy("id")
+    parts = {
+        "entries": back["entries"].select("session_id", (F.row_number().over(rank) - 1).alias("place"), shown(
+            "id", time, "round", "action_type", "action_description", "observation", "result_summary", "metadata"
+        )),
+        "context": back["context"].select("session_id", "position", text('"', F.col("key"), '":', F.col("value"))),
+        "facts": back["facts"].select("session_id", "position", inside(
+            F.to_json(F.create_map("fact", F.struct("source", "confidence", time)))
+        )),
+        "hypotheses": back["hypotheses"].select("session_id", "hypothesis_id", shown(
+            F.col("hypothesis_id").alias("id"), "hypothesis", "confidence", "status",
+            iso_datetime("created_at").alias("created_at"), F.array().cast("array<string>").alias("evidence"),
+        )),
+        "evidence": back["evidence"].select(
+            "session_id", "position", text(F.col("hypothesis_id"), " ", F.col("evidence"))
+        ),
+        "decisions": back["decisions"].select(
+            "session_id", "seq", shown("decision", "reasoning", "alternatives", time)
+        ),
+    }
+    rows = [
+        t.toDF("session_id", "place", "record").select(
+            "session_id", F.lit(name).alias("section"), F.col("place").cast("bigint").alias("place"), "record"
+        )
+        for name, t in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def _write_logs(spark, folder) -> str:

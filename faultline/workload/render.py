@@ -190,3 +190,11 @@ def memory_entries(conversations: DataFrame) -> DataFrame:
         F.col("text").alias("observation"), F.lit("").alias("result_summary"),
         F.create_map(F.lit("chars"), F.length("text").cast("string")).alias("metadata"),
     )
+
+
+def documents(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """``key, text``: each key's lines as one text, as a document comes from outside."""
+    line = F.struct(*order, "line")
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("_lines")).select(
+        key, F.array_join("_lines.line", "\n").alias("text")
+    )

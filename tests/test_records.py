@@ -4,6 +4,7 @@ import csv
 import json
 from datetime import datetime, timedelta
 from types import SimpleNamespace
+from urllib.parse import unquote, unquote_plus
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,20 +17,24 @@ from faultline.operators.findings import (
     extract_findings, findings_to_facts, initial_facts, initial_hypotheses,
 )
 from faultline.operators.memory import (
-    active_hypotheses, entries_of_round, hypothesis_evidence, hypothesis_state, memory_from_json,
-    memory_summary, memory_to_json, number_hypotheses, recent_entries, upsert_facts,
+    active_hypotheses, entries_of_round, hypothesis_evidence, hypothesis_state, memory_summary,
+    number_hypotheses, recent_entries, upsert_facts,
 )
+from faultline.operators.memory_json import ORDER as JSON_ORDER
+from faultline.operators.memory_json import memory_documents, memory_tables
 from faultline.operators.ordered import numbered
 from faultline.operators.response import decode_responses, suggested_commands
 from faultline.operators.sessions import (
     can_conclude, next_command, observations, observed_facts, pending_commands, session_rollup,
     stop_on_error, successful_results,
 )
-from faultline.plans.documents import Section, assemble
+from faultline.plans.documents import ORDER, Section, assemble, write_documents
 from faultline.plans.report import diagnosis_reports
 from faultline.schema import AUDIT, MEMORY, RESULTS
 from faultline.session import shared_folder
-from faultline.sources.audit_store import append_audit, export_audit, read_audit
+from faultline.sources.audit_store import (
+    append_audit, export_audit, index_audit, lookup_audit, newest_audit, read_audit,
+)
 from faultline.sources.records import from_records, to_records
 from faultline.sources.sinks import write_reports, write_session_results
 
@@ -90,7 +95,7 @@ def test_audit_store_and_export(spark, audit, tmp_path):
     assert back.count() == 5
     first = [r for r in back.collect() if r["id"] == "4"][0]
     assert (first["timestamp"], first["error_message"]) == (T0 + timedelta(hours=4), 'say "hi",\nbye')
-    raw = "".join(f.read_text() for f in (tmp_path / "store").glob("date=2026-02-24/*.json"))
+    raw = "".join(f.read_text() for f in (tmp_path / "store").glob("date=2026-02-24/*/*.json"))
     assert '"timestamp":"2026-02-24T1' in raw and '"command":null' in raw
 
     export_audit(audit, str(tmp_path / "csv"), "csv")
@@ -109,6 +114,68 @@ def test_audit_store_and_export(spark, audit, tmp_path):
         export_audit(audit, str(tmp_path / "xml"), "xml")
 
 
+def _many(spark, n=4000):
+    """Audit entries of 40 days whose ids have no order."""
+    ids = F.md5(F.col("id").cast("string"))
+    return audit_rows(spark.range(n).select(
+        ids.alias("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * (40 * 86_400 // n)).alias("timestamp"),
+        F.when(F.col("id") % 400 == 0, "ssh_connect").otherwise("log_analyze").alias("action"),
+    ))
+
+
+def audit_rows(df):
+    return df.select(*[
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in AUDIT.fields
+    ])
+
+
+def test_an_appended_batch_counts_once(spark, tmp_path):
+    folder, rows = str(tmp_path / "store"), _many(spark)
+    append_audit(rows.limit(1000), folder, "1")
+    append_audit(rows, folder, "2")
+    append_audit(rows, folder, "2")
+    assert read_audit(spark, folder).count() == 5000
+
+
+def _scanned(found, metric):
+    """A figure of the scan at the bottom of the plan, which must have run."""
+    plan = found._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().apply(metric).value()
+
+
+def test_newest_entries_come_from_the_newest_folders(spark, tmp_path):
+    folder, rows = str(tmp_path / "store"), _many(spark)
+    undated = audit_rows(spark.createDataFrame([("x", "log_analyze")], "id string, action string"))
+    append_audit(rows.unionByName(undated), folder)
+    for conditions, limit, days in (({}, 50, 1), ({}, 150, 3), ({"action": "ssh_connect"}, 2, 15), ({}, 10_000, 42)):
+        found = newest_audit(spark, folder, limit, **conditions)
+        found.collect()
+        assert _scanned(found, "numPartitions") <= days, (conditions, limit)
+        want = query_audit(rows.unionByName(undated), limit=limit, **conditions)
+        assert [r["id"] for r in query_audit(found, limit=limit).collect()] == [r["id"] for r in want.collect()]
+
+
+def test_lookup_by_id_skips_row_groups(spark, tmp_path):
+    def read(folder, entry_id):
+        """Rows found, and rows that the scan gives."""
+        found = lookup_audit(spark, folder, entry_id)
+        return len(found.collect()), _scanned(found, "numOutputRows")
+
+    rows = _many(spark)
+    there = rows.orderBy("timestamp").first()["id"]
+    for bloom in (True, False):
+        folder = str(tmp_path / f"index-{bloom}")
+        index_audit(rows, folder, "1", bloom)
+        found, scanned = read(folder, there)
+        assert found == 1 and scanned < 400
+        # Ids between others of their folders: only a filter can tell that they are not there.
+        scans = [read(folder, f"{i:032x}") for i in range(1 << 125, (1 << 125) * 7, 1 << 125)]
+        assert all(n == 0 for n, _ in scans)
+        assert (sum(n for _, n in scans) == 0) == bloom
+
+
 def test_audit_events(spark):
     one = spark.range(1)
     ran = command_events(one.select(
@@ -257,15 +324,59 @@ def test_memory(spark):
     )
     assert [r["id"] for r in recent_entries(entries).orderBy("id").collect()] == [8, 9, 10, 11, 12]
     assert entries_of_round(entries, 1).count() == 6
-    text = memory_summary(facts, state, decisions, entries).collect()[0]["text"]
+    text = texts_of(memory_summary(facts, state, decisions, entries), "session_id")["s"]
     assert text == "\n".join(
         ["# 诊断记忆摘要", "", "## 发现的事实", "- f (来源: c, 置信度: 90%)", "- g (来源: b, 置信度: 100%)", "",
          "## 假设", "- [✗] first (置信度: 95%)", "- [?] later (置信度: 40%)", "", "## 做出的决策", "- go", "",
          "## 最近操作"] + [f"- Round {i % 2}: [execute] step {i}" for i in range(3, 13)] + [""]
     )
-    rows = memory_to_json(entries=entries, decisions=decisions)
-    assert sorted(map(str, memory_from_json(rows, "entries").collect())) == sorted(map(str, entries.collect()))
-    assert memory_from_json(rows, "decisions").collect() == decisions.collect()
+
+
+def test_memory_documents(spark):
+    """All tables come back from the documents, which Python reads as JSON."""
+    entries = spark.createDataFrame(
+        [("s", i, T0, i, "execute", 'say "hi"\n', "o", "r", {"k": "v"}) for i in (1, 2)], MEMORY
+    )
+    context = spark.createDataFrame(
+        [("s", 0, "a", '{"x":[1,2]}'), ("s", 1, 'b"', "3"), ("t", 0, "c", '"3"')],
+        "session_id string, position bigint, key string, value string",
+    )
+    facts = spark.createDataFrame(
+        [("s", "z", "cmd", 0.5, T0, 1, 4), ("s", "a", "cmd", None, T0, 2, 2)],
+        "session_id string, fact string, source string, confidence double, timestamp timestamp, position bigint, updated bigint",
+    )
+    created = number_hypotheses(spark.createDataFrame(
+        [("s", 3, "h", ["e1", "e,2"], 0.5, T0), ("s", 5, "bare", [], 0.25, T0)],
+        "session_id string, seq bigint, hypothesis string, evidence array<string>, confidence double, created_at timestamp",
+    ))
+    updates = spark.createDataFrame(
+        [("s", 0, 9, None, None, ["e3", "e4"]), ("s", 0, 7, "confirmed", 0.75, ["e5"])],
+        "session_id string, hypothesis_id bigint, seq bigint, status string, confidence double, new_evidence array<string>",
+    )
+    decisions = spark.createDataFrame(
+        [("u", 4, "go", "why", ["stay"], T0)],
+        "session_id string, seq bigint, decision string, reasoning string, alternatives array<string>, timestamp timestamp",
+    )
+    state, evidence = hypothesis_state(created, updates), hypothesis_evidence(created, updates)
+    rows = memory_documents(entries, context, facts, state, evidence, decisions)
+    texts = texts_of(rows, "session_id", JSON_ORDER)
+    documents = {k: json.loads(v) for k, v in texts.items()}
+    assert set(documents) == {"s", "t", "u"}
+    assert documents["t"] == {"entries": [], "context": {"c": "3"}, "facts": {}, "hypotheses": [], "decisions": []}
+    assert list(documents["s"]["facts"]) == ["z", "a"] and documents["s"]["context"] == {"a": {"x": [1, 2]}, 'b"': 3}
+    assert [h["evidence"] for h in documents["s"]["hypotheses"]] == [["e1", "e,2", "e5", "e3", "e4"], []]
+    assert documents["s"]["hypotheses"][0]["created_at"] == "2026-02-24T10:00:00"
+    back = memory_tables(spark.createDataFrame(list(texts.items()), "session_id string, json string"))
+
+    def same(got, want):
+        return sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+    assert same(back["entries"], entries) and same(back["context"], context)
+    assert same(back["hypotheses"], state.withColumn("evidence_count", F.col("evidence_count").cast("bigint")))
+    assert same(back["decisions"].drop("seq"), decisions.drop("seq"))
+    assert same(back["facts"].drop("position", "updated"), facts.drop("position", "updated"))
+    assert [r["evidence"] for r in back["evidence"].orderBy("position").collect()] == ["e1", "e,2", "e5", "e3", "e4"]
+    assert texts_of(memory_documents(**back), "session_id", JSON_ORDER) == texts
 
 
 def test_numbering_across_chunks(spark):
@@ -277,21 +388,35 @@ def test_numbering_across_chunks(spark):
     assert all(found == list(range(1, len(found) + 1)) for found in groups.values())
 
 
-@pytest.mark.parametrize("bits", [12, 2, 0])
-def test_long_documents_come_in_parts(spark, bits):
-    lines = spark.range(23).select(
-        F.when(F.col("id") < 21, "long").otherwise("short").alias("k"), F.col("id").alias("pos"),
+def texts_of(rows, key, order=ORDER):
+    """Each key's document, from its lines."""
+    texts = {}
+    for r in rows.orderBy(key, *order).collect():
+        texts.setdefault(r[key], []).append(r["line"])
+    return {k: "\n".join(v) for k, v in texts.items()}
+
+
+@pytest.mark.parametrize("size", [1, 4200, 10_000])
+def test_documents_of_any_length_have_one_shape(spark, tmp_path, size):
+    lines = spark.range(size + 2).select(
+        F.when(F.col("id") < size, "a long/key").otherwise("short").alias("k"), F.col("id").alias("pos"),
         F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"),
     )
-    parts = assemble("k", [Section("T", lines), Section("U", lines, gap=True)], ["top"], part_bits=bits)
-    texts = {}
-    for r in parts.orderBy("k", "part").collect():
-        texts.setdefault(r["k"], []).append(r["text"])
-    for key, numbers in {"long": range(21), "short": range(21, 23)}.items():
+    rows = assemble("k", [Section("T", lines), Section("U", lines, gap=True)], ["top", ""])
+    assert rows.columns == ["k", "section", "place", "pos", "line"]
+    texts = texts_of(rows, "k")
+    for key, numbers in {"a long/key": range(size), "short": range(size, size + 2)}.items():
         body = [f"line {i}" for i in numbers]
-        assert "\n".join(texts[key]) == "\n".join(["top", "T", *body, "", "U", "", *body, ""])
-    if bits == 2:
-        assert len(texts["long"]) > 10
+        assert texts[key] == "\n".join(["top", "", "T", *body, "", "U", "", *body, ""])
+    # Small tasks are not put together, so that a long document has several files.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    write_documents(rows, "k", str(tmp_path / "out"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    folders = {unquote_plus(unquote(f.name.split("=")[1])): f for f in (tmp_path / "out").iterdir() if f.is_dir()}
+    for key, text in texts.items():
+        files = sorted(folders[key].glob("part-*"))
+        assert "".join(f.read_text() for f in files) == text + "\n"
+        assert size < 10_000 or key == "short" or len(files) > 1
 
 
 def test_diagnosis_report(spark):
@@ -308,8 +433,7 @@ def test_diagnosis_report(spark):
         "session_id string, hypothesis_id bigint, hypothesis string, status string, confidence double",
     )
     ran = spark.createDataFrame([("s", 1, "ping")], "session_id string, seq bigint, command string")
-    texts = {r["session_id"]: r["text"] for r in
-             diagnosis_reports(sessions, facts, ideas, ran, F.lit(T0)).collect()}
+    texts = texts_of(diagnosis_reports(sessions, facts, ideas, ran, F.lit(T0)), "session_id")
     head = ["# 网络诊断报告", "", "**诊断时间**: 2026-02-24 10:00:00"]
     assert texts["t"] == "\n".join(head + ["**执行轮次**: 1", ""])
     assert texts["u"] == "\n".join(
