@@ -55,7 +55,7 @@ def _ranked_encoding(path: str) -> tuple | None:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder per process, so that the words it knows serve later tasks."""
+    """One encoder per process; the words it knows are dropped when a task ends."""
     return Encoder(path)
 
 
@@ -69,8 +69,8 @@ class Encoder:
     differ.
     """
 
-    #: Words remembered per process; the memory is emptied when it is full.
-    MEMORY = 700_000
+    #: Words remembered per task; the memory is emptied when it is full.
+    MEMORY = 300_000
     COMPARED = 500
 
     def __init__(self, path: str):
@@ -80,13 +80,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.fast, self.compared = _ranked_encoding(path), 0
-        self._forget()
+        self.forget()
         plain = np.zeros(256, dtype=bool)
         plain[33:127] = True
         plain[0xC3] = True  # leads the Latin letters from U+00C0 to U+00FF
         self.plain = plain
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.starts, self.counts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
@@ -156,7 +156,7 @@ class Encoder:
         else:
             pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.known) + len(pieces) > self.MEMORY and len(self.known) > self.MEMORY // 2:
-            self._forget()
+            self.forget()
         known = self.known
         new = [p for p in pieces if p not in known]
         if new:
@@ -191,6 +191,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_id
             if with_ids:
                 out["ids"] = pa.array(lists, pa.list_(pa.int64()))
             yield pa.record_batch(out)
+    known.forget()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
