@@ -136,8 +136,11 @@ def _salt(salts: Column) -> Column:
 
 def _level(states: DataFrame, edges: DataFrame) -> DataFrame:
     """The states one edge further, and the node of the word found, if any."""
-    size = F.length("label")
-    joined = states.join(edges, ["node", "salt"]).withColumn("_size", size).withColumn(
+    # After its edit a word follows one edge at most, known by its first letter.
+    rest = F.expr("substring(spelt, place + 1, 1)")
+    spent = states.where("edits = 1").withColumn("begins", rest).join(edges, ["node", "salt", "begins"]).drop("begins")
+    free = states.where("edits = 0").join(edges.drop("begins"), ["node", "salt"])
+    joined = free.unionByName(spent).withColumn("_size", F.length("label")).withColumn(
         "_rest", F.expr("substring(spelt, place + 1, _size + 1)")
     ).withColumn("_held", F.expr("greatest(kept - place, 0)")).withColumn(
         "_same", F.expr("substring(_rest, 1, _size) = label")
@@ -176,7 +179,7 @@ def neighbours(vocabulary: DataFrame, least_length: int = 6) -> DataFrame:
     ).distinct()
     edges = edges.select(
         F.col("parent").alias("node"), F.explode(F.expr("sequence(0, _salts - 1)")).alias("salt"),
-        "label", "child", "is_word", "child_salts",
+        "label", F.substring("label", 1, 1).alias("begins"), "child", "is_word", "child_salts",
     )
     edges = staged(edges, "spelling-edges")
     states = paths.withColumn("_next", F.lead("place").over(along)).where("place <= kept AND _next > kept").select(
