@@ -48,6 +48,12 @@ RESULTS = _struct(
     ("exit_code", I), ("stdout", S), ("stderr", S), ("duration", D), ("ts", TS),
 )
 
+#: One step that a session took.
+ACTION = _struct(
+    ("id", S), ("type", S), ("description", S), ("parameters", TEXT_MAP), ("result", S),
+    ("success", B), ("error", S), ("timestamp", TS),
+)
+
 MEMORY = _struct(
     ("session_id", S), ("id", L), ("timestamp", TS), ("round", I), ("action_type", S),
     ("action_description", S), ("observation", S), ("result_summary", S), ("metadata", TEXT_MAP),

@@ -82,24 +82,36 @@ def commands_per_category(spark, folder) -> DataFrame:
     )
 
 
-@query("policy_by_category", "C5", """
-WITH used AS (SELECT DISTINCT CASE event_id % 25 WHEN 1 THEN 'port' WHEN 3 THEN 'dns'
-                WHEN 21 THEN 'service' WHEN 2 THEN 'firewall' END AS category FROM ev)
-SELECT category, CASE category
-  WHEN 'port' THEN 'netstat: -t, -u, -l, -n, -p...|ss: -t, -u, -l, -n, -p...|lsof: -i, -P, -n, -p, -u...'
-  WHEN 'dns' THEN 'dig: @, +short, +trace, +recurse, +norecurse...|nslookup: -type, -query, -debug|'
-    || 'host: -t, -a, -v, -w, -W...'
-  WHEN 'service' THEN 'systemctl: status, is-active, is-enabled, show, list-units|service: status'
-  ELSE 'iptables: -L, -n, -v, -t, -S...|ip6tables: -L, -n, -v, -t, -S...|'
-    || 'ufw: status, status numbered|firewall-cmd: --list-all, --list-services, --list-ports, --state'
-  END AS commands
-FROM used WHERE category IS NOT NULL
+@query("policy_by_category", "C5", VERDICTS_SQL.rstrip() + """,
+used AS (SELECT rule_category AS category, count(*) AS n FROM ev JOIN judged ON i = event_id % 25 GROUP BY 1),
+-- Fixed values: the listing of each category.
+listing(category, commands) AS (VALUES
+  ('network', 'ping: -c, -w, -W, -i, -s...|traceroute: -n, -m, -w, -q, -I...|tracepath: -n, -m, -p, -l|'
+    || 'mtr: -r, -c, -n, -s, -p...|curl: -I, -i, -s, -S, -o...|wget: -q, -O, -o, -T, -t...|nc: -z, -v, -w, -u, -l|'
+    || 'ip: addr, link, route, show, list...|ifconfig: -a|arp: -a, -n, -e|route: -n, -ee|'
+    || 'ethtool: -i, -k, -S, -s, -a...|tcpdump: -i, -n, -nn, -c, -w...|'
+    || 'nmcli: device, connection, show, status, general...|bridge: link, fdb, mdb, vlan'),
+  ('port', 'netstat: -t, -u, -l, -n, -p...|ss: -t, -u, -l, -n, -p...|lsof: -i, -P, -n, -p, -u...'),
+  ('dns', 'dig: @, +short, +trace, +recurse, +norecurse...|nslookup: -type, -query, -debug|'
+    || 'host: -t, -a, -v, -w, -W...'),
+  ('system', 'dmesg: -T, -w, -n, -l, -f|journalctl: -u, -n, -f, --since, --until...|top: -b, -n, -p, -u|'
+    || 'ps: aux, -ef, -eo, --sort|free: -h, -m, -g, -b, -t...|vmstat: -a, -s, -d, -p|iostat: -c, -d, -k, -m, -x...|'
+    || 'df: -h, -H, -T, -i, -l...|du: -h, -s, -a, -d, --max-depth|uptime: |hostname: -f, -i, -I, -s|'
+    || 'sysctl: -a, -n|cat: |head: -n|tail: -n, -f|grep: -i, -n, -c, -v, -E...|awk: |sort: -n, -r, -k, -u|'
+    || 'uniq: -c, -d|wc: -l, -w, -c'),
+  ('firewall', 'iptables: -L, -n, -v, -t, -S...|ip6tables: -L, -n, -v, -t, -S...|ufw: status, status numbered|'
+    || 'firewall-cmd: --list-all, --list-services, --list-ports, --state'),
+  ('service', 'systemctl: status, is-active, is-enabled, show, list-units|service: status'),
+  ('driver', 'lsmod: |modinfo: -n, -F'),
+  ('hardware', 'lspci: -v, -vv, -n, -nn, -k...|lshw: -short, -C, -c, -businfo|dmidecode: -t|setpci: -s, -d, -v, -H')
+)
+SELECT category, commands, coalesce(n, 0) AS n FROM listing LEFT JOIN used USING (category)
 """)
 def policy_by_category(spark, folder) -> DataFrame:
-    """Listings of the categories that the first programs of the rendered commands belong to."""
-    used = validate_commands(_commands(spark, folder), policy_table(spark)).filter(
-        F.col("rule_category").isin("port", "dns", "service", "firewall")
-    ).select(F.col("rule_category").alias("category")).distinct()
+    """The listings of all categories, and how many of the rendered commands belong to each."""
+    used = validate_commands(_commands(spark, folder), policy_table(spark)).groupBy(
+        F.col("rule_category").alias("category")
+    ).agg(F.count(F.lit(1)).alias("n"))
     listed = by_category(policy_table(spark)).select(
         "category",
         F.array_join(
@@ -107,7 +119,7 @@ def policy_by_category(spark, folder) -> DataFrame:
             "|",
         ).alias("commands"),
     )
-    return used.join(listed, "category")
+    return listed.join(used, "category", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 CUSTOM_RULES = (

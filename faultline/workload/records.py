@@ -26,7 +26,7 @@ from faultline.operators.nginx import Nginx
 from faultline.operators.sessions import observed_facts
 from faultline.operators.stats import log_statistics
 from faultline.plans.analysis import analyze_files
-from faultline.schema import AUDIT, LOG_ENTRY
+from faultline.schema import ACTION, ANALYSIS, AUDIT, LOG_ENTRY, RESULTS
 from faultline.session import shared_folder
 from faultline.sources.audit_store import (
     append_audit, audit_export_rows, export_audit, index_audit, lookup_audit, newest_audit, read_audit,
@@ -37,7 +37,8 @@ from faultline.sources.sinks import write_entries, write_reports, write_session_
 from faultline.workload import render
 from faultline.workload.diagnosis import _HYPOTHESES, hypotheses_and_updates
 from faultline.workload.parsing import HTTP_LEVEL_SQL
-from faultline.workload.registry import query
+from faultline.workload.statistics import markdown_report
+from faultline.workload.registry import QUERIES, query
 from faultline.workload.render import lines, text
 
 START, END = datetime(2024, 1, 5), datetime(2024, 1, 20)
@@ -473,20 +474,31 @@ def _write_logs(spark, folder) -> str:
 _LOG_NAME = r"file=([^/]+)/"
 
 
-@query("scan_lines", "S1 S2 S3", """
+#: Largest file that the size guard lets pass here: more than any log has, also at ten times the events.
+GUARD = 8 << 20
+
+
+@query("scan_lines", "S1 S3", """
 SELECT file, count(*) AS lines, 0::BIGINT AS undecodable, count(*) AS kept FROM ev GROUP BY 1
+UNION ALL SELECT 'app-large.log', 1 + count(*) * 20, 0, 0 FROM ev
 """)
 def scan_lines(spark, folder) -> DataFrame:
+    """Lines of all files, and of those that the size guard lets pass."""
     path = _write_logs(spark, folder)
+    ev = render.events(spark, folder)
+    # One file above the guard's size: a first line that is longer than that, and many others.
+    large = ev.select(F.explode(F.array(*map(F.lit, range(20)))).alias("value")).select(F.col("value").cast("string"))
+    first = spark.range(1).select(F.repeat(F.lit("x"), GUARD).alias("value"))
+    first.unionByName(large).coalesce(1).write.text(f"{path}/file=app-large.log")
     scanned = read_lines(spark, path)
     name = F.regexp_extract("file", _LOG_NAME, 1).alias("file")
     bad = replaced_bytes(scanned).groupBy(name).agg(F.sum("undecodable_lines").alias("undecodable"))
-    kept = read_lines(spark, path, max_size=100 * 1024 * 1024).groupBy(name).agg(
+    kept = read_lines(spark, path, max_size=GUARD).groupBy(name).agg(
         F.count_distinct("file", "line_id").alias("kept")
     )
     return scanned.groupBy(name).agg(F.count(F.lit(1)).alias("lines")).join(bad, "file").join(
-        kept, "file"
-    )
+        kept, "file", "left"
+    ).withColumn("kept", F.coalesce("kept", F.lit(0)))
 
 
 @query("scan_heads", "S1 D1", """
@@ -552,6 +564,56 @@ def record_round_trip(spark, folder) -> DataFrame:
     )
 
 
+@query("records_of_all_kinds", "S10", _AUDIT + """
+SELECT 'audit' AS kind, id, action || '/' || result || '/' || coalesce(host, '') || '/' || floor(epoch(timestamp))::BIGINT AS record
+FROM audit
+UNION ALL
+SELECT 'results', 's' || user_id || '-' || event_id, 'probe ' || (event_id % 11) || '/h' || (user_id % 5) || '/' ||
+       CASE event_type WHEN 'error' THEN 1 ELSE 0 END || '/' || floor(epoch(sec))::BIGINT FROM ev
+UNION ALL
+SELECT 'analyses', 'p' || event_id, 'P' || (event_id % 3) || '/a,b/' || event_type || ':ping ' || event_id || '/' ||
+       (event_id % 4 / 4)::DOUBLE FROM ev
+UNION ALL
+SELECT 'actions', 'a' || event_id, 'execute/did ' || event_id || '/' || event_type || '/' ||
+       CASE event_type WHEN 'error' THEN 'false/refused' ELSE 'true/' END || '/' || floor(epoch(sec))::BIGINT FROM ev
+""")
+def records_of_all_kinds(spark, folder) -> DataFrame:
+    """Audit entries, results, analyses and actions as JSON records and back."""
+    ev = render.events(spark, folder)
+    event, kind = F.col("event_id"), F.col("event_type")
+    analyses = ev.select(
+        text("p", event).alias("problem_type"), F.array(F.lit("a"), F.lit("b")).alias("possible_causes"),
+        text("P", event % 3).alias("risk_level"),
+        F.array(F.struct(
+            kind.alias("category"), F.lit("d").alias("description"), text("ping ", event).alias("command")
+        )).alias("suggested_commands"),
+        (event % 4 / 4).alias("confidence"),
+    )
+    failed = kind == "error"
+    actions = ev.select(
+        text("a", event).alias("id"), F.lit("execute").alias("type"), text("did ", event).alias("description"),
+        F.create_map(F.lit("kind"), kind).alias("parameters"), F.lit(None).cast("string").alias("result"),
+        (~failed).alias("success"), F.when(failed, "refused").alias("error"), F.col("sec").alias("timestamp"),
+    )
+
+    def back(table: DataFrame, schema, name: str, key: Column, *shown: Column) -> DataFrame:
+        read = from_records(to_records(table.select(*schema.fieldNames())), schema)
+        parts = [F.coalesce(c.cast("string"), F.lit("")) for c in shown]
+        return read.select(F.lit(name).alias("kind"), key.alias("id"), F.concat_ws("/", *parts).alias("record"))
+
+    one = F.get("suggested_commands", F.lit(0))
+    return reduce(DataFrame.unionByName, [
+        back(_audit(spark, folder), AUDIT, "audit", F.col("id"), F.col("action"), F.col("result"), F.col("host"),
+             F.unix_seconds("timestamp")),
+        back(render.results(ev), RESULTS, "results", F.concat_ws("-", "session_id", "command_idx"), F.col("command"),
+             F.col("host"), F.col("exit_code"), F.unix_seconds("ts")),
+        back(analyses, ANALYSIS, "analyses", F.col("problem_type"), F.col("risk_level"),
+             F.array_join("possible_causes", ","), F.concat_ws(":", one["category"], one["command"]), F.col("confidence")),
+        back(actions, ACTION, "actions", F.col("id"), F.col("type"), F.col("description"),
+             F.col("parameters")["kind"], F.col("success"), F.col("error"), F.unix_seconds("timestamp")),
+    ])
+
+
 @query("session_results", "S8", """
 SELECT 's' || user_id AS session_id, count(*) AS n,
        count(*) FILTER (event_type <> 'error') AS successes
@@ -565,16 +627,11 @@ def session_results(spark, folder) -> DataFrame:
     )
 
 
-@query("report_store", "S4", """
-SELECT file AS source, '总行数 ' || count(*) AS report FROM ev GROUP BY 1
-""")
+@query("report_store", "S4 R1", QUERIES["markdown_report"].sql, with_events=False)
 def report_store(spark, folder) -> DataFrame:
+    """The reports written and read back."""
     path = _folder(spark)
-    ev = render.events(spark, folder)
-    stats = log_statistics(parse_as(lines(ev, render.nginx_access()), Nginx()).entries)
-    write_reports(
-        stats.select("source", text("总行数 ", F.col("total_lines")).alias("report")), path
-    )
+    write_reports(markdown_report(spark, folder), path)
     return spark.read.parquet(path)
 
 
