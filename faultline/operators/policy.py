@@ -17,6 +17,8 @@ ARGUMENT_NOT_ALLOWED = "argument_not_allowed"
 
 #: A policy built from Python rows is broadcast up to this size.
 BROADCAST_ROWS = 10_000
+#: Different patterns that a policy may have; each becomes a constant of the plan.
+PATTERNS = 2000
 
 
 @dataclass(frozen=True)
@@ -218,30 +220,50 @@ def shell_words(command: Column) -> Column:
     return F.when(~quoted, plain).when(~broken, words)
 
 
-def _argument_allowed(arg: Column, allowed: Column, patterns: Column) -> Column:
-    """Whether one argument passes; ``patterns`` are the rule's regexes."""
+def _argument_allowed(arg: Column, allowed: Column, flags: Column, numbers: Column, patterns: list[str]) -> Column:
+    """Whether one argument passes.
+
+    ``flags`` are the rule's one-letter options in a row, ``numbers`` those of its ``patterns``.
+    """
     option = arg.startswith("-")
-    letters = F.transform(
-        F.sequence(F.lit(2), F.length(arg)), lambda i: F.concat(F.lit("-"), arg.substr(i, F.lit(1)))
-    )
+    # Taking the rule's flags away leaves nothing of a bundle of them.
     bundle = (
         ~arg.startswith("--") & (F.length(arg) > 2)
-        & F.when(F.length(arg) > 2, F.forall(letters, lambda x: F.array_contains(allowed, x)))
-        .otherwise(False)
+        & (F.call_function("translate", F.substring(arg, 2, F.length(arg)), flags, F.lit("")) == "")
     )
     base = F.substring_index(arg, "=", 1)
     with_value = arg.contains("=") & F.exists(allowed, lambda a: F.startswith(a, base))
-    by_pattern = F.exists(patterns, lambda p: F.rlike(arg, p))
+
+    def matches(number: Column) -> Column:
+        """Each pattern is a constant of its own, compiled once."""
+        chain = F
+        for i, pattern in enumerate(patterns):
+            chain = chain.when(number == i, arg.rlike(f"(?Ud)^(?:{pattern})"))
+        return chain.otherwise(False)
+
+    by_pattern = F.exists(numbers, matches) if patterns else F.lit(False)
     return ~option | F.array_contains(allowed, arg) | bundle | with_value | by_pattern
 
 
-def _with_patterns(policy: DataFrame) -> DataFrame:
-    """The rules' patterns, each made to match at the start of a word; one by one, since patterns
-    joined into one would count their groups together."""
-    anchored = F.transform(
-        "allowed_patterns", lambda p: F.concat(F.lit("(?Ud)^(?:"), p, F.lit(")"))
+def _patterns(policy: DataFrame) -> list[str]:
+    """The distinct patterns of a policy, which is configuration: more than ``PATTERNS`` are refused."""
+    found = policy.select(F.explode("allowed_patterns").alias("p")).distinct().limit(PATTERNS + 1).collect()
+    if len(found) > PATTERNS:
+        raise ValueError(f"a policy may have {PATTERNS} different patterns")
+    return sorted(r["p"] for r in found if r["p"] is not None)
+
+
+def _indexed(policy: DataFrame, patterns: list[str]) -> DataFrame:
+    """Rules with their one-letter options as one text and the numbers of their patterns."""
+    single = F.filter("allowed_args", lambda a: a.startswith("-") & (F.length(a) == 2))
+    flags = F.array_join(F.transform(single, lambda a: F.substring(a, 2, 1)), "")
+    known = F.array(*map(F.lit, patterns)).cast("array<string>")
+    numbers = F.transform(
+        F.filter("allowed_patterns", lambda p: p.isNotNull()), lambda p: F.array_position(known, p).cast("int") - 1
+    )
+    return policy.withColumn("_flags", F.coalesce(flags, F.lit(""))).withColumn(
+        "_numbers", F.coalesce(numbers, F.array().cast("array<int>"))
     )
-    return policy.withColumn("_patterns", F.coalesce(anchored, F.array().cast("array<string>")))
 
 
 def validate_commands(
@@ -258,13 +280,16 @@ def validate_commands(
         "_words", F.when(sudo, F.slice("_all", 2, F.size("_all"))).otherwise(F.col("_all"))
     ).withColumn("program", F.get(words, F.lit(0)))
     args = F.slice(words, 2, F.size(words))
-    rules = _with_patterns(policy).select(
-        F.col("command").alias("program"), "allowed_args", "_patterns", F.lit(True).alias("_listed"),
+    patterns = _patterns(policy)
+    rules = _indexed(policy, patterns).select(
+        F.col("command").alias("program"), "allowed_args", "_flags", "_numbers", F.lit(True).alias("_listed"),
         F.col("description").alias("rule_description"), F.col("category").alias("rule_category"),
         "risk_level", "requires_sudo",
     )
     fine = F.forall(
-        args, lambda a: _argument_allowed(a, F.col("allowed_args"), F.col("_patterns"))
+        args, lambda a: _argument_allowed(
+            a, F.col("allowed_args"), F.col("_flags"), F.col("_numbers"), patterns
+        )
     )
     verdict = (
         F.when(F.col("_listed").isNull(), COMMAND_NOT_ALLOWED)

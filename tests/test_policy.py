@@ -1,5 +1,6 @@
 """Command policy and plans."""
 
+import re
 import shlex
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from faultline.operators import policy
 from faultline.operators.policy import (
     DEFAULT_RULES, Rule, by_category, policy_table, remove_rules, shell_words, upsert_rules,
     validate_commands,
@@ -116,3 +118,19 @@ def test_policy_is_broadcast_when_small(spark):
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
     with pytest.raises(Exception):
         policy_table(spark, [Rule("x", "", "", allowed_patterns=["("])])
+
+
+def test_patterns_are_constants_of_the_plan(spark):
+    """No regex of the plan takes its pattern from a column, so each is compiled once."""
+    df = spark.createDataFrame([("ss -tulpn",)], "command_text string")
+    checked = validate_commands(df, policy_table(spark))
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    found = re.findall(r"RLIKE\([^,]+, (.{5})", plan)
+    assert found.count("(?Ud)") > 10 and "lambd" not in found
+
+
+def test_many_patterns_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(policy, "PATTERNS", 3)
+    df = spark.createDataFrame([("ss -tulpn",)], "command_text string")
+    with pytest.raises(ValueError, match="different patterns"):
+        validate_commands(df, policy_table(spark))
