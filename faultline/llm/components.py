@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.staging import staged
+from faultline.llm.staging import dropped, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,13 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
             both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(),
             "large-stars",
         )
+        dropped(least)
         least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least, "u")
-        now = staged(
+        before, now = now, staged(
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v"))).distinct(),
             "small-stars",
         )
+        # Only the newest stars are read from here on.
+        dropped(least, large, before)
         after = _mark(now)
         if after == seen:
             break

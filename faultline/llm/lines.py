@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import words
 from faultline.llm.similar import agreeing, band_values, banded, exact_links, minima, sketch_values
-from faultline.llm.staging import staged
+from faultline.llm.staging import dropped, staged
 
 SHINGLE, SIMILARITY = 9, 0.8
 BANDS, ROWS = 10, 4
@@ -112,6 +112,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         "line-sketches",
     )
     roots = banded(sets, agreeing(similarity))
+    dropped(sets)
     places = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     members = staged(roots.join(places, "id"), "line-members")
     # Shingles of the members alone, each from one document that holds it; read twice below.
@@ -122,11 +123,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         "line-hashes",
     )
     _, named = exact_links(hashes, similarity)
+    named = staged(named, "line-classes")
+    dropped(hashes, members)
     # The place of a line as a number that sorts like it: ids first, nulls last.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
-    found = staged(rows.join(staged(named, "line-classes"), "id", "left").select(
+    found = staged(rows.join(named, "id", "left").select(
         "doc_id", "line", F.col("id").alias("line_id"), F.coalesce("root", "id").alias("class_id")
     ), "classed-lines")
+    dropped(rows, named)
     firsts = staged(found.groupBy("class_id").agg(
         F.min(place).alias("_first"), F.count("*").alias("class_lines")
     ).where("class_lines > 1"), "first-lines")

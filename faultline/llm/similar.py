@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import words
 from faultline.llm.components import components
-from faultline.llm.staging import staged
+from faultline.llm.staging import dropped, staged
 
 SKETCH = 64
 #: Sets of a bucket or component compared in one group; more are split into pairs of blocks.
@@ -170,7 +170,11 @@ def banded(sets: DataFrame, least: int) -> DataFrame:
     )
     sizes = staged(level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "band-sizes")
     nodes = level.join(sizes, "bucket").join(sets.select("id", "sketch"), "id")
-    return components(staged(likely_pairs(nodes, least, "u2").distinct(), "likely"))
+    likely = staged(likely_pairs(nodes, least, "u2").distinct(), "likely")
+    dropped(sizes)
+    found = components(likely)
+    dropped(likely)
+    return found
 
 
 def band_values(least: np.ndarray, bands: int, rows: int) -> pa.Array:
