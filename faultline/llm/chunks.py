@@ -6,16 +6,16 @@ contents share gets a rank by content, so identifiers are verified, not trusted.
 compared as ordered lists of identifiers, 16 bytes for about a thousand; their texts stay in place.
 
 Defined results: null counts as empty; an empty text has an empty recipe and equals other empty
-texts; rows that repeat a ``doc_id`` each stay in the result and share its fate; of a group whose
-ids are all null, every row stays; further columns are ignored; an empty table gives an empty
-result. Texts of any length are cut a block at a time.
+texts; rows that repeat a ``doc_id`` each have a row in the result; in ``classes`` every row of the
+id that stays is kept, so all rows of a group whose ids are all null, while ``deduplicated`` leaves
+one row of each text, known by id and text; further columns are ignored; an empty table gives an
+empty result. Texts of any length are cut a block at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words
+from faultline.llm.rows import one_per_group, own_key
 from faultline.llm.staging import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,7 +82,7 @@ def _recipes(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.R
                 counts.append(len(ends))
             part = batch.slice(first, last - first)
             yield pa.record_batch({
-                "doc_id": part["doc_id"], "text_sha256": part["text_sha256"],
+                "doc_id": part["doc_id"], "own_key": part["own_key"], "text_sha256": part["text_sha256"],
                 "n_bytes": pa.array(np.diff(offsets)), "n_chunks": pa.array(counts, pa.int64()),
                 "recipe": pa.array(lists, pa.binary()),
             })
@@ -108,15 +109,15 @@ def _contents(batches: Iterator[pa.RecordBatch], digest: Digest, places: bool) -
 
 
 def recipes(docs: DataFrame, digest: Digest = digest_of) -> DataFrame:
-    """``doc_id, text_sha256, n_bytes, n_chunks, recipe`` of every row.
+    """``doc_id, own_key, text_sha256, n_bytes, n_chunks, recipe`` of every row.
 
     ``recipe`` joins the 16-byte identifiers of the row's chunks in order; equal recipes stand for
     equal texts, since an identifier stands for one content.
     """
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("text"))
-    rows = texts.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "text").mapInArrow(
+    texts = docs.select("doc_id", own_key(docs).alias("own_key"), normalised(F.col("text")).alias("text"))
+    rows = texts.select("doc_id", "own_key", F.sha2("text", 256).alias("text_sha256"), "text").mapInArrow(
         partial(_recipes, digest=digest),
-        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_sha256 string, n_bytes bigint, "
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, own_key bigint, text_sha256 string, n_bytes bigint, "
         "n_chunks bigint, recipe binary",
     )
     contents = texts.select("text").mapInArrow(
@@ -177,26 +178,7 @@ def classes(docs: DataFrame, digest: Digest = digest_of) -> DataFrame:
 def deduplicated(docs: DataFrame, digest: Digest = digest_of) -> DataFrame:
     """The rows of ``docs`` that stay, one per text, with all their columns.
 
-    Rows that repeat an id and a text leave one of them; rows without an id stay.
+    The largest id stays, a null one only where all are null; of its rows one.
     """
-    found = staged(classes(docs, digest), "text-classes")
-    out = without(docs, found.where("NOT kept"))
-    repeated = staged(
-        found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n"))
-        .where("_n > 1").select("doc_id"), "repeated-rows",
-    )
-    if repeated.isEmpty():
-        return out
-    # A name that no table has: the rows carry all their columns.
-    sha = f"sha_{uuid4().hex}"
-    once = out.join(repeated, out["doc_id"] == repeated["doc_id"], "left_semi").withColumn(
-        sha, F.sha2(normalised(F.col("text")), 256)
-    ).dropDuplicates(["doc_id", sha]).drop(sha)
-    return out.join(repeated, out["doc_id"] == repeated["doc_id"], "left_anti").unionByName(once)
-
-
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is not among ``dropped``; the ids are written first, so
-    that Spark knows their size when it chooses how to join."""
-    ids = staged(dropped.where("doc_id IS NOT NULL").select("doc_id").distinct(), "dropped-ids")
-    return docs.join(ids, docs["doc_id"] == ids["doc_id"], "left_anti")
+    found = staged(recipes(docs, digest).select("doc_id", "own_key", "n_bytes", "recipe"), "recipes")
+    return one_per_group(docs, found, ["n_bytes", "recipe"], F.max)

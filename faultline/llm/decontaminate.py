@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words
-from faultline.llm.chunks import without
+from faultline.llm.rows import keyed, without
 from faultline.llm.words import mix
 
 WINDOW = 8
@@ -242,9 +242,9 @@ def _matches(batches: Iterator[pa.RecordBatch], part, cover: float) -> Iterator[
             if out:
                 columns = list(zip(*out, strict=True))
                 yield pa.record_batch([
-                    batch["doc_id"].take(pa.array(columns[0], pa.int64())),
+                    batch["doc_id"].take(pa.array(columns[0], pa.int64())), batch["own_key"].take(pa.array(columns[0], pa.int64())),
                     *(pa.array(c, pa.float64() if n == 4 else pa.int64()) for n, c in enumerate(columns) if n),
-                ], ["doc_id", "item", "first_word", "last_word", "cover", "n_slots", "n_changed"])
+                ], ["doc_id", "own_key", "item", "first_word", "last_word", "cover", "n_slots", "n_changed"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = LEAST_COVER, part_windows: int = PART_WINDOWS) -> DataFrame:
@@ -253,6 +253,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = LEAST_COVER, par
     ``cover`` is the part of the item's words that stand in the document; ``n_changed`` of its
     ``n_slots`` covered slots hold other values. Items of equal text are one, named by the smallest id.
     """
+    return _leaks(docs, benchmark, cover, part_windows).drop("own_key")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, cover: float = LEAST_COVER, part_windows: int = PART_WINDOWS) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.where("text IS NOT NULL").groupBy("text").agg(F.min("item_id").alias("item_id"))
     items = items.withColumn("item", F.xxhash64("text"))
@@ -273,19 +277,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = LEAST_COVER, par
             {t["item"]: (np.frombuffer(t["values"], np.uint64), np.frombuffer(t["kinds"], np.int8),
                          np.frombuffer(t["last_names"], np.uint64), np.frombuffer(t["n_names"], np.int32)) for t in texts},
         ))
-        matches = docs.select("doc_id", "text").mapInArrow(
+        matches = keyed(docs).mapInArrow(
             partial(_matches, part=part, cover=cover),
-            f"doc_id {kind}, item bigint, first_word bigint, last_word bigint, cover double, n_slots bigint, n_changed bigint",
+            f"doc_id {kind}, own_key bigint, item bigint, first_word bigint, last_word bigint, cover double, n_slots bigint, n_changed bigint",
         )
         found = matches if found is None else found.union(matches)
     if found is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, "
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, own_key bigint, item_id {benchmark.schema['item_id'].dataType.simpleString()}, "
                                                  "first_word bigint, last_word bigint, cover double, n_slots bigint, n_changed bigint")
     return found.join(items.select("item", "item_id"), "item").drop("item").select(
-        "doc_id", "item_id", "first_word", "last_word", "cover", "n_slots", "n_changed"
+        "doc_id", "own_key", "item_id", "first_word", "last_word", "cover", "n_slots", "n_changed"
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` without any benchmark item, with all their columns; rows without an id stay."""
-    return without(docs, leaks(docs, benchmark, **settings))
+    """The rows of ``docs`` without any benchmark item, with all their columns."""
+    return without(docs, _leaks(docs, benchmark, **settings))

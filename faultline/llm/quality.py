@@ -7,11 +7,11 @@ expected grade and the tail probability ``P(grade >= k)`` by which documents are
 Features say what a text holds, not how often: words, word beginnings, runs of signs, and classes of
 letter case and repetition. Weights are fitted with an L1 penalty, so that few of them count and long
 texts gather no noise, and weights are never above zero: a text is of the best grade unless it holds
-something that speaks against it, however short it is. The fit uses at most ``LABELLED`` labelled rows, chosen by the hash of their
-id; all documents are then graded in one pass without a shuffle.
+something that speaks against it, however short it is. The fit uses at most ``LABELLED`` labelled rows, chosen by the
+hash of their id and text among those that have a document; all documents are then graded in one pass without a shuffle.
 
 Defined results: null and empty texts have the features of an empty text; labels with a null, or
-without a document, are left out; repeated labels and rows count each; without labelled rows grades
+without a document, are left out; repeated labels and repeated rows count once; without labelled rows grades
 are null and all documents are kept; further columns are ignored; an empty table gives an empty
 result. Very long texts are read whole; memory follows the longest text.
 """
@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words
+from faultline.llm.rows import keyed
 from faultline.llm.similar import minima
+from faultline.llm.staging import staged
 
 #: Bound on the labelled rows of a fit.
 LABELLED = 8000
@@ -191,10 +193,13 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, grade: str, n_grades: int, labelled: int = LABELLED) -> Model | None:
     """A model of ``grade``, an SQL expression over ``labels`` from 0 to ``n_grades - 1``; None without rows."""
-    # The smallest hashes: a sample of bounded size, the same in every run.
-    some = labels.select("doc_id", F.expr(grade).cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL")
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("grade", "text")
+    # Of the labelled documents those of the smallest hashes: a sample of bounded size, the same in every
+    # run. Ids and hashes are joined to the labels; texts are looked up for the sample alone.
+    texts = keyed(docs)
+    graded = labels.select("doc_id", F.expr(grade).cast("int").alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL")
+    some = texts.select("doc_id", "own_key").join(graded, "doc_id").distinct()
+    some = staged(some.orderBy("own_key", "doc_id", "grade").limit(labelled), "labelled")
+    rows = texts.join(F.broadcast(some), ["doc_id", "own_key"]).dropDuplicates(["doc_id", "own_key", "grade"]).select("grade", "text")
     found = rows.mapInArrow(_listed, "grade int, features binary").toArrow()
     if not found.num_rows:
         return None

@@ -13,8 +13,8 @@ links are counted, not listed.
 
 Defined results: a text without words (null, empty, signs alone) is a class of its own; texts with equal
 shingle sets are copies, counted in ``n_copies``, not in ``n_links``; shorter texts than a shingle
-are a set of one; rows of null ``doc_id`` belong to the class of their set, but a set with no other
-row is not compared; repeated rows are copies; further columns are ignored; an empty table gives an
+are a set of one; rows of null ``doc_id`` are compared like others, and a class of such rows alone has
+a null ``class_id``; repeated rows are copies; further columns are ignored; an empty table gives an
 empty result. Sets are named by 64 bits of a hash of their content.
 """
 
@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words
-from faultline.llm.chunks import without
 from faultline.llm.components import components
 from faultline.llm.similar import BLOCK_SETS, SKETCH, agreeing, exact_links, likely_pairs, minima, set_ids
+from faultline.llm.rows import keyed, one_per_group
 from faultline.llm.staging import staged
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -66,7 +66,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], runs: int, similarity: float) -
             roots = words.mix((least[:, places] ^ salts) + places.astype(np.uint64)).view(np.int64)
             rows = last - first
             yield pa.record_batch({
-                "doc_id": batch["doc_id"].slice(first, rows),
+                "doc_id": batch["doc_id"].slice(first, rows), "own_key": batch["own_key"].slice(first, rows),
                 "id": set_ids(h, bounds),
                 "n": np.diff(bounds),
                 "roots": pa.FixedSizeListArray.from_arrays(pa.array(roots.ravel()), len(places)).cast(pa.list_(pa.int64())),
@@ -126,47 +126,49 @@ def _forests(sets: DataFrame, similarity: float, bucket: int, deepest: int) -> D
     return found
 
 
-def join(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, bucket: int = BLOCK_SETS,
-         deepest: int = 6) -> DataFrame:
+def join(docs: DataFrame, **settings) -> DataFrame:
     """``doc_id, class_id, n_links, n_copies, set_id`` of every row.
 
     ``class_id`` is the smallest ``doc_id`` of all texts joined by links; ``n_links`` the number of
     different shingle sets of at least the similarity; ``n_copies`` the rows of the same set.
     """
-    texts = docs.select("doc_id", "text")
+    return _joined(docs, **settings).select("doc_id", "class_id", "n_links", "n_copies", F.col("id").alias("set_id"))
+
+
+def _joined(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, bucket: int = BLOCK_SETS,
+            deepest: int = 6) -> DataFrame:
+    """The columns of ``join``, with ``own_key``, ``n`` shingles and the ``root`` of the class."""
+    texts = keyed(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = staged(texts.mapInArrow(
         partial(_sketched, runs=runs, similarity=similarity),
-        f"doc_id {kind}, id bigint, n bigint, roots array<bigint>, sketch binary",
+        f"doc_id {kind}, own_key bigint, id bigint, n bigint, roots array<bigint>, sketch binary",
     ), "sketches")
     # Equal sets have equal sketches: any one stands for all, and copies meet in every task first.
     sets = staged(rows.groupBy("id").agg(
         F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch"),
-        F.min("doc_id").alias("first_doc"), F.count("*").alias("n_copies"),
+        F.min("doc_id").alias("first_doc"), F.min("own_key").alias("own_key"), F.count("*").alias("n_copies"),
     ), "sets")
     likely = components(_forests(sets, similarity, bucket, deepest))
-    members = staged(likely.join(sets.select("id", "first_doc"), "id"), "members")
-    wanted = members.where("first_doc IS NOT NULL").select(F.col("first_doc").alias("doc_id")).distinct()
-    some = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    members = staged(likely.join(sets.select("id", "own_key"), "id"), "members")
+    some = texts.join(members.select("own_key").distinct(), "own_key", "left_semi")
     hashes = some.mapInArrow(_hashed, "id bigint, hashes binary").dropDuplicates(["id"])
     links, classes = exact_links(members.join(hashes, "id").select("root", "id", "hashes"), similarity)
     firsts = classes.join(sets.select("id", "first_doc"), "id")
     firsts = firsts.join(firsts.groupBy("root").agg(F.min("first_doc").alias("class_id")), "root")
-    linked = links.select("id", "links").join(firsts.select("id", "class_id"), "id")
+    linked = links.select("id", "links").join(firsts.select("id", "root", "class_id"), "id")
     named = staged(sets.select("id", "first_doc", "n_copies").join(linked, "id", "left").select(
-        "id", "n_copies", F.coalesce("class_id", "first_doc").alias("class_id"),
+        "id", "n_copies", F.coalesce("root", "id").alias("root"), F.coalesce("class_id", "first_doc").alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
     ), "named-sets")
     own = F.col("n") == 0
-    return rows.select("doc_id", "id", "n").join(named, "id").select(
-        "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links",
-        F.when(own, 1).otherwise(F.col("n_copies")).cast("bigint").alias("n_copies"), F.col("id").alias("set_id"),
+    return rows.select("doc_id", "own_key", "id", "n").join(named, "id").select(
+        "doc_id", "own_key", "root", "n", "id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_links",
+        F.when(own, 1).otherwise(F.col("n_copies")).cast("bigint").alias("n_copies"),
     )
 
 
 def one_per_class(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each class, with all their columns.
-
-    Rows without an id or without words stay.
-    """
-    return without(docs, join(docs, **settings).where("doc_id <> class_id"))
+    """One row of ``docs`` of each class, of the smallest id, with all its columns; rows without words stay."""
+    found = _joined(docs, **settings).where("n > 0").select("doc_id", "own_key", "root")
+    return one_per_group(docs, staged(found, "classed-rows"), ["root"], F.min)

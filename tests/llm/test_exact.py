@@ -32,10 +32,16 @@ def test_classes_equal_brute_force_even_if_digests_clash(docs, size):
 
 def test_deduplicated_rows_keep_their_columns(docs):
     out = chunks.deduplicated(docs(*ROWS)).collect()
-    assert sorted((r.doc_id for r in out), key=str) == sorted([5, 3, 9, 6, None, None, 7, 8, 10], key=str)
+    assert sorted((r.doc_id for r in out), key=str) == sorted([5, 3, 9, 6, None, 7, 8, 10], key=str)
     assert out[0]._id == 4 and out[0].recipe == "y"
 
 
+def test_rows_are_told_apart_by_id_and_text(docs):
+    rows = [(1, "same"), (2, "same"), (1, "unique text"), (None, "same"), (3, "Case"), (3, "case"), (None, "alone"), (None, "ALONE")]
+    out = sorted(((r.doc_id, lower(r.text)) for r in chunks.deduplicated(docs(*rows)).collect()), key=str)
+    assert out == sorted([(2, "same"), (1, "unique text"), (3, "case"), (None, "alone")], key=str)
+
+
 def test_empty_table(docs):
     assert chunks.classes(docs()).count() == 0
     assert chunks.deduplicated(docs()).count() == 0

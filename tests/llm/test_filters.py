@@ -23,7 +23,7 @@ def test_items_are_found_with_other_values_if_consistent(spark, docs):
         assert set(got) == {(1, 10), (2, 10), (7, 10), (None, 10), (9, 10)}
         assert got[1, 10].n_changed == 0 and got[2, 10].n_changed > 0 and got[1, 10].cover > 0.9
     kept = decontaminate.clean(docs(*rows), bench)
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 4, 5, 6, 8, None], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 4, 5, 6, 8]
     assert decontaminate.leaks(docs(), bench).count() == 0
     assert decontaminate.clean(docs(*rows), bench.limit(0)).count() == len(rows)
 
@@ -109,6 +109,22 @@ def test_at_most_the_bound_of_labels_is_used(spark, docs):
     assert quality.train(docs(*rows), known, quality.GRADE, quality.GRADES, labelled=10) is not None
 
 
+def test_labels_without_documents_leave_a_model(spark, docs):
+    rows = [*((i, f"plain clean text number {i}") for i in range(60)), *((i, f"awful nasty words number {i}") for i in range(60, 100)),
+            *((5, f"plain clean text number 5") for _ in range(40))]
+    known = [(i, int(i < 60), 0) for i in range(100)] + [(i, 1, 0) for i in range(1000, 9900)]
+    known = spark.createDataFrame(known, "doc_id bigint, quality int, toxic int")
+    assert quality.train(docs(*rows), known, quality.GRADE, quality.GRADES, labelled=50) is not None
+
+
+def test_clean_keeps_other_texts_of_an_id_and_drops_rows_without_one(spark, docs):
+    rng = random.Random(4)
+    own = text(rng, 60)
+    bench = spark.createDataFrame([(10, ITEM)], "item_id bigint, text string")
+    kept = decontaminate.clean(docs((1, ITEM), (1, own), (None, ITEM), (None, own)), bench).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, own), (None, own)], key=str)
+
+
 def test_items_are_found_with_ties_opening_names_and_names_of_other_lengths(spark, docs):
     rng = random.Random(11)
     items = [

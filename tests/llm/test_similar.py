@@ -68,6 +68,15 @@ def test_one_per_class_keeps_columns_and_rows_without_words(docs, corpus):
     assert setjoin.one_per_class(docs()).count() == 0
 
 
+def test_one_per_class_tells_rows_apart_by_id_and_text(docs):
+    rng = random.Random(12)
+    long, other, third = text(rng, 80), text(rng, 80), text(rng, 60)
+    rows = [(1, long), (2, near(rng, long, 1)), (2, other), (None, near(rng, long, 1)), (2, other), (None, third), (None, near(rng, third, 1))]
+    kept = sorted(((r.doc_id, r.text) for r in setjoin.one_per_class(docs(*rows)).collect()), key=str)
+    assert [k for k in kept if k[0]] == sorted([(1, long), (2, other)])
+    assert len([k for k in kept if k[0] is None]) == 1 and kept[-1][1] in (third, rows[-1][1])
+
+
 def test_components_of_random_edges(spark, docs):
     rng = random.Random(1)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
