@@ -189,34 +189,28 @@ def sketch_values(least: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in (least >> np.uint64(32)).astype(np.uint16)], pa.binary())
 
 
-def _exact(batches: Iterator[pa.RecordBatch], similarity: float, least_common: int | None) -> Iterator[pa.RecordBatch]:
+def _exact(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     # columns: root, i, j, block, id, hashes
     for held, bounds in _streamed(batches, 3):
         ids = held.column("id").to_numpy()
         block, i, j = (held.column(n).to_numpy() for n in ("block", "i", "j"))
         data, offsets = words.text_bytes(held.column("hashes"))
         h, offsets = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
-        out_id, out_links, out_a, out_b, out_span = [], [], [], [], []
+        out_id, out_links, out_a, out_b = [], [], [], []
         for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             size, crossing = end - start, i[start] != j[start]
             if size < 2:
                 continue
             own_h, own_offsets = h[offsets[start]:offsets[end]], offsets[start:end + 1] - offsets[start]
             common = _intersections(own_h, np.diff(own_offsets))
-            # Hashes listed for their places repeat; a set's size counts each once.
-            distinct = own_offsets if least_common is None else words.distinct_per_text(own_h, own_offsets)[1]
-            counts = np.diff(distinct).astype(np.float32)
+            counts = np.diff(own_offsets).astype(np.float32)
             linked = common >= np.float32(similarity) * (counts[:, None] + counts[None, :] - common) - 1e-4
-            if least_common is not None:
-                linked |= common >= least_common
             np.fill_diagonal(linked, False)
             if crossing:
                 own = block[start:end]
                 linked &= own[:, None] != own[None, :]
             out_id.append(ids[start:end])
             out_links.append(linked.sum(1))
-            if least_common is not None:
-                out_span.append(_shared_places(h, offsets[start:end + 1], linked))
             for x, y in _forest(lambda k, m=linked: np.flatnonzero(m[k, k + 1:]) + k + 1, size):
                 out_a.append(ids[start + x])
                 out_b.append(ids[start + y])
@@ -225,25 +219,9 @@ def _exact(batches: Iterator[pa.RecordBatch], similarity: float, least_common: i
             "id": np.concatenate([*out_id, np.array(out_a, np.int64)]).astype(np.int64),
             "links": np.concatenate([*out_links, np.zeros(len(out_a), np.int64)]).astype(np.int64),
             "other": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(out_b, pa.int64())]),
-            **{name: pa.concat_arrays([
-                pa.array(np.concatenate([x[:, k] for x in out_span]), from_pandas=True).cast(pa.int64())
-                if out_span else pa.nulls(n, pa.int64()), pa.nulls(len(out_b), pa.int64())])
-                for k, name in enumerate(("first", "last"))},
         })
 
 
-def _shared_places(h: np.ndarray, offsets: np.ndarray, linked: np.ndarray) -> np.ndarray:
-    """The first and last place of every set's hashes that a linked one holds too; NaN without links."""
-    out = np.full((len(linked), 2), np.nan)
-    for i in np.flatnonzero(linked.any(1)).tolist():
-        own = h[offsets[i]:offsets[i + 1]]
-        others = np.unique(np.concatenate([h[offsets[k]:offsets[k + 1]] for k in np.flatnonzero(linked[i])]))
-        at = np.flatnonzero(np.isin(own, others))
-        if len(at):
-            out[i] = at[0], at[-1]
-    return out
-
-
 def _intersections(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The sizes of all pairwise intersections; columns that only one set has are left out."""
     n = len(counts)
@@ -264,13 +242,11 @@ def _intersections(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return common
 
 
-def exact_links(sets: DataFrame, similarity: float, least_common: int | None = None) -> tuple[DataFrame, DataFrame]:
+def exact_links(sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Number of links per id, and the classes that they form.
 
     ``sets``: ``root`` (the group to compare), ``id`` (unique), ``hashes`` (distinct 64-bit hashes,
-    joined; with ``least_common`` in their order, and they may repeat). Gives ``id, links, first, last`` of ids with links and ``id, root`` of the classes. Sets
-    with ``least_common`` hashes in common are linked too; then ``first`` and ``last`` are the outer
-    places in ``hashes`` of those that linked sets share, else null.
+    joined). Gives ``id, links`` of ids with links and ``id, root`` of the classes.
     """
     sizes = sets.groupBy("root").agg(F.count("*").alias("_sets"), F.sum(F.octet_length("hashes")).alias("_bytes"))
     blocks = F.greatest(F.ceil(F.col("_sets") / BLOCK_SETS), F.ceil(F.col("_bytes") / BLOCK_BYTES))
@@ -278,12 +254,9 @@ def exact_links(sets: DataFrame, similarity: float, least_common: int | None = N
     found = staged(
         rows.select("root", "i", "j", "block", "id", "hashes")
         .repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "id")
-        .mapInArrow(partial(_exact, similarity=similarity, least_common=least_common),
-                    "id bigint, links bigint, other bigint, first bigint, last bigint")
+        .mapInArrow(partial(_exact, similarity=similarity), "id bigint, links bigint, other bigint")
         .where("links > 0 OR other IS NOT NULL"),
         "links",
     )
-    links = found.groupBy("id").agg(
-        F.sum("links").cast("bigint").alias("links"), F.min("first").alias("first"), F.max("last").alias("last")
-    ).where("links > 0")
+    links = found.groupBy("id").agg(F.sum("links").cast("bigint").alias("links")).where("links > 0")
     return links, components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
