@@ -5,8 +5,8 @@ of the three words from it on is the largest among ``RADIUS`` words on either si
 have equal anchors, wherever they stand and however their lines are wrapped, so that of the passages
 of 51 words 98 % hold a whole window, of 60 words 99.8 %, and a near copy holds one between its edits.
 
-Distinct windows are banded by pairs of minima of their five-word shingles: six bands find 99.8 % of
-the pairs at the threshold of 0.8. Colliding windows are compared exactly, and components of links of
+Distinct windows are banded by pairs of minima of their five-word shingles: four bands find 98 % of
+the pairs at the threshold of 0.8, and a passage has several windows. Colliding windows are compared exactly, and components of links of
 0.8 or more, and of exact copies, are the clusters. Every occurrence is extended by the words around it
 that it shares with the first one of its cluster, up to ``REACH`` on either side, so that the spans of a
 passage's windows meet its ends, give or take the two words in which linked windows may differ. The first occurrence stays, the spans of the others go.
@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from faultline.llm import words
 from faultline.llm.rows import keyed
-from faultline.llm.similar import agreeing, band_values, banded, exact_links, minima, sketch_values
+from faultline.llm.similar import agreeing, alike, band_values, exact_links, minima, partnered, sketch_values
 from faultline.llm.staging import dropped, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 6, 2
+BANDS, ROWS = 4, 2
 #: Words of a window, those before its anchor, and those around an anchor that decide it.
 WINDOW, BEFORE, RADIUS = 24, 10, 8
 #: Words around a window that are compared with those of the first occurrence.
@@ -101,15 +101,13 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in words.blocks(batch["text"]):
             found = Windows(data, offsets)
             names, chosen = np.unique(found.names, return_index=True)
-            least = minima(*found.shingles(chosen))
-            yield pa.record_batch({
-                "id": names, "bands": band_values(least, BANDS, ROWS), "sketch": sketch_values(least),
-            })
+            least = minima(*found.shingles(chosen), BANDS * ROWS)
+            yield pa.record_batch({"id": names, "bands": band_values(least, BANDS, ROWS)})
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +119,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, chosen = names[wanted], chosen[wanted]
             h, bounds = words.distinct_per_text(*found.shingles(chosen))
             yield pa.record_batch({
-                "id": names,
+                "id": names, "sketch": sketch_values(minima(h, bounds)),
                 "hashes": pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
             })
 
@@ -175,27 +173,24 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = keyed(docs)
     rows = staged(texts.mapInArrow(_listed, f"doc_id {kind}, own_key bigint, word bigint, id bigint"), "windows")
-    sets = staged(
-        texts.select("text").mapInArrow(_sketched, "id bigint, bands array<bigint>, sketch binary").dropDuplicates(["id"]),
-        "window-sketches",
-    )
-    roots = banded(sets, agreeing(similarity))
-    dropped(sets)
+    bands = staged(texts.select("text").mapInArrow(_banded, "id bigint, bands array<bigint>").dropDuplicates(["id"]), "window-bands")
+    nodes = partnered(bands)
+    dropped(bands)
     places = staged(rows.groupBy("id").agg(F.min("own_key").alias("own_key"), F.count("*").alias("n")), "window-names")
-    members = staged(roots.join(places.select("id", "own_key"), "id"), "window-members")
-    # Shingles of the members alone, each from one text that holds it; a list is of one text's windows.
-    wanted = members.groupBy("own_key").agg(F.collect_list("id").alias("ids"))
-    hashes = staged(
-        texts.join(wanted, "own_key").select("text", "ids").mapInArrow(_hashed, "id bigint, hashes binary")
-        .join(members.select("id", "root"), "id").dropDuplicates(["id"]),
-        "window-hashes",
-    )
-    _, named = exact_links(hashes, similarity)
+    # Shingles of windows that share a band, each from one text that holds it; a list is of one text's windows.
+    wanted = nodes.select("id").distinct().join(places.select("id", "own_key"), "id")
+    wanted = staged(wanted.groupBy("own_key").agg(F.collect_list("id").alias("ids")), "partnered-windows")
+    hashes = staged(texts.join(wanted, "own_key").select("text", "ids").mapInArrow(
+        _hashed, "id bigint, sketch binary, hashes binary").dropDuplicates(["id"]), "window-hashes")
+    dropped(wanted)
+    roots = staged(alike(nodes, hashes.select("id", "sketch"), agreeing(similarity)), "window-roots")
+    dropped(nodes)
+    _, named = exact_links(hashes.select("id", "hashes").join(roots, "id"), similarity)
     # Windows of links, and exact copies without any.
     named = staged(places.join(named, "id", "left").where("root IS NOT NULL OR n > 1").select(
         "id", F.coalesce("root", "id").alias("class_id")
     ), "window-classes")
-    dropped(hashes, members, places)
+    dropped(hashes, roots, places)
     # One row per document and window, that of the first document first; a class of one document is none.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own_key", "word")
     found = staged(rows.join(named, "id").select("doc_id", "own_key", "word", "class_id"), "classed-windows")

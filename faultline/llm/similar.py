@@ -162,16 +162,31 @@ def likely_pairs(rows: DataFrame, least: int, kind: str = "u4") -> DataFrame:
 def banded(sets: DataFrame, least: int) -> DataFrame:
     """Components ``id, root`` of the sets that share a band and look alike there.
 
-    ``sets``: ``id``, ``bands`` (array of bigint) and ``sketch`` (16-bit numbers). Bands are counted in
-    every task before they meet; those of one set go no further.
+    ``sets``: ``id``, ``bands`` (array of bigint) and ``sketch`` (16-bit numbers).
+    """
+    nodes = partnered(sets)
+    found = alike(nodes, sets.select("id", "sketch"), least)
+    dropped(nodes)
+    return found
+
+
+def partnered(sets: DataFrame) -> DataFrame:
+    """``bucket, id, size`` of the bands that several sets (``id, bands``) share, written.
+
+    Bands are counted in every task before they meet; those of one set go no further.
     """
     level = sets.select("id", F.posexplode("bands").alias("band", "value")).select(
         "id", F.xxhash64("band", "value").alias("bucket")
     )
     sizes = staged(level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "band-sizes")
-    nodes = level.join(sizes, "bucket").join(sets.select("id", "sketch"), "id")
-    likely = staged(likely_pairs(nodes, least, "u2").distinct(), "likely")
+    nodes = staged(level.join(sizes, "bucket"), "band-nodes")
     dropped(sizes)
+    return nodes
+
+
+def alike(nodes: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """Components of what ``partnered`` gives, by ``sketches`` (``id, sketch``)."""
+    likely = staged(likely_pairs(nodes.join(sketches, "id"), least, "u2").distinct(), "likely")
     found = components(likely)
     dropped(likely)
     return found
