@@ -180,8 +180,10 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # Shingles of windows that share a band, each from one text that holds it; a list is of one text's windows.
     wanted = nodes.select("id").distinct().join(places.select("id", "own_key"), "id")
     wanted = staged(wanted.groupBy("own_key").agg(F.collect_list("id").alias("ids")), "partnered-windows")
-    hashes = staged(texts.join(wanted, "own_key").select("text", "ids").mapInArrow(
-        _hashed, "id bigint, sketch binary, hashes binary").dropDuplicates(["id"]), "window-hashes")
+    # Equal rows meet before the join, by the same key; after it every window is made once.
+    once = texts.select("own_key", "text").dropDuplicates(["own_key"])
+    hashes = staged(once.join(wanted, "own_key").select("text", "ids").mapInArrow(
+        _hashed, "id bigint, sketch binary, hashes binary"), "window-hashes")
     dropped(wanted)
     roots = staged(alike(nodes, hashes.select("id", "sketch"), agreeing(similarity)), "window-roots")
     dropped(nodes)
