@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultline.session import shared_folder
 
+#: With it Spark deletes the shuffle files of a query when the query ends, not when the driver's memory is cleaned.
+_SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: dict[str, str] = {}
 
 
@@ -22,10 +25,18 @@ def scratch(spark: SparkSession) -> str:
 
 
 def staged(frame: DataFrame, label: str) -> DataFrame:
-    """Write ``frame`` as Parquet and read it back; the files go when the session ends."""
+    """Write ``frame`` as Parquet and read it back; the files go when the session ends.
+
+    The shuffles behind it are not needed any more once it is written, and go at once.
+    """
     spark = frame.sparkSession
     path = f"{scratch(spark).rstrip('/')}/{label}-{uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(_SHUFFLES_END, "false")
+    spark.conf.set(_SHUFFLES_END, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLES_END, before)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     table = spark.read.schema(frame.schema).parquet(path)
