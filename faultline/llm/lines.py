@@ -1,17 +1,19 @@
 """Fuzzy line deduplication by MinHash of character shingles.
 
 Equal lines (A-Z lower-cased, outer blanks stripped) are one before anything is compared. Distinct
-lines get minhashes of their nine-byte shingles; lines that agree in a band of four minima are
-candidates, and ten bands find 99.5 % of the pairs at the threshold of 0.8, more above. Exact Jaccard
-similarity of the shingle sets decides, and distributed union-find keeps one line per component: the
-first one of the smallest document.
+lines get minhashes of their five-byte shingles; lines that agree in a band of four minima are
+candidates, and ten bands find 99.5 % of the pairs at the threshold of 0.8, more above. Lines that
+share a band get sketches and sets of shingles. Exact Jaccard similarity of the sets decides, and
+distributed union-find keeps one line per component: the first one of the smallest document.
 
-Long shingles keep unrelated lines of one language apart, which share most short ones.
+Shingles of five bytes link lines from about 45 bytes on that differ in one letter, and still keep
+unrelated lines of one language apart, which share most shorter ones.
 
 Defined results: null and empty texts, and blank lines, have no lines here; a line shorter than a
-shingle is one shingle; repeated rows are repeated lines; rows without ``doc_id`` come last among
-equals and are compared; further columns are ignored; an empty table gives an empty result. Lines of
-any length are taken whole.
+shingle is one shingle; rows that agree in id and text are one row, and a decision holds for all of
+them; other rows of a repeated id are told apart by their text; rows without ``doc_id`` are compared
+and come last among equals; further columns are ignored; an empty table gives an empty result. Lines
+of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words
-from faultline.llm.similar import agreeing, band_values, banded, exact_links, minima, sketch_values
+from faultline.llm.rows import keyed
+from faultline.llm.similar import agreeing, alike, band_values, exact_links, minima, partnered, sketch_values
 from faultline.llm.staging import dropped, staged
 
-SHINGLE, SIMILARITY = 9, 0.8
+SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 4
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -67,21 +70,20 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, _, data, offsets in words.blocks(batch["text"]):
             found = Lines(data, offsets)
+            rows = pa.array(first + found.text)
             yield pa.record_batch({
-                "doc_id": batch["doc_id"].take(pa.array(first + found.text)),
+                "doc_id": batch["doc_id"].take(rows), "own_key": batch["own_key"].take(rows),
                 "line": pa.array(found.number, pa.int64()), "id": pa.array(found.names),
             })
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in words.blocks(batch["text"]):
             found = Lines(data, offsets)
             names, chosen = np.unique(found.names, return_index=True)
-            least = minima(*found.shingles(chosen))
-            yield pa.record_batch({
-                "id": names, "bands": band_values(least, BANDS, ROWS), "sketch": sketch_values(least),
-            })
+            least = minima(*found.shingles(chosen), BANDS * ROWS)
+            yield pa.record_batch({"id": names, "bands": band_values(least, BANDS, ROWS)})
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +95,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, chosen = names[wanted], chosen[wanted]
             h, bounds = words.distinct_per_text(*found.shingles(chosen))
             yield pa.record_batch({
-                "id": names,
+                "id": names, "sketch": sketch_values(minima(h, bounds)),
                 "hashes": pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
             })
 
@@ -105,30 +107,28 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     links join; ``kept`` is the first line of its class.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
-    rows = staged(texts.mapInArrow(_listed, f"doc_id {kind}, line bigint, id bigint"), "lines")
-    sets = staged(
-        texts.select("text").mapInArrow(_sketched, "id bigint, bands array<bigint>, sketch binary").dropDuplicates(["id"]),
-        "line-sketches",
-    )
-    roots = banded(sets, agreeing(similarity))
-    dropped(sets)
-    places = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    members = staged(roots.join(places, "id"), "line-members")
-    # Shingles of the members alone, each from one document that holds it; read twice below.
-    wanted = members.groupBy("doc_id").agg(F.collect_list("id").alias("ids"))
-    hashes = staged(
-        texts.join(wanted, "doc_id").select("text", "ids").mapInArrow(_hashed, "id bigint, hashes binary")
-        .join(members.select("id", "root"), "id").dropDuplicates(["id"]),
-        "line-hashes",
-    )
-    _, named = exact_links(hashes, similarity)
+    texts = keyed(docs)
+    rows = staged(texts.mapInArrow(_listed, f"doc_id {kind}, own_key bigint, line bigint, id bigint"), "lines")
+    bands = staged(texts.select("text").mapInArrow(_banded, "id bigint, bands array<bigint>").dropDuplicates(["id"]), "line-bands")
+    nodes = partnered(bands)
+    dropped(bands)
+    # Shingles of lines that share a band, each from one text that holds it; a list is of one text's lines.
+    wanted = rows.groupBy("id").agg(F.min("own_key").alias("own_key")).join(nodes.select("id").distinct(), "id", "left_semi")
+    wanted = staged(wanted.groupBy("own_key").agg(F.collect_list("id").alias("ids")), "partnered-lines")
+    # Equal rows meet before the join, by the same key; after it every line is made once.
+    once = texts.select("own_key", "text").dropDuplicates(["own_key"])
+    hashes = staged(once.join(wanted, "own_key").select("text", "ids").mapInArrow(
+        _hashed, "id bigint, sketch binary, hashes binary"), "line-hashes")
+    dropped(wanted)
+    roots = staged(alike(nodes, hashes.select("id", "sketch"), agreeing(similarity)), "line-roots")
+    dropped(nodes)
+    _, named = exact_links(hashes.select("id", "hashes").join(roots, "id"), similarity)
     named = staged(named, "line-classes")
-    dropped(hashes, members)
-    # The place of a line as a number that sorts like it: ids first, nulls last.
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line")
+    dropped(hashes, roots)
+    # The place of a line, which sorts as lines are kept: ids first, nulls last.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own_key", "line")
     found = staged(rows.join(named, "id", "left").select(
-        "doc_id", "line", F.col("id").alias("line_id"), F.coalesce("root", "id").alias("class_id")
+        "doc_id", "own_key", "line", F.col("id").alias("line_id"), F.coalesce("root", "id").alias("class_id")
     ), "classed-lines")
     dropped(rows, named)
     firsts = staged(found.groupBy("class_id").agg(
@@ -136,5 +136,5 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ).where("class_lines > 1"), "first-lines")
     return found.join(firsts, "class_id", "left").select(
         "doc_id", "line", "line_id", "class_id", F.coalesce("class_lines", F.lit(1)).cast("bigint").alias("class_lines"),
-        F.coalesce(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line") == F.col("_first"), F.lit(True)).alias("kept"),
+        F.coalesce(place == F.col("_first"), F.lit(True)).alias("kept"),
     )

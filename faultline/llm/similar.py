@@ -159,17 +159,6 @@ def likely_pairs(rows: DataFrame, least: int, kind: str = "u4") -> DataFrame:
     )
 
 
-def banded(sets: DataFrame, least: int) -> DataFrame:
-    """Components ``id, root`` of the sets that share a band and look alike there.
-
-    ``sets``: ``id``, ``bands`` (array of bigint) and ``sketch`` (16-bit numbers).
-    """
-    nodes = partnered(sets)
-    found = alike(nodes, sets.select("id", "sketch"), least)
-    dropped(nodes)
-    return found
-
-
 def partnered(sets: DataFrame) -> DataFrame:
     """``bucket, id, size`` of the bands that several sets (``id, bands``) share, written.
 

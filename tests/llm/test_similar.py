@@ -100,7 +100,7 @@ def test_lines_equal_brute_force(docs):
                    if (b := lower(x).encode().strip(b" \t\x0b\x0c\r"))]
     assert sorted(((r.doc_id, r.line) for r in got), key=str) == sorted(((i, n) for i, n, _ in occurrences), key=str)
     distinct = sorted({b for _, _, b in occurrences})
-    sets = [{b[i:i + 9] for i in range(max(1, len(b) - 8))} for b in distinct]
+    sets = [{b[i:i + 5] for i in range(max(1, len(b) - 4))} for b in distinct]
     pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     classes = dict(zip(distinct, classes_of(len(sets), pairs), strict=True))
     want = sorted(((i, n, classes[b]) for i, n, b in occurrences), key=str)
@@ -114,6 +114,28 @@ def test_lines_equal_brute_force(docs):
     assert lines.classes(docs()).count() == 0
 
 
+def test_lines_of_one_changed_letter_are_one(docs):
+    rng = random.Random(8)
+    rows, at = [], 0
+    for size in (50, 60, 80, 100):
+        for _ in range(15):
+            line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(size)).strip().ljust(size, "x")
+            k = rng.randrange(size)
+            rows += [(at, line), (at + 1, line[:k] + "#" + line[k + 1:])]
+            at += 2
+    got = {r.doc_id: (r.class_id, r.kept) for r in lines.classes(docs(*rows)).collect()}
+    assert all(got[i][0] == got[i + 1][0] and got[i][1] and not got[i + 1][1] for i in range(0, at, 2))
+    assert len({c for c, _ in got.values()}) == at // 2
+
+
+def test_lines_of_repeated_and_null_ids_are_compared(docs):
+    rng = random.Random(9)
+    one, other = text(rng, 20), text(rng, 20)
+    got = lines.classes(docs((1, one), (1, other), (None, near(rng, one[:-1], 0) + "#"), (None, other + "#"), (None, one))).collect()
+    assert len({r.class_id for r in got}) == 2 and sum(r.kept for r in got) == 2
+    assert all(r.doc_id == 1 for r in got if r.kept)
+
+
 def test_passages_of_other_documents_are_found(docs):
     rng = random.Random(3)
     passage = text(rng, 70)
