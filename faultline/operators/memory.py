@@ -39,11 +39,19 @@ def upsert_facts(facts: DataFrame) -> DataFrame:
 
     ``position`` is the ``seq`` of the first writing, which is where the fact stays listed.
     """
-    stated = [c for c in facts.columns if c not in ("session_id", "seq", "fact")]
-    last = F.max_by(F.struct(*stated), "seq").alias("_last")
+    return fold_facts(facts.withColumns({"position": F.col("seq"), "updated": F.col("seq")}).drop("seq"))
+
+
+def fold_facts(facts: DataFrame) -> DataFrame:
+    """One row per session and fact of folds of its writings: the first position and the last statement.
+
+    Folds may be folded again, in any order and more than once.
+    """
+    stated = [c for c in facts.columns if c not in ("session_id", "fact", "position", "updated")]
+    last = F.max_by(F.struct(*stated), "updated").alias("_last")
     return (
         facts.groupBy("session_id", "fact")
-        .agg(F.min("seq").alias("position"), F.max("seq").alias("updated"), last)
+        .agg(F.min("position").alias("position"), F.max("updated").alias("updated"), last)
         .select("session_id", "fact", *[f"_last.{c}" for c in stated], "position", "updated")
     )
 

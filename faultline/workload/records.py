@@ -31,6 +31,7 @@ from faultline.session import shared_folder
 from faultline.sources.audit_store import (
     append_audit, audit_export_rows, export_audit, index_audit, lookup_audit, newest_audit, read_audit,
 )
+from faultline.sources.fact_store import FactStore
 from faultline.sources.lines import read_files, read_heads, read_lines, replaced_bytes
 from faultline.sources.records import from_records, to_records
 from faultline.sources.sinks import write_entries, write_reports, write_session_results
@@ -261,6 +262,18 @@ def facts_upsert(spark, folder) -> DataFrame:
     return upsert_facts(_facts(spark, folder)).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
+@query("facts_merged", "M3", _FACTS_SQL)
+def facts_merged(spark, folder) -> DataFrame:
+    """The facts of a store into which two batches were merged, one of them twice."""
+    store = FactStore(spark, _folder(spark), "source string, confidence double, timestamp timestamp")
+    writings = _facts(spark, folder)
+    half = F.xxhash64("seq") % 2 == 0
+    for part in (half, ~half, half):
+        store.merge(writings.filter(part))
+    store.tidy()
+    return store.facts().withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
 def _decisions(spark, folder) -> DataFrame:
     ev = render.events(spark, folder)
 

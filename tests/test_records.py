@@ -2,6 +2,7 @@
 
 import csv
 import json
+import shutil
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 from urllib.parse import unquote, unquote_plus
@@ -35,6 +36,7 @@ from faultline.session import shared_folder
 from faultline.sources.audit_store import (
     append_audit, export_audit, index_audit, lookup_audit, newest_audit, read_audit,
 )
+from faultline.sources.fact_store import FactStore
 from faultline.sources.records import from_records, to_records
 from faultline.sources.sinks import write_reports, write_session_results
 
@@ -87,6 +89,47 @@ def test_audit_statistics(audit):
     }
 
 
+def test_merged_facts_equal_one_fold(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "facts"), "source string, confidence double", buckets=8)
+    kinds = "session_id string, seq bigint, fact string, source string, confidence double"
+    rows = [(f"s{i % 13}", i, f"f{i * i % 5}", None if i % 7 == 0 else f"e{i}", i / 400) for i in range(400)]
+    rows += [(None, 500, "f1", "x", None), ("s1", 501, None, "y", 0.5)]
+
+    def frame(part):
+        return spark.createDataFrame(part, kinds)
+
+    def state(table):
+        return sorted(map(tuple, table.collect()), key=repr)
+
+    assert store.facts().count() == 0 and store.merge(frame([])) == []
+    for part in (rows[200:], rows[:200], rows[200:300]):
+        store.merge(frame(part))
+    want = state(upsert_facts(frame(rows)))
+    assert state(store.facts()) == want
+
+    # A batch of one session rewrites its bucket alone, and a search for the session reads no other.
+    files = set(store.facts().inputFiles())
+    (touched,) = store.merge(frame([("s3", 900, "new", "z", 1.0)]))
+    fresh = set(store.facts().inputFiles()) - files
+    assert fresh and all(f"bucket={touched}/" in f for f in fresh)
+    assert all(f"bucket={touched}/" in f for f in files - set(store.facts().inputFiles()))
+    assert set(store.facts("s3").inputFiles()) == fresh
+    assert state(store.facts("s3")) == state(upsert_facts(frame([r for r in rows if r[0] == "s3"] + [("s3", 900, "new", "z", 1.0)])))
+
+    # A version that was lost half way does not count, and the next merge passes it.
+    before = state(store.facts())
+    lost = tmp_path / "facts" / "of=8" / "version=9"
+    shutil.copytree(next((tmp_path / "facts" / "of=8").glob("version=1")), lost)
+    (lost / "_SUCCESS").unlink()
+    assert state(store.facts()) == before
+    store.merge(frame([("s4", 901, "new", "z", 1.0)]))
+    assert len(state(store.facts())) == len(before) + 1
+    now = state(store.facts())
+    assert store.tidy() > 0 and store.tidy() == 0 and state(store.facts()) == now
+    with pytest.raises(ValueError, match="8 buckets"):
+        FactStore(spark, str(tmp_path / "facts"), "source string", buckets=4).facts()
+
+
 def test_audit_store_and_export(spark, audit, tmp_path):
     folder = str(tmp_path / "store")
     append_audit(audit, folder)
