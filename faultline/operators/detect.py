@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -45,32 +46,55 @@ def _any_match(text: Column, patterns: tuple[str, ...] | list[str]) -> Column:
     return reduce(or_, [text.rlike(DIALECT + p) for p in patterns])
 
 
-def detect_formats(lines: DataFrame) -> DataFrame:
-    """``file, format`` with format nginx, haproxy, syslog, dmesg or unknown."""
-    hits = {
-        name: F.max(_any_match(strip(F.col("value")) if stripped else F.col("value"), patterns))
+def _built_in_hits(counted: Column) -> dict[str, Column]:
+    """Aggregates by format: whether a ``counted`` line of a file looks like it."""
+    return {
+        name: F.max(counted & _any_match(strip(F.col("value")) if stripped else F.col("value"), patterns))
         for name, (patterns, stripped) in _PROBES.items()
     }
+
+
+def detect_formats(lines: DataFrame) -> DataFrame:
+    """``file, format`` with format nginx, haproxy, syslog, dmesg or unknown."""
+    hits = _built_in_hits(F.lit(True))
     found = head_lines(lines, HEAD).groupBy("file").agg(*[h.alias(n) for n, h in hits.items()])
     choice = F.coalesce(*[F.when(F.col(name), name) for name in hits], F.lit(UNKNOWN))
     return found.select("file", choice.alias("format"))
 
 
-def detect_custom(lines: DataFrame, config: ParserConfig) -> DataFrame:
-    """``file, detected``: whether the head of each file looks like a configured format.
+def _looks_like(config: ParserConfig) -> Column:
+    """An aggregate over the head of a file: whether it looks like a configured format.
 
     Detection patterns may match anywhere in one of the first lines. Without any, more than half
     of the lines that are not blank have to match the format itself.
     """
-    heads = head_lines(lines, CUSTOM_HEAD)
     patterns = config.usable_detect_patterns()
     value = F.col("value")
     if patterns:
-        return heads.groupBy("file").agg(F.max(_any_match(value, patterns)).alias("detected"))
+        return F.max(_any_match(value, patterns))
     line = strip(value)
     hit = line.rlike(f"{DIALECT}^(?:{translate(config.pattern)})")
     share = F.avg(F.when(line != "", hit.cast("int")))
-    return heads.groupBy("file").agg(F.coalesce(share > 0.5, F.lit(False)).alias("detected"))
+    return F.coalesce(share > 0.5, F.lit(False))
+
+
+def detect_custom(lines: DataFrame, config: ParserConfig) -> DataFrame:
+    """``file, detected``: whether the head of each file looks like a configured format."""
+    return head_lines(lines, CUSTOM_HEAD).groupBy("file").agg(_looks_like(config).alias("detected"))
+
+
+def detect_configured(lines: DataFrame, configs: Sequence[ParserConfig]) -> DataFrame:
+    """``file, format``: the first of the configured formats that a file looks like, else its built-in
+    format. All are judged in one pass over the heads."""
+    heads = head_lines(lines, CUSTOM_HEAD).withColumn(
+        "_n", F.row_number().over(Window.partitionBy("file").orderBy("line_id"))
+    )
+    own = [_looks_like(c).alias(f"_own{i}") for i, c in enumerate(configs)]
+    built_in = [h.alias(n) for n, h in _built_in_hits(F.col("_n") <= HEAD).items()]
+    found = heads.groupBy("file").agg(*own, *built_in)
+    choice = [F.when(F.col(f"_own{i}"), c.name) for i, c in enumerate(configs)]
+    choice += [F.when(F.col(name), name) for name in _PROBES]
+    return found.select("file", F.coalesce(*choice, F.lit(UNKNOWN)).alias("format"))
 
 
 def report_format_label(entries: DataFrame) -> DataFrame:

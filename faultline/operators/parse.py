@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import bind, strip
-from faultline.operators.detect import UNKNOWN, detect_formats
+from faultline.operators.custom import CustomFormat, ParserConfig
+from faultline.operators.detect import UNKNOWN, detect_configured, detect_formats
 from faultline.operators.dmesg import Dmesg
 from faultline.operators.haproxy import HAProxy
 from faultline.operators.lineformat import (
@@ -39,12 +42,18 @@ def attach_formats(lines: DataFrame, formats: DataFrame, files: int | None = Non
     return lines.join(formats, "file", "left")
 
 
-def parse_mixed(lines: DataFrame, compat: bool = True) -> ParsedLines:
+def parse_mixed(
+    lines: DataFrame, compat: bool = True, configured: Sequence[LineFormat] = ()
+) -> ParsedLines:
     """Parse lines that carry a ``format`` column, each line with the rules of its format.
 
-    Lines of unknown format are quarantined as such.
+    ``configured`` formats are read in the same pass as the built-in ones; one of the same name as a
+    built-in format takes its place. Lines of unknown format are quarantined as such.
     """
-    formats = builtin_formats(compat)
+    own = {fmt.name: fmt for fmt in configured}
+    if len(own) < len(configured):
+        raise ValueError("Configured formats need names of their own")
+    formats = builtin_formats(compat) | own
     name, line, kind = F.col("format"), F.col("_line"), F.col("_kind")
     kinds = {key: i for i, key in enumerate(formats)}
     number = F.coalesce(*[F.when(name == key, i) for key, i in kinds.items()])
@@ -64,11 +73,11 @@ def parse_mixed(lines: DataFrame, compat: bool = True) -> ParsedLines:
     for fmt in formats.values():
         for level in fmt.derived(line, first, second):
             df = df.withColumns({c: pick({fmt.name: v}) for c, v in level.items()})
-    # The clock sits in the same place in the captures of all formats.
+    # The clock sits in the same place in the captures of all built-in formats.
     ts = LineFormat().timestamp(first, second)
-    if not compat:
-        native = formats["syslog"].timestamp(first, second)
-        ts = pick({"syslog": native}).otherwise(ts)
+    apart = {n: f.timestamp(first, second) for n, f in formats.items() if n in own or n == "syslog" and not compat}
+    if apart:
+        ts = pick(apart).otherwise(ts)
     df = bind(df, "_ts", ts)
     found = {n: f.entry(line, first, second) for n, f in formats.items()}
     own_reasons = {n: e.pop("reason") for n, e in found.items() if "reason" in e}
@@ -81,8 +90,10 @@ def parse_mixed(lines: DataFrame, compat: bool = True) -> ParsedLines:
     for column in ENTRY_COLUMNS:
         values = {n: e[column] for n, e in found.items() if column in e}
         columns[column] = pick(values) if values else null_of(column)
+    # Some formats put another time where theirs cannot be read.
+    times = {n: e["ts"] for n, e in found.items() if "ts" in e}
     columns |= {
-        "ts": F.col("_ts"),
+        "ts": pick(times).otherwise(F.col("_ts")) if times else F.col("_ts"),
         "format": F.coalesce(name, F.lit(UNKNOWN)),
         "ts_imputed": F.coalesce(columns["ts_imputed"], F.lit(False)),
     }
@@ -104,16 +115,19 @@ def parse_logs(
     heads: DataFrame | None = None,
     files: int | None = None,
     compat: bool = True,
+    configs: Sequence[ParserConfig] = (),
 ) -> ParsedLines:
     """Parse with the named format, or detect the format of every file first.
 
+    Formats of ``configs`` are known besides the built-in ones, and detected before them.
     ``heads`` may hold the first lines of each file, so that detection need not read ``lines``.
     ``files`` is their number if known: with it the lines are not shuffled to learn their format.
     """
     if fmt is not None:
-        formats = builtin_formats(compat)
+        formats = builtin_formats(compat) | {c.name: CustomFormat(c) for c in configs}
         if fmt not in formats:
             raise ValueError(f"Unsupported log format: {fmt}")
         return parse_as(lines, formats[fmt])
-    detected = detect_formats(lines if heads is None else heads)
-    return parse_mixed(attach_formats(lines, detected, files), compat)
+    shown = lines if heads is None else heads
+    detected = detect_configured(shown, configs) if configs else detect_formats(shown)
+    return parse_mixed(attach_formats(lines, detected, files), compat, [CustomFormat(c) for c in configs])

@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.operators.custom import ParserConfig
 from faultline.operators.lineformat import ParsedLines
 from faultline.operators.parse import parse_logs
 from faultline.operators.prompt import prompt_context
@@ -48,16 +49,18 @@ def analyze_files(
     compat: bool = True,
     store: str | None = None,
     open_heads: bool = True,
+    configs: Sequence[ParserConfig] = (),
 ) -> LogAnalysis:
     """Detect, parse and analyze log files.
 
     Detection opens each file for its first lines only; without ``open_heads``, for stores that
     only Spark can read, it takes them from a scan. With ``store``, a folder all executors share, the
     lines are parsed once and kept there; without it every result parses the lines for itself.
+    ``configs`` are formats known besides the built-in ones, such as those of a folder.
     """
     lines = read_lines(spark, paths, max_size)
     heads = read_heads(spark, paths) if fmt is None and open_heads else None
-    parsed = parse_logs(lines, fmt, heads, compat=compat)
+    parsed = parse_logs(lines, fmt, heads, compat=compat, configs=configs)
     if store is not None:
         parsed = stored(spark, parsed, store)
     return analyze_entries(parsed)

@@ -384,6 +384,49 @@ def custom_format(spark, folder) -> DataFrame:
     )
 
 
+# Four more formats, each with another clock.
+SHOP_FORMATS = [CUSTOM, *[ParserConfig.from_dict(data) for data in (
+    {"name": "faults", "pattern": r"(\S+ \S+) \[(\w+)\] (.*)", "level_group": 2, "message_group": 3},
+    {"name": "members", "pattern": r"(\w+);([^;]+);(.*)", "timestamp_format": "%d/%m/%Y %H:%M:%S",
+     "timestamp_group": 2, "level_group": 1, "message_group": 3},
+    {"name": "visits", "pattern": r"(\d{8}T\d{6}) seen (\d+)", "timestamp_format": "%Y%m%dT%H%M%S",
+     "field_mappings": [{"name": "id", "pattern_group": 2, "transform": "int"}]},
+    {"name": "taps", "pattern": r"tap (\S+) at ([\d: -]+)", "timestamp_group": 2, "message_group": 1,
+     "detect_patterns": [r"^tap \S+ at "]},
+)]]
+
+
+@query("configured_formats", "P8 S9 D3 P20", """
+SELECT event_type || '.log' AS file, event_id AS line_id, sec AS ts,
+       CASE event_type WHEN 'purchase' THEN 'shop' WHEN 'error' THEN 'faults' WHEN 'signup' THEN 'members'
+         WHEN 'view' THEN 'visits' ELSE 'taps' END AS format,
+       CASE event_type WHEN 'purchase' THEN 'AUDIT' WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END
+         AS level,
+       CASE event_type WHEN 'purchase' THEN 'done ' WHEN 'error' THEN 'down ' WHEN 'signup' THEN 'new ' ELSE '' END
+         || event_id AS message,
+       CASE WHEN event_type IN ('purchase', 'view') THEN CAST(event_id AS VARCHAR) END AS id
+FROM ev
+""")
+def configured_formats(spark, folder) -> DataFrame:
+    """Files of five configured formats, detected together and parsed in one scan."""
+    ev = render.events(spark, folder)
+    kind, number = F.col("event_type"), F.col("event_id")
+    iso = F.date_format("sec", "yyyy-MM-dd HH:mm:ss")
+    value = (
+        F.when(kind == "purchase", text(
+            "<", F.date_format("sec", "dd.MM.yy hh:mm:ss a"), "> purchase id=", number, " ok=off done ", number))
+        .when(kind == "error", text(iso, " [error] down ", number))
+        .when(kind == "signup", text("warn;", F.date_format("sec", "dd/MM/yyyy HH:mm:ss"), ";new ", number))
+        .when(kind == "view", text(F.date_format("sec", "yyyyMMdd'T'HHmmss"), " seen ", number))
+        .otherwise(text("tap ", number, " at ", iso))
+    )
+    shown = ev.select(text(kind, ".log").alias("file"), "line_id", value.alias("value"))
+    entries = parse_logs(shown, configs=SHOP_FORMATS).entries
+    return entries.select(
+        "file", "line_id", _ntz(), "format", "level", "message", F.col("fields")["id"].alias("id")
+    )
+
+
 @query("template_detection", "D3 P18", """
 SELECT template, kind || '.log' AS file,
        CASE template

@@ -13,6 +13,7 @@ from faultline.operators.custom import CustomFormat, ParseError, ParserConfig
 from faultline.operators.detect import detect_custom
 from faultline.operators.lineformat import parse_as
 from faultline.operators.templates import TEMPLATES, builtin_format, list_templates
+from faultline.plans.analysis import analyze_files
 from faultline.sources.configs import load_config, load_configs
 
 
@@ -105,6 +106,44 @@ def test_configuration_files(tmp_path):
             load_config(tmp_path / name)
 
 
+def test_a_folder_of_formats_is_parsed_in_one_scan(spark, tmp_path):
+    folder = tmp_path / "formats"
+    folder.mkdir()
+    (folder / "a.yaml").write_text("name: a\npattern: '(\\S+ \\S+) A (.*)'\n")
+    (folder / "b.yaml").write_text("name: b\npattern: 'b=(\\w+) at (\\d+)'\ntimestamp_format: '%Y%m%d'\n"
+                                   "timestamp_group: 2\nmessage_group: 1\nlevel_group: 1\n")
+    (folder / "c.yaml").write_text("name: c\npattern: '(.*);(.*);(.*)'\ndetect_patterns: [';;']\n"
+                                   "field_mappings: [{name: n, pattern_group: 2, transform: int, default: -1}]\n")
+    (folder / "d.yaml").write_text("name: d\npattern: 'never (x)'\n")
+    (folder / "e.yaml").write_text("name: syslog\npattern: '<s>(.*)'\nmessage_group: 1\n")
+    logs = {
+        "a.log": ["2026-01-02 03:04:05 A one", "2026-13-02 03:04:05 A no time", "", "none"],
+        "b.log": ["b=error at 20260102", "b=x at 2026", "b=", "b=warn at 20260203"],
+        "c.log": ["x;;y", "2026-01-02 03:04:05;7;z", "not"],
+        "s.log": ["<s>1", "<s>2"],
+        "n.log": ['1.2.3.4 - - [02/Jan/2026:03:04:05 +0000] "GET /x HTTP/1.1" 500 12'],
+        "u.log": ["?", "!"],
+    }
+    for name, shown in logs.items():
+        (tmp_path / name).write_text("\n".join(shown) + "\n")
+    configs = load_configs(folder)
+    found = analyze_files(spark, str(tmp_path / "*.log"), configs=configs)
+    plan = found.entries._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+
+    def rows(table):
+        return sorted((r["file"].rsplit("/", 1)[-1], *map(str, r[2:])) for r in table.collect())
+
+    names = {"a.log": "a", "b.log": "b", "c.log": "c", "s.log": "syslog", "n.log": "nginx"}
+    single = [analyze_files(spark, str(tmp_path / f), fmt=n, configs=configs) for f, n in names.items()]
+    assert rows(found.entries) == sorted(r for one in single for r in rows(one.entries))
+    lost = rows(found.quarantine)
+    assert [r for r in lost if r[0] != "u.log"] == sorted(r for one in single for r in rows(one.quarantine))
+    assert [r[-1] for r in lost if r[0] == "u.log"] == ["unknown_format"] * 2
+    with pytest.raises(ValueError, match="names"):
+        analyze_files(spark, str(tmp_path / "*.log"), configs=[configs[0], configs[0]])
+
+
 def test_dialect():
     assert translate(r"(?P<a>x[^[&]{,3})(?P=a)\Z") == r"(x[^\[\&]{0,3})(?:\1)\z"
     assert optional_groups(r"(a|(b))(c)?(?:(d)|e)(?P<x>f)") == {2, 3, 4}
