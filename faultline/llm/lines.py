@@ -59,11 +59,20 @@ class Lines:
 
     def shingles(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes of the chosen lines, in order, and the lines' offsets among them."""
-        starts, ends = self.starts[chosen], self.ends[chosen]
-        counts = np.maximum(ends - starts - SHINGLE + 1, 1)
-        places = words.ragged(starts, counts)
-        lengths = np.repeat(np.minimum(ends - starts, SHINGLE), counts)
-        return words.span_hash(self.prefix, places, places + lengths), np.concatenate([[0], np.cumsum(counts)])
+        return _shingles(self.prefix, self.starts[chosen], self.ends[chosen])
+
+
+def _shingles(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.maximum(ends - starts - SHINGLE + 1, 1)
+    places = words.ragged(starts, counts)
+    lengths = np.repeat(np.minimum(ends - starts, SHINGLE), counts)
+    return words.span_hash(prefix, places, places + lengths), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _sets(lines: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each line, which take eight times the room of the line."""
+    data, offsets = words.text_bytes(lines)
+    return words.distinct_per_text(*_shingles(words.prefix_hash(data), offsets[:-1], offsets[1:]))
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,17 +95,18 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"id": names, "bands": band_values(least, BANDS, ROWS)})
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in words.blocks(batch["text"]):
             found = Lines(data, offsets)
             names, chosen = np.unique(found.names, return_index=True)
             wanted = np.isin(names, batch["ids"].slice(first, last - first).flatten().to_numpy())
             names, chosen = names[wanted], chosen[wanted]
-            h, bounds = words.distinct_per_text(*found.shingles(chosen))
+            shown = found.data.tobytes()
             yield pa.record_batch({
-                "id": names, "sketch": sketch_values(minima(h, bounds)),
-                "hashes": pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                "id": names, "sketch": sketch_values(minima(*found.shingles(chosen))),
+                "line": pa.array([shown[a:b] for a, b in zip(
+                    found.starts[chosen].tolist(), found.ends[chosen].tolist(), strict=True)], pa.binary()),
             })
 
 
@@ -112,19 +122,21 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     bands = staged(texts.select("text").mapInArrow(_banded, "id bigint, bands array<bigint>").dropDuplicates(["id"]), "line-bands")
     nodes = partnered(bands)
     dropped(bands)
-    # Shingles of lines that share a band, each from one text that holds it; a list is of one text's lines.
+    # Lines that share a band, each from one text that holds it; a list is of one text's lines.
     wanted = rows.groupBy("id").agg(F.min("own_key").alias("own_key")).join(nodes.select("id").distinct(), "id", "left_semi")
     wanted = staged(wanted.groupBy("own_key").agg(F.collect_list("id").alias("ids")), "partnered-lines")
     # Equal rows meet before the join, by the same key; after it every line is made once.
     once = texts.select("own_key", "text").dropDuplicates(["own_key"])
-    hashes = staged(once.join(wanted, "own_key").select("text", "ids").mapInArrow(
-        _hashed, "id bigint, sketch binary, hashes binary"), "line-hashes")
+    shown = staged(once.join(wanted, "own_key").select("text", "ids").mapInArrow(
+        _partnered, "id bigint, sketch binary, line binary"), "shown-lines")
     dropped(wanted)
-    roots = staged(alike(nodes, hashes.select("id", "sketch"), agreeing(similarity)), "line-roots")
+    roots = staged(alike(nodes, shown.select("id", "sketch"), agreeing(similarity)), "line-roots")
     dropped(nodes)
-    _, named = exact_links(hashes.select("id", "hashes").join(roots, "id"), similarity)
+    # Lines go to where they are compared as they are; their sets are made there.
+    members = shown.select("id", F.col("line").alias("hashes")).join(roots, "id")
+    _, named = exact_links(members, similarity, _sets, 8)
     named = staged(named, "line-classes")
-    dropped(hashes, roots)
+    dropped(shown, roots)
     # The place of a line, which sorts as lines are kept: ids first, nulls last.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own_key", "line")
     found = staged(rows.join(named, "id", "left").select(

@@ -9,7 +9,7 @@ Buckets and components beyond a bound are dealt with in pairs of blocks, each a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -26,6 +26,9 @@ SKETCH = 64
 BLOCK_SETS = 1024
 BLOCK_BYTES = 16 << 20
 
+#: From a column, the hashes of all its sets and the sets' offsets among them.
+SetsOf = Callable[[pa.ChunkedArray], tuple[np.ndarray, np.ndarray]]
+
 _FACTORS = words.mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -193,13 +196,18 @@ def sketch_values(least: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in (least >> np.uint64(32)).astype(np.uint16)], pa.binary())
 
 
-def _exact(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def joined_hashes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets that are stored as their hashes, and their offsets."""
+    data, offsets = words.text_bytes(column)
+    return np.frombuffer(data.tobytes(), np.uint64), offsets // 8
+
+
+def _exact(batches: Iterator[pa.RecordBatch], similarity: float, sets_of: SetsOf) -> Iterator[pa.RecordBatch]:
     # columns: root, i, j, block, id, hashes
     for held, bounds in _streamed(batches, 3):
         ids = held.column("id").to_numpy()
         block, i, j = (held.column(n).to_numpy() for n in ("block", "i", "j"))
-        data, offsets = words.text_bytes(held.column("hashes"))
-        h, offsets = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
+        h, offsets = sets_of(held.column("hashes"))
         out_id, out_links, out_a, out_b = [], [], [], []
         for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             size, crossing = end - start, i[start] != j[start]
@@ -246,19 +254,21 @@ def _intersections(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return common
 
 
-def exact_links(sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+def exact_links(
+    sets: DataFrame, similarity: float, sets_of: SetsOf = joined_hashes, widening: int = 1
+) -> tuple[DataFrame, DataFrame]:
     """Number of links per id, and the classes that they form.
 
     ``sets``: ``root`` (the group to compare), ``id`` (unique), ``hashes`` (distinct 64-bit hashes,
-    joined). Gives ``id, links`` of ids with links and ``id, root`` of the classes.
+    joined, or what ``sets_of`` makes them of, in ``widening`` times the bytes). Gives ``id, links`` of ids with links and ``id, root`` of the classes.
     """
-    sizes = sets.groupBy("root").agg(F.count("*").alias("_sets"), F.sum(F.octet_length("hashes")).alias("_bytes"))
+    sizes = sets.groupBy("root").agg(F.count("*").alias("_sets"), (F.sum(F.octet_length("hashes")) * widening).alias("_bytes"))
     blocks = F.greatest(F.ceil(F.col("_sets") / BLOCK_SETS), F.ceil(F.col("_bytes") / BLOCK_BYTES))
     rows = in_block_pairs(sets.join(staged(sizes.where("_sets > 1"), "set-groups"), "root"), "root", blocks)
     found = staged(
         rows.select("root", "i", "j", "block", "id", "hashes")
         .repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "id")
-        .mapInArrow(partial(_exact, similarity=similarity), "id bigint, links bigint, other bigint")
+        .mapInArrow(partial(_exact, similarity=similarity, sets_of=sets_of), "id bigint, links bigint, other bigint")
         .where("links > 0 OR other IS NOT NULL"),
         "links",
     )
