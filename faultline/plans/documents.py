@@ -9,8 +9,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.text import bind
+
 #: What orders the lines of a document.
 ORDER = ("section", "place", "pos")
+#: A text of up to this many lines is one row; a longer one comes in parts of that size.
+PART_BITS = 12
 #: Places in a section: its title, its lines, and what closes it.
 TITLE, LINES, CLOSING = 0, 1, 2
 
@@ -74,6 +78,35 @@ def assemble(
     return whole
 
 
+def document_texts(rows: DataFrame, key: str, part_bits: int = PART_BITS) -> DataFrame:
+    """``key, part, text``: each key's document as text, every line of it ended by a newline.
+
+    ``rows`` are those of :func:`assemble`. A document of up to ``2**part_bits`` lines is one text, part
+    0. A longer one comes in parts, each the lines of a section whose ``pos`` share their upper bits;
+    joined in the order of ``part`` they are the document, so no task has to hold one of unbounded length.
+    """
+    at = (F.col("section") + 1) * (CLOSING + 1) + F.col("place")
+    pages = rows.select(
+        key, at.cast("bigint").alias("_at"), F.shiftright("pos", part_bits).alias("_page"), "pos", "line"
+    ).groupBy(key, "_at", "_page").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_lines"))
+    pages = bind(pages, "_p", F.struct(
+        F.array_join("_lines.line", "\n").alias("text"), F.size("_lines").alias("lines")
+    )).select(key, "_at", "_page", "_p")
+    # Text and count are bound together, so that the lengths come from the same shuffle.
+    lengths = pages.groupBy(F.col(key).alias("_key")).agg(
+        F.sum(F.when(F.col("_p.text").isNotNull(), F.col("_p.lines"))).alias("_length")
+    )
+    part = F.when(
+        F.col("_length") > (1 << part_bits), F.shiftleft("_at", 57) + F.coalesce("_page", F.lit(0))
+    ).otherwise(0)
+    return (
+        pages.join(lengths, F.col(key).eqNullSafe(F.col("_key")))
+        .groupBy(key, part.alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("_at", "_page", "_p.text"))).alias("_texts"))
+        .select(key, "part", F.concat(F.array_join("_texts.text", "\n"), F.lit("\n")).alias("text"))
+    )
+
+
 def write_documents(rows: DataFrame, key: str, folder: str, order: Sequence[str] = ORDER) -> None:
     """Write each key's document as text files in a folder of its own.
 

@@ -22,6 +22,7 @@ from faultline.operators.sessions import (
     can_conclude, next_command, observations, observed_facts, pending_commands, session_rollup,
     stop_on_error, successful_results,
 )
+from faultline.plans.documents import document_texts
 from faultline.plans.report import diagnosis_reports
 from faultline.workload import render
 from faultline.workload.registry import query
@@ -404,44 +405,34 @@ def can_conclude_(spark, folder) -> DataFrame:
 @query("diagnosis_report", "R5", _HYPOTHESES.rstrip() + """,
 who AS (SELECT DISTINCT user_id, 's' || user_id AS session_id FROM ev),
 fact AS (
-  SELECT 's' || user_id AS session_id, '命令执行失败: refused ' || (user_id % 9) AS fact, 0 AS position
+  SELECT 's' || user_id AS session_id, '命令执行失败: refused ' || (user_id % 9) AS fact
   FROM ev WHERE event_type = 'error' GROUP BY user_id
-),
-body AS (
-  SELECT session_id, 0 AS section, 1 AS place, i AS pos,
-         ['# 网络诊断报告', '', '**诊断时间**: 2024-02-01 12:00:00', '**执行轮次**: ' || (user_id % 5)][i + 1] AS line
-  FROM who, (SELECT unnest(range(4)) AS i)
-  UNION ALL
-  SELECT session_id, 1, 1, i, ['- **问题类型**: 高延迟', '- **风险等级**: P1', '- **置信度**: 85%'][i + 1]
-  FROM who, (SELECT unnest(range(3)) AS i) WHERE user_id % 2 = 0
-  UNION ALL SELECT session_id, 2, 1, position, '- ' || fact || ' (置信度: 100%)' FROM fact
-  UNION ALL
-  SELECT session_id, 3, 1, hypothesis_id, '- ' ||
-    CASE status WHEN 'confirmed' THEN '✓ 已确认' WHEN 'rejected' THEN '✗ 已排除' ELSE '? 待验证' END ||
-    ': ' || hypothesis || ' (置信度: ' || printf('%.0f', confidence * 100) || '%)'
-  FROM state
-  UNION ALL
-  SELECT 's' || user_id, 4, 1, event_id, '- `probe ' || (event_id % 11) || '`' FROM ev WHERE event_type = 'error'
-  UNION ALL
-  SELECT session_id, 5, 1, i, ['## 建议的排查步骤', '', '1. 路由', '2. 网卡'][i + 1]
-  FROM who, (SELECT unnest(range(4)) AS i) WHERE user_id % 2 = 0
-),
-present AS (SELECT DISTINCT session_id, section FROM body),
-titles AS (
-  SELECT unnest([1, 2, 3, 4]) AS section,
-         unnest(['## 问题概述', '## 发现的事实', '## 假设验证', '## 执行的诊断命令']) AS title
 )
-SELECT session_id, section::INT AS section, place::INT AS place, pos::BIGINT AS pos, line FROM body
-UNION ALL SELECT session_id, section, 0, 0, title FROM present JOIN titles USING (section)
-UNION ALL SELECT session_id, section, 0, 1, '' FROM present JOIN titles USING (section)
-UNION ALL SELECT session_id, section, 2, 0, '' FROM present
+SELECT session_id, 0::BIGINT AS part, '# 网络诊断报告' || chr(10) || chr(10) ||
+  '**诊断时间**: 2024-02-01 12:00:00' || chr(10) || '**执行轮次**: ' || (user_id % 5) || chr(10) ||
+  chr(10) ||
+  CASE WHEN user_id % 2 = 0 THEN '## 问题概述' || chr(10) || chr(10) || '- **问题类型**: 高延迟' ||
+    chr(10) || '- **风险等级**: P1' || chr(10) || '- **置信度**: 85%' || chr(10) || chr(10)
+    ELSE '' END ||
+  coalesce((SELECT '## 发现的事实' || chr(10) || chr(10) || '- ' || fact || ' (置信度: 100%)' ||
+    chr(10) || chr(10) FROM fact WHERE fact.session_id = who.session_id), '') ||
+  coalesce((SELECT '## 假设验证' || chr(10) || chr(10) || string_agg('- ' ||
+    CASE status WHEN 'confirmed' THEN '✓ 已确认' WHEN 'rejected' THEN '✗ 已排除' ELSE '? 待验证' END ||
+    ': ' || hypothesis || ' (置信度: ' || printf('%.0f', confidence * 100) || '%)', chr(10)
+    ORDER BY hypothesis_id) || chr(10) || chr(10)
+    FROM state WHERE state.session_id = who.session_id), '') ||
+  coalesce((SELECT '## 执行的诊断命令' || chr(10) || chr(10) || string_agg('- `probe ' ||
+    (event_id % 11) || '`', chr(10) ORDER BY event_id) || chr(10) || chr(10) FROM ev
+    WHERE ev.user_id = who.user_id AND event_type = 'error'), '') ||
+  CASE WHEN user_id % 2 = 0 THEN '## 建议的排查步骤' || chr(10) || chr(10) || '1. 路由' || chr(10) ||
+    '2. 网卡' || chr(10) || chr(10) ELSE '' END AS text
+FROM who
 """)
 def diagnosis_report(spark, folder) -> DataFrame:
     ev = render.events(spark, folder)
     state = hypothesis_state(*hypotheses_and_updates(spark, folder))
     failures = _results(spark, folder).filter("exit_code = 1")
-    # One fact a session.
-    known = upsert_facts(observed_facts(failures)).withColumn("position", F.lit(0))
+    known = upsert_facts(observed_facts(failures))
     even = F.col("user_id") % 2 == 0
     sessions = ev.select("user_id").distinct().select(
         render.session().alias("session_id"), (F.col("user_id") % 5).alias("rounds"),
@@ -449,4 +440,5 @@ def diagnosis_report(spark, folder) -> DataFrame:
         F.lit(0.85).alias("confidence"),
         F.array(F.lit("路由"), F.lit("网卡")).alias("possible_causes"),
     )
-    return diagnosis_reports(sessions, known, state, _executed(spark, folder), moment(AS_OF))
+    lines = diagnosis_reports(sessions, known, state, _executed(spark, folder), moment(AS_OF))
+    return document_texts(lines, "session_id")

@@ -29,7 +29,7 @@ from faultline.operators.sessions import (
     can_conclude, next_command, observations, observed_facts, pending_commands, session_rollup,
     stop_on_error, successful_results,
 )
-from faultline.plans.documents import ORDER, Section, assemble, write_documents
+from faultline.plans.documents import ORDER, Section, assemble, document_texts, write_documents
 from faultline.plans.report import diagnosis_reports
 from faultline.schema import AUDIT, MEMORY, RESULTS
 from faultline.session import shared_folder
@@ -39,6 +39,7 @@ from faultline.sources.audit_store import (
 from faultline.sources.fact_store import FactStore
 from faultline.sources.records import from_records, to_records
 from faultline.sources.sinks import write_reports, write_session_results
+from faultline.workload import all_queries
 
 T0 = datetime(2026, 2, 24, 10)
 
@@ -462,6 +463,40 @@ def test_documents_of_any_length_have_one_shape(spark, tmp_path, size):
         assert size < 10_000 or key == "short" or len(files) > 1
 
 
+@pytest.mark.parametrize("size", [1, 4200])
+def test_documents_as_texts(spark, size):
+    """A short document is one text; the parts of a long one, joined in their order, are the document."""
+    lines = spark.range(size + 2).select(
+        F.when(F.col("id") < size, "long").alias("k"), F.col("id").alias("pos"),
+        F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"),
+    )
+    rows = assemble("k", [Section("T", lines), Section("U", lines, gap=True)], opening=["top", ""])
+    texts = texts_of(rows, "k")
+    parts = {}
+    for r in document_texts(rows, "k").orderBy("k", "part").collect():
+        parts.setdefault(r["k"], []).append((r["part"], r["text"]))
+    assert {k: "".join(t for _, t in v) for k, v in parts.items()} == {k: v + "\n" for k, v in texts.items()}
+    assert [p for p, _ in parts[None]] == [0]
+    assert (len(parts["long"]) > 1) == (size > 4096) and all(t.count("\n") <= 4096 for _, t in parts["long"])
+
+
+def test_reports_end_in_one_text_each(spark, tmp_path):
+    """The registered queries write whole documents, not their lines."""
+    kinds = ["signup", "click", "view", "error", "purchase"]
+    spark.createDataFrame(
+        [(i, i % 2, kinds[i // 2 % 5], float(i), T0 + timedelta(minutes=i)) for i in range(20)],
+        "event_id bigint, user_id bigint, event_type string, value double, ts timestamp_ntz",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    found = {
+        name: {r["session_id"]: r["text"] for r in all_queries()[name].run(spark, str(tmp_path)).collect() if r["part"] == 0}
+        for name in ("diagnosis_report",)
+    }
+    assert found["diagnosis_report"].keys() == {"s0", "s1"}
+    report = found["diagnosis_report"]["s1"]
+    assert report.startswith("# 网络诊断报告\n\n**诊断时间**: 2024-02-01 12:00:00\n**执行轮次**: 1\n\n## 发现的事实\n\n")
+    assert report.endswith("## 执行的诊断命令\n\n- `probe 7`\n- `probe 6`\n\n")
+
+
 def test_diagnosis_report(spark):
     sessions = spark.createDataFrame(
         [("s", 3, "高延迟", "P1", 0.85, ["a", "b"]), ("t", 1, None, None, None, None),
