@@ -480,7 +480,7 @@ def test_documents_as_texts(spark, size):
     assert (len(parts["long"]) > 1) == (size > 4096) and all(t.count("\n") <= 4096 for _, t in parts["long"])
 
 
-def test_reports_end_in_one_text_each(spark, tmp_path):
+def test_sessions_end_in_one_text_each(spark, tmp_path):
     """The registered queries write whole documents, not their lines."""
     kinds = ["signup", "click", "view", "error", "purchase"]
     spark.createDataFrame(
@@ -489,10 +489,13 @@ def test_reports_end_in_one_text_each(spark, tmp_path):
     ).write.parquet(str(tmp_path / "events.parquet"))
     found = {
         name: {r["session_id"]: r["text"] for r in all_queries()[name].run(spark, str(tmp_path)).collect() if r["part"] == 0}
-        for name in ("diagnosis_report",)
+        for name in ("memory_summary", "diagnosis_report")
     }
-    assert found["diagnosis_report"].keys() == {"s0", "s1"}
-    report = found["diagnosis_report"]["s1"]
+    assert found["memory_summary"].keys() == found["diagnosis_report"].keys() == {"s0", "s1"}
+    summary, report = found["memory_summary"]["s1"], found["diagnosis_report"]["s1"]
+    assert summary.startswith("# 诊断记忆摘要\n\n## 发现的事实\n- saw signup (来源: e11,")
+    assert summary.endswith("## 最近操作\n" + "".join(
+        f"- Round 1: [{kinds[i // 2 % 5]}] act {i}\n" for i in range(1, 20, 2)) + "\n")
     assert report.startswith("# 网络诊断报告\n\n**诊断时间**: 2024-02-01 12:00:00\n**执行轮次**: 1\n\n## 发现的事实\n\n")
     assert report.endswith("## 执行的诊断命令\n\n- `probe 7`\n- `probe 6`\n\n")
 
