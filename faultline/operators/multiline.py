@@ -28,12 +28,14 @@ def event_lines(
     chunk = Window.partitionBy("file", "_chunk").orderBy("line_id")
     so_far = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    # A file is cut into chunks of lines; each is numbered on its own.
+    # A file is cut into chunks of lines; each is numbered on its own. Chunks are dealt to a fixed number
+    # of tasks: put together by their compressed size, sorted lines would take many times that in memory.
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = lines.select(
         "file", "line_id", "value",
         F.shiftright("line_id", bits).alias("_chunk"),
         F.col("value").rlike(f"{DIALECT}^(?:{translate(start_pattern)})").alias("_start"),
-    ).withColumn("_k", F.row_number().over(chunk).cast("bigint"))
+    ).repartition(tasks, "file", "_chunk").withColumn("_k", F.row_number().over(chunk).cast("bigint"))
     # One row per chunk tells what lies before it: lines, starts, and where the last start was.
     chunks = lines.groupBy("file", "_chunk").agg(
         F.count(F.lit(1)).alias("_rows"),

@@ -194,6 +194,12 @@ def test_a_long_event_is_one_entry(spark):
     assert {(r["event_no"], r["lines"]) for r in sizes.collect()} == {(1, 20_000), (2, 20_000)}
 
 
+def test_multiline_chunks_keep_their_number_of_tasks(lines):
+    """Tasks are not put together by the compressed size of their lines."""
+    plan = event_lines(lines(*EVENTS), r"\d{4}-")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+
+
 def test_multiline_entries(lines):
     config = ParserConfig.from_dict(
         {**TEMPLATES["csv_log"], "multiline": True, "multiline_pattern": r"\d{4}-"}
