@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +33,15 @@ from faultline.llm import words
 from faultline.llm.components import components
 from faultline.llm.similar import BLOCK_SETS, SKETCH, agreeing, exact_links, likely_pairs, minima, set_ids
 from faultline.llm.rows import keyed, one_per_group
-from faultline.llm.staging import staged
+from faultline.llm.staging import dropped, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Missing a link at 0.8 in all of 12 runs has a chance of 1e-7 after one split, 1e-4 after four.
 RUNS = 12
 #: A child that holds more of its parent than this was not split by the choice.
 SPLITS = 0.5
+#: Bits of the filter that picks the texts to compare; 2**27 take 16 MB.
+FILTER_BITS = 27
 
 
 def choices(run: int, similarity: float = SIMILARITY) -> list[int]:
@@ -85,6 +88,27 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
+def _among(keys: DataFrame):
+    """A filter of rows by ``own_key`` that lets all of ``keys`` pass and few others.
+
+    It is a bitmap of ``FILTER_BITS`` bits, whatever the number of keys, so that texts stay where they are.
+    """
+    place = F.shiftrightunsigned("own_key", 64 - FILTER_BITS) + 1
+    parts = keys.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("bits")
+    ).toArrow()
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for part, own in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        bits[(part - 1) * len(own):part * len(own)] = np.frombuffer(own, np.uint8)
+    given = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def passes(keys: pd.Series) -> pd.Series:
+        at = keys.to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+        return pd.Series((given.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+
+    return F.pandas_udf(passes, "boolean")("own_key")
+
+
 def _forests(sets: DataFrame, similarity: float, bucket: int, deepest: int) -> DataFrame:
     """Forests of likely pairs from the nodes of all runs; ``sets``: ``id, roots, sketch``."""
     level = sets.where("n > 0").select("id", F.explode("roots").alias("bucket"))
@@ -151,9 +175,11 @@ def _joined(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, b
     ), "sets")
     likely = components(_forests(sets, similarity, bucket, deepest))
     members = staged(likely.join(sets.select("id", "own_key"), "id"), "members")
-    some = texts.join(members.select("own_key").distinct(), "own_key", "left_semi")
-    hashes = some.mapInArrow(_hashed, "id bigint, hashes binary").dropDuplicates(["id"])
-    links, classes = exact_links(members.join(hashes, "id").select("root", "id", "hashes"), similarity)
+    # What else passes is of no member, which the join by id leaves out, or a copy of one.
+    hashes = texts.where(_among(members)).mapInArrow(_hashed, "id bigint, hashes binary").dropDuplicates(["id"])
+    compared = staged(members.join(hashes, "id").select("root", "id", "hashes"), "compared-sets")
+    links, classes = exact_links(compared, similarity)
+    dropped(compared)
     firsts = classes.join(sets.select("id", "first_doc"), "id")
     firsts = firsts.join(firsts.groupBy("root").agg(F.min("first_doc").alias("class_id")), "root")
     linked = links.select("id", "links").join(firsts.select("id", "root", "class_id"), "id")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from llm_helpers import lower, shingles, words_of
 
 from faultline.llm import lines, passages, setjoin
@@ -208,3 +209,11 @@ def test_passages_know_rows_by_id_and_text(docs):
     for r in got:
         by_class.setdefault(r.class_id, []).append((r.doc_id, r.removed))
     assert {tuple(sorted(v, key=str)) for v in by_class.values()} == {((1, False), (2, True)), ((1, False), (None, True))}
+
+
+def test_texts_to_compare_pass_a_filter_where_they_are(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("own_key"), "id")
+    some = keys.where("id % 10 = 0")
+    passed = {r.id for r in keys.where(setjoin._among(some)).collect()}
+    assert passed >= set(range(0, 3000, 10)) and len(passed) < 310
+    assert keys.where(setjoin._among(some.where("false"))).count() == 0
