@@ -73,6 +73,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[int]]:
         yield ends
 
 
+@words.tidy
 def _recipes(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in words.blocks(batch["text"]):
@@ -88,6 +89,7 @@ def _recipes(batches: Iterator[pa.RecordBatch], digest: Digest) -> Iterator[pa.R
             })
 
 
+@words.tidy
 def _contents(batches: Iterator[pa.RecordBatch], digest: Digest, places: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, _, data, offsets in words.blocks(batch["text"]):

@@ -141,6 +141,7 @@ class Templates:
         return np.where(good, h, np.uint64(0)), offsets, np.append(starts_of, len(self.kind))
 
 
+@words.tidy
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in words.blocks(batch["text"]):
@@ -161,6 +162,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 })
 
 
+@words.tidy
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in words.blocks(batch["text"]):
@@ -192,6 +194,7 @@ def _paired(item: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
             yield a_end - 1, b_end - 1
 
 
+@words.tidy
 def _matches(batches: Iterator[pa.RecordBatch], part, cover: float) -> Iterator[pa.RecordBatch]:
     windows, item_of, place_of, item_words = part.value
     for batch in batches:

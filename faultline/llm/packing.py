@@ -55,7 +55,7 @@ def _ranked_encoding(path: str) -> tuple | None:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder per process; the words it knows are dropped when a task ends."""
+    """One encoder per process, dropped when a task ends: idle workers would hold its tables, 100 MB each."""
     return Encoder(path)
 
 
@@ -168,6 +168,7 @@ class Encoder:
         return ids, total[np.searchsorted(starts, offsets)]
 
 
+@words.tidy
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     known = encoder(path)
     for batch in batches:
@@ -191,7 +192,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, with_id
             if with_ids:
                 out["ids"] = pa.array(lists, pa.list_(pa.int64()))
             yield pa.record_batch(out)
-    known.forget()
+    encoder.cache_clear()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
@@ -257,6 +258,7 @@ def plan(counts: dict[int, int], capacity: int = 2048) -> list[tuple[int, int, i
     return sorted(rows)
 
 
+@words.tidy
 def _placed(batches: Iterator[pa.RecordBatch], rows: list[tuple[int, int, int, int, int]]) -> Iterator[pa.RecordBatch]:
     table = np.array(rows or [(0, 0, 0, 0, 1)], np.int64)
     step = np.int64(1) << np.int64(48)

@@ -178,6 +178,7 @@ def fit(lists: list[np.ndarray], grades: np.ndarray, n_grades: int, penalty: flo
     return Model(names[at][w < 0], w[w < 0], first + np.concatenate([[0], np.cumsum(np.exp(steps))]))
 
 
+@words.tidy
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in words.blocks(batch["text"]):
@@ -209,6 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str, n_grades: int, labelle
     return fit([lists[i] for i in order], found["grade"].to_numpy()[order].astype(np.int64), n_grades)
 
 
+@words.tidy
 def _graded(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     model = model.value
     for batch in batches:
@@ -243,6 +245,7 @@ GRADES = 3
 GRADE = "CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 END"
 
 
+@words.tidy
 def _kept_rows(batches: Iterator[pa.RecordBatch], model, least_tail: float) -> Iterator[pa.RecordBatch]:
     model = model.value
     for batch in batches:

@@ -57,6 +57,7 @@ def _sets(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words.distinct_per_text(*words.shingle_hashes(h, offsets, SHINGLE))
 
 
+@words.tidy
 def _sketched(batches: Iterator[pa.RecordBatch], runs: int, similarity: float) -> Iterator[pa.RecordBatch]:
     chosen = [(run, at) for run in range(runs) for at in choices(run, similarity)]
     places = np.array([at for _, at in chosen])
@@ -77,6 +78,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], runs: int, similarity: float) -
             })
 
 
+@words.tidy
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in words.blocks(batch["text"]):

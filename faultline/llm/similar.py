@@ -101,6 +101,7 @@ def _forest(likely, n: int) -> list[tuple[int, int]]:
     return edges
 
 
+@words.tidy
 def _likely_pairs(batches: Iterator[pa.RecordBatch], least: int, kind: str) -> Iterator[pa.RecordBatch]:
     # columns: bucket, i, j, block, id, sketch
     for held, bounds in _streamed(batches, 3):
@@ -202,6 +203,7 @@ def joined_hashes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), np.uint64), offsets // 8
 
 
+@words.tidy
 def _exact(batches: Iterator[pa.RecordBatch], similarity: float, sets_of: SetsOf) -> Iterator[pa.RecordBatch]:
     # columns: root, i, j, block, id, hashes
     for held, bounds in _streamed(batches, 3):

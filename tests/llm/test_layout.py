@@ -127,3 +127,17 @@ def test_shards_hold_the_mixture(docs):
         (i, 16 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t, _ in rows}
     assert shards.shards(docs()).count() == 0
     assert len(shards.shards(docs((1, "a"), (2, "b")), 40).collect()) == 2
+
+
+def test_workers_get_bounded_batches_and_drop_their_encoder(docs):
+    texts = docs(*((i, "words " * 50_000) for i in range(60))).select("text").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"bytes": [batch.nbytes]})
+
+    found = [r.bytes for r in texts.mapInArrow(sizes, "bytes bigint").collect()]
+    assert sum(found) >= 60 * 300_000 and max(found) < 6 << 20
+    batch = pa.record_batch({"doc_id": [1], "text": ["a text"]})
+    assert sum(b.num_rows for b in packing._pieces(iter([batch]), PATH, 2048, False)) == 1
+    assert packing.encoder.cache_info().currsize == 0
