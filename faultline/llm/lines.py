@@ -2,8 +2,9 @@
 
 Equal lines (A-Z lower-cased, outer blanks stripped) are one before anything is compared. Distinct
 lines get minhashes of their five-byte shingles; lines that agree in a band of four minima are
-candidates, and ten bands find 99.5 % of the pairs at the threshold of 0.8, more above. Lines that
-share a band get sketches and sets of shingles. Exact Jaccard similarity of the sets decides, and
+candidates, and ten bands find 99.5 % of the pairs at the threshold of 0.8, more above. Sketches of
+lines that share a band are compared, and sets of shingles of those that look alike; a bitmap picks
+either where they are, so that texts stay in place. Exact Jaccard similarity of the sets decides, and
 distributed union-find keeps one line per component: the first one of the smallest document.
 
 Shingles of five bytes link lines from about 45 bytes on that differ in one letter, and still keep
@@ -19,6 +20,7 @@ of any length are taken whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from faultline.llm import words
 from faultline.llm.rows import keyed
-from faultline.llm.similar import agreeing, alike, band_values, exact_links, minima, partnered, sketch_values
+from faultline.llm.similar import (
+    agreeing, alike, bitmap, bucket_values, bucketed, exact_links, in_bitmap, minima, sketch_values,
+)
 from faultline.llm.staging import dropped, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -42,18 +46,19 @@ class Lines:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = words.LOWER[data]
-        starts, ends = words.runs(self.data != 10, offsets)
-        ink = np.concatenate([[0], np.cumsum(~_BLANK[self.data])])
-        some = ink[ends] > ink[starts]
-        # The number of a line counts the line ends before it in its text.
-        breaks = np.concatenate([[0], np.cumsum(self.data == 10)])
-        text = np.searchsorted(offsets, starts, "right") - 1
-        number = breaks[starts] - breaks[offsets[text]] if len(starts) else starts
-        starts, ends, self.text, self.number = starts[some], ends[some], text[some], number[some]
-        # Strip: the first byte with ink at or after the start, and the last before the end.
-        inked = np.flatnonzero(~_BLANK[self.data])
-        self.starts = inked[np.searchsorted(inked, starts)] if len(starts) else starts
-        self.ends = inked[np.searchsorted(inked, ends) - 1] + 1 if len(ends) else ends
+        breaks = np.flatnonzero(self.data == 10)
+        # A line begins at its text or behind a line end; its number counts the line ends before it in its text.
+        starts = np.concatenate([offsets[:-1], breaks + 1])
+        text = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1])
+        order = np.lexsort((starts, text))
+        starts, text = starts[order], text[order]
+        number = np.arange(len(starts)) - np.searchsorted(text, text)
+        ends = np.empty_like(starts)
+        last = np.append(text[1:] != text[:-1], True)[:len(text)]
+        ends[:-1], ends[last] = starts[1:] - 1, offsets[text[last] + 1]
+        starts, ends = _stripped(_BLANK[self.data], starts, ends)
+        some = ends > starts
+        self.starts, self.ends, self.text, self.number = starts[some], ends[some], text[some], number[some]
         self.prefix = words.prefix_hash(self.data)
         self.names = words.span_hash(self.prefix, self.starts, self.ends).view(np.int64)
 
@@ -62,11 +67,37 @@ class Lines:
         return _shingles(self.prefix, self.starts[chosen], self.ends[chosen])
 
 
+def _stripped(blank: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without blanks at their ends; those of blanks alone are empty."""
+    starts, ends = starts.copy(), ends.copy()
+    for at, step, byte in ((starts, 1, 0), (ends, -1, -1)):
+        left = np.flatnonzero(starts < ends)
+        for _ in range(64):
+            left = left[blank[at[left] + byte]]
+            if not len(left):
+                break
+            at[left] += step
+            left = left[starts[left] < ends[left]]
+        if len(left):  # many blanks: look the next byte with ink up
+            ink = np.flatnonzero(~blank)
+            if step > 0:
+                at[left] = np.minimum(np.append(ink, len(blank))[np.searchsorted(ink, starts[left])], ends[left])
+            else:
+                at[left] = np.maximum(np.append(ink, -1)[np.searchsorted(ink, ends[left]) - 1] + 1, starts[left])
+    return starts, ends
+
+
 def _shingles(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = np.maximum(ends - starts - SHINGLE + 1, 1)
-    places = words.ragged(starts, counts)
-    lengths = np.repeat(np.minimum(ends - starts, SHINGLE), counts)
-    return words.span_hash(prefix, places, places + lengths), np.concatenate([[0], np.cumsum(counts)])
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    if len(prefix) <= SHINGLE:
+        return words.span_hash(prefix, starts, ends), offsets
+    # The hash of every place but the last few, then those within the lines; short lines are one by themselves.
+    every = words.mix((prefix[SHINGLE:] - prefix[:-SHINGLE]) * words._power("down", len(prefix))[:len(prefix) - SHINGLE])
+    out = every[np.minimum(words.ragged(starts, counts), len(every) - 1)]
+    short = np.flatnonzero(ends - starts < SHINGLE)
+    out[offsets[short]] = words.span_hash(prefix, starts[short], ends[short])
+    return out, offsets
 
 
 def _sets(lines: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,37 +106,52 @@ def _sets(lines: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return words.distinct_per_text(*_shingles(words.prefix_hash(data), offsets[:-1], offsets[1:]))
 
 
+@words.tidy
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, _, data, offsets in words.blocks(batch["text"]):
             found = Lines(data, offsets)
             rows = pa.array(first + found.text)
+            # Equal lines of a block: one of them is banded.
+            _, chosen = np.unique(found.names, return_index=True)
+            least = minima(*found.shingles(chosen))
+            at = np.zeros(len(found.names), np.int64)
+            at[chosen] = np.arange(len(chosen))
+            banded = np.zeros(len(found.names), bool)
+            banded[chosen] = True
+            at = pa.array(at, mask=~banded)
             yield pa.record_batch({
                 "doc_id": batch["doc_id"].take(rows), "own_key": batch["own_key"].take(rows),
                 "line": pa.array(found.number, pa.int64()), "id": pa.array(found.names),
+                "buckets": bucket_values(least, BANDS, ROWS).take(at), "sketch": sketch_values(least).take(at),
             })
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@words.tidy
+def _sharing(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, data, offsets in words.blocks(batch["text"]):
-            found = Lines(data, offsets)
-            names, chosen = np.unique(found.names, return_index=True)
-            least = minima(*found.shingles(chosen), BANDS * ROWS)
-            yield pa.record_batch({"id": names, "bands": band_values(least, BANDS, ROWS)})
-
-
-def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not batch.num_rows:
+            continue
+        buckets = batch["buckets"].flatten()
+        wanted = in_bitmap(bits.value, buckets.to_numpy())
+        # The buckets that pass, line by line; lines without any go no further.
+        ends = np.concatenate([[0], np.cumsum(wanted)])[batch["buckets"].offsets.to_numpy() - batch["buckets"].offsets[0].as_py()]
+        some = pa.array(np.diff(ends) > 0)
+        kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), buckets.filter(pa.array(wanted)))
+        yield pa.record_batch({"id": batch["id"], "buckets": kept, "sketch": batch["sketch"]}).filter(some)
+
+
+@words.tidy
+def _shown(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, data, offsets in words.blocks(batch["text"]):
+        for _, _, data, offsets in words.blocks(batch["text"]):
             found = Lines(data, offsets)
             names, chosen = np.unique(found.names, return_index=True)
-            wanted = np.isin(names, batch["ids"].slice(first, last - first).flatten().to_numpy())
+            wanted = in_bitmap(bits.value, names)
             names, chosen = names[wanted], chosen[wanted]
             shown = found.data.tobytes()
             yield pa.record_batch({
-                "id": names, "sketch": sketch_values(minima(*found.shingles(chosen))),
-                "line": pa.array([shown[a:b] for a, b in zip(
+                "id": names, "hashes": pa.array([shown[a:b] for a, b in zip(
                     found.starts[chosen].tolist(), found.ends[chosen].tolist(), strict=True)], pa.binary()),
             })
 
@@ -118,25 +164,26 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = keyed(docs)
-    rows = staged(texts.mapInArrow(_listed, f"doc_id {kind}, own_key bigint, line bigint, id bigint"), "lines")
-    bands = staged(texts.select("text").mapInArrow(_banded, "id bigint, bands array<bigint>").dropDuplicates(["id"]), "line-bands")
-    nodes = partnered(bands)
-    dropped(bands)
-    # Lines that share a band, each from one text that holds it; a list is of one text's lines.
-    wanted = rows.groupBy("id").agg(F.min("own_key").alias("own_key")).join(nodes.select("id").distinct(), "id", "left_semi")
-    wanted = staged(wanted.groupBy("own_key").agg(F.collect_list("id").alias("ids")), "partnered-lines")
-    # Equal rows meet before the join, by the same key; after it every line is made once.
-    once = texts.select("own_key", "text").dropDuplicates(["own_key"])
-    shown = staged(once.join(wanted, "own_key").select("text", "ids").mapInArrow(
-        _partnered, "id bigint, sketch binary, line binary"), "shown-lines")
-    dropped(wanted)
-    roots = staged(alike(nodes, shown.select("id", "sketch"), agreeing(similarity)), "line-roots")
-    dropped(nodes)
-    # Lines go to where they are compared as they are; their sets are made there.
-    members = shown.select("id", F.col("line").alias("hashes")).join(roots, "id")
+    wide = staged(texts.mapInArrow(
+        _listed, f"doc_id {kind}, own_key bigint, line bigint, id bigint, buckets array<bigint>, sketch binary"), "banded-lines")
+    rows = staged(wide.select("doc_id", "own_key", "line", "id"), "lines")
+    banded = wide.where("buckets IS NOT NULL").select("id", "buckets", "sketch")
+    # Buckets that come twice, of whatever lines: a bitmap of them leaves few lines to look at in earnest.
+    twice = staged(banded.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
+        F.count("*").alias("n")).where("n > 1").select("bucket"), "repeated-bands")
+    sharing = staged(banded.mapInArrow(
+        partial(_sharing, bits=bitmap(twice, "bucket")), "id bigint, buckets array<bigint>, sketch binary"
+    ).dropDuplicates(["id"]), "sharing-lines")
+    dropped(wide, twice)
+    nodes = bucketed(sharing.select("id", F.explode("buckets").alias("bucket")))
+    roots = staged(alike(nodes, sharing.select("id", "sketch"), agreeing(similarity)), "line-roots")
+    dropped(nodes, sharing)
+    # Lines go to where they are compared as they are; their sets are made there. What else passes is of no root.
+    shown = texts.select("text").mapInArrow(partial(_shown, bits=bitmap(roots, "id")), "id bigint, hashes binary")
+    members = staged(shown.dropDuplicates(["id"]).join(roots, "id"), "compared-lines")
     _, named = exact_links(members, similarity, _sets, 8)
     named = staged(named, "line-classes")
-    dropped(shown, roots)
+    dropped(members, roots)
     # The place of a line, which sorts as lines are kept: ids first, nulls last.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own_key", "line")
     found = staged(rows.join(named, "id", "left").select(

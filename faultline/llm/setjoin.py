@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import words
 from faultline.llm.components import components
-from faultline.llm.similar import BLOCK_SETS, SKETCH, agreeing, exact_links, likely_pairs, minima, set_ids
+from faultline.llm.similar import BLOCK_SETS, SKETCH, agreeing, bitmap, exact_links, in_bitmap, likely_pairs, minima, set_ids
 from faultline.llm.rows import keyed, one_per_group
 from faultline.llm.staging import dropped, staged
 
@@ -40,8 +40,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 RUNS = 12
 #: A child that holds more of its parent than this was not split by the choice.
 SPLITS = 0.5
-#: Bits of the filter that picks the texts to compare; 2**27 take 16 MB.
-FILTER_BITS = 27
 
 
 def choices(run: int, similarity: float = SIMILARITY) -> list[int]:
@@ -91,22 +89,11 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _among(keys: DataFrame):
-    """A filter of rows by ``own_key`` that lets all of ``keys`` pass and few others.
-
-    It is a bitmap of ``FILTER_BITS`` bits, whatever the number of keys, so that texts stay where they are.
-    """
-    place = F.shiftrightunsigned("own_key", 64 - FILTER_BITS) + 1
-    parts = keys.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("bits")
-    ).toArrow()
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for part, own in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
-        bits[(part - 1) * len(own):part * len(own)] = np.frombuffer(own, np.uint8)
-    given = keys.sparkSession.sparkContext.broadcast(bits)
+    """A filter of rows by ``own_key`` that lets all of ``keys`` pass and few others, so that texts stay where they are."""
+    given = bitmap(keys, "own_key")
 
     def passes(keys: pd.Series) -> pd.Series:
-        at = keys.to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-        return pd.Series((given.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+        return pd.Series(in_bitmap(given.value, keys.to_numpy()))
 
     return F.pandas_udf(passes, "boolean")("own_key")
 

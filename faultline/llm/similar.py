@@ -25,6 +25,8 @@ SKETCH = 64
 #: Sets of a bucket or component compared in one group; more are split into pairs of blocks.
 BLOCK_SETS = 1024
 BLOCK_BYTES = 16 << 20
+#: Bits of the filter that picks what to compare; 2**27 take 16 MB.
+FILTER_BITS = 27
 
 #: From a column, the hashes of all its sets and the sets' offsets among them.
 SetsOf = Callable[[pa.ChunkedArray], tuple[np.ndarray, np.ndarray]]
@@ -163,14 +165,38 @@ def likely_pairs(rows: DataFrame, least: int, kind: str = "u4") -> DataFrame:
     )
 
 
+def bitmap(keys: DataFrame, column: str):
+    """A broadcast filter that lets all of the 64-bit ``keys`` pass and few others.
+
+    It has ``FILTER_BITS`` bits, whatever the number of keys, so that what is filtered stays where it is.
+    """
+    place = F.shiftrightunsigned(column, 64 - FILTER_BITS) + 1
+    parts = keys.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("bits")
+    ).toArrow()
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for part, own in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+        bits[(part - 1) * len(own):part * len(own)] = np.frombuffer(own, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def partnered(sets: DataFrame) -> DataFrame:
     """``bucket, id, size`` of the bands that several sets (``id, bands``) share, written.
 
     Bands are counted in every task before they meet; those of one set go no further.
     """
-    level = sets.select("id", F.posexplode("bands").alias("band", "value")).select(
+    return bucketed(sets.select("id", F.posexplode("bands").alias("band", "value")).select(
         "id", F.xxhash64("band", "value").alias("bucket")
-    )
+    ))
+
+
+def bucketed(level: DataFrame) -> DataFrame:
+    """``bucket, id, size`` of the buckets that several sets share, of ``id, bucket`` once each, written."""
     sizes = staged(level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "band-sizes")
     nodes = staged(level.join(sizes, "bucket"), "band-nodes")
     dropped(sizes)
@@ -185,12 +211,25 @@ def alike(nodes: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     return found
 
 
-def band_values(least: np.ndarray, bands: int, rows: int) -> pa.Array:
-    """The first ``bands`` times ``rows`` minima of every text, hashed band by band."""
+def _bands(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     out = np.zeros((len(least), bands), np.uint64)
     for k in range(rows):
         out = words.mix(out * np.uint64(3) + least[:, k:bands * rows:rows])
-    return pa.FixedSizeListArray.from_arrays(pa.array(out.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
+    return out
+
+
+def band_values(least: np.ndarray, bands: int, rows: int) -> pa.Array:
+    """The first ``bands`` times ``rows`` minima of every text, hashed band by band."""
+    return _lists(_bands(least, bands, rows))
+
+
+def bucket_values(least: np.ndarray, bands: int, rows: int) -> pa.Array:
+    """The same, hashed with the number of the band."""
+    return _lists(words.mix(_bands(least, bands, rows) + words.mix(np.arange(1, bands + 1, dtype=np.uint64))))
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(values.view(np.int64).ravel()), values.shape[1]).cast(pa.list_(pa.int64()))
 
 
 def sketch_values(least: np.ndarray) -> pa.Array:
@@ -216,6 +255,15 @@ def _exact(batches: Iterator[pa.RecordBatch], similarity: float, sets_of: SetsOf
             if size < 2:
                 continue
             own_h, own_offsets = h[offsets[start]:offsets[end]], offsets[start:end + 1] - offsets[start]
+            if size == 2 and not crossing:
+                both = np.sort(own_h)
+                shared = np.float32(np.count_nonzero(both[1:] == both[:-1]))
+                if shared >= np.float32(similarity) * (np.float32(len(both)) - shared) - np.float32(1e-4):
+                    out_id.append(ids[start:end])
+                    out_links.append(np.ones(2, np.int64))
+                    out_a.append(ids[start])
+                    out_b.append(ids[start + 1])
+                continue
             common = _intersections(own_h, np.diff(own_offsets))
             counts = np.diff(own_offsets).astype(np.float32)
             linked = common >= np.float32(similarity) * (counts[:, None] + counts[None, :] - common) - 1e-4

@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from llm_helpers import lower, shingles, words_of
 
-from faultline.llm import lines, passages, setjoin
+from faultline.llm import lines, passages, setjoin, similar, words
 from faultline.llm.components import components
 
 
@@ -217,3 +219,67 @@ def test_texts_to_compare_pass_a_filter_where_they_are(spark):
     passed = {r.id for r in keys.where(setjoin._among(some)).collect()}
     assert passed >= set(range(0, 3000, 10)) and len(passed) < 310
     assert keys.where(setjoin._among(some.where("false"))).count() == 0
+
+
+def test_only_lines_of_a_repeated_bucket_go_on():
+    """Line by line the buckets that pass the bitmap stay, with the sketch; other lines are left out."""
+    class Given:
+        bits = value = np.zeros((1 << similar.FILTER_BITS) // 8, np.uint8)
+
+    keys = words.mix(np.arange(1, 8, dtype=np.uint64)).view(np.int64).tolist()
+    for key in keys[:3]:
+        at = (key & (1 << 64) - 1) >> 64 - similar.FILTER_BITS
+        Given.bits[at >> 3] |= 1 << (at & 7)
+    batch = pa.record_batch({
+        "id": [9, 1, 2, 3, 4],
+        "buckets": pa.array([[keys[0]], [keys[0], keys[3], keys[1]], [keys[4], keys[5]], [], [keys[6], keys[2]]], pa.list_(pa.int64())),
+        "sketch": pa.array([b"z", b"a", b"b", b"c", b"d"]),
+    }).slice(1)
+    (got,) = lines._sharing(iter([batch, batch.slice(0, 0)]), Given)
+    assert got.to_pylist() == [
+        {"id": 1, "buckets": [keys[0], keys[1]], "sketch": b"a"}, {"id": 4, "buckets": [keys[2]], "sketch": b"d"}
+    ]
+
+
+def test_lines_are_stripped_of_few_and_many_blanks():
+    texts = [None, "", " \n\t\n", "a", " A\x0b b\n\n" + " " * 300 + "c" + "\t" * 200 + "\n" + " " * 500, "\n\nlast line \r", "é\n é"]
+    data, offsets = words.text_bytes(pa.array(texts))
+    found = lines.Lines(data, offsets)
+    want = [
+        (i, k, line.strip(b" \t\r\x0b\x0c").lower())
+        for i, t in enumerate(texts) for k, line in enumerate((t or "").encode().split(b"\n")) if line.strip(b" \t\r\x0b\x0c")
+    ]
+    shown = found.data.tobytes()
+    got = [(t, n, shown[a:b]) for t, n, a, b in zip(found.text.tolist(), found.number.tolist(), found.starts, found.ends, strict=True)]
+    assert got == want
+    hashes, bounds = found.shingles(np.arange(len(got)))
+    for (*_, line), a, b in zip(got, bounds[:-1], bounds[1:], strict=True):
+        one = np.frombuffer(line, np.uint8)
+        prefix = words.prefix_hash(one)
+        size = min(len(one), lines.SHINGLE)
+        starts = np.arange(len(one) - size + 1)
+        assert hashes[a:b].tolist() == words.span_hash(prefix, starts, starts + size).tolist()
+
+
+def test_pairs_are_compared_like_larger_groups():
+    rng = np.random.default_rng(5)
+    sets = []
+    for root in range(60):
+        base = rng.integers(1, 1 << 62, 50, dtype=np.uint64)
+        for _ in range(2):
+            own = base.copy()
+            own[:rng.integers(0, 12)] += np.uint64(len(sets) + 1)
+            sets.append((root, len(sets), np.unique(own)))
+    batch = pa.record_batch({
+        "root": [r for r, *_ in sets], "i": [0] * 120, "j": [0] * 120, "block": [0] * 120, "id": [i for _, i, _ in sets],
+        "hashes": pa.array([h.tobytes() for *_, h in sets], pa.binary()),
+    })
+    rows = pa.Table.from_batches(similar._exact(iter([batch]), 0.8, similar.joined_hashes)).to_pylist()
+    want = set()
+    for (_, a, x), (_, b, y) in zip(sets[::2], sets[1::2], strict=True):
+        both = len(np.intersect1d(x, y))
+        if both / (len(x) + len(y) - both) >= 0.8:
+            want.add((a, b))
+    assert 0 < len(want) < 60
+    assert {(r["id"], r["other"]) for r in rows if r["other"] is not None} == want
+    assert {r["id"] for r in rows if r["links"]} == {i for pair in want for i in pair}
