@@ -3,8 +3,8 @@
 Equal lines (A-Z lower-cased, outer blanks stripped) are one before anything is compared. Distinct
 lines get minhashes of their five-byte shingles; lines that agree in a band of four minima are
 candidates, and ten bands find 99.5 % of the pairs at the threshold of 0.8, more above. Sketches of
-lines that share a band are compared, and sets of shingles of those that look alike; a bitmap picks
-either where they are, so that texts stay in place. Exact Jaccard similarity of the sets decides, and
+lines that share a band, 32 bytes each, are compared where the band is, and sets of shingles of those
+that look alike; a bitmap picks either where they are, so that texts stay in place. Exact Jaccard similarity of the sets decides, and
 distributed union-find keeps one line per component: the first one of the smallest document.
 
 Shingles of five bytes link lines from about 45 bytes on that differ in one letter, and still keep
@@ -28,14 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words
+from faultline.llm.components import components
 from faultline.llm.rows import keyed
 from faultline.llm.similar import (
-    agreeing, alike, bitmap, bucket_values, bucketed, exact_links, in_bitmap, minima, sketch_values,
+    BLOCK_SETS, HALVES, agreeing, bitmap, bucket_values, exact_links, half_values, in_bitmap, likely_pairs, minima,
 )
 from faultline.llm.staging import dropped, staged
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 4
+#: Names of lines that a task remembers, so as to band a line once; beyond that it begins anew.
+REMEMBERED = 1 << 17
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 11, 12, 13, 32]] = True
@@ -45,7 +48,7 @@ class Lines:
     """The lines of a block of texts, stripped: byte spans, text numbers and names."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data = words.LOWER[data]
+        self.data = data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
         breaks = np.flatnonzero(self.data == 10)
         # A line begins at its text or behind a line end; its number counts the line ends before it in its text.
         starts = np.concatenate([offsets[:-1], breaks + 1])
@@ -56,7 +59,7 @@ class Lines:
         ends = np.empty_like(starts)
         last = np.append(text[1:] != text[:-1], True)[:len(text)]
         ends[:-1], ends[last] = starts[1:] - 1, offsets[text[last] + 1]
-        starts, ends = _stripped(_BLANK[self.data], starts, ends)
+        starts, ends = _stripped(self.data, starts, ends)
         some = ends > starts
         self.starts, self.ends, self.text, self.number = starts[some], ends[some], text[some], number[some]
         self.prefix = words.prefix_hash(self.data)
@@ -67,21 +70,21 @@ class Lines:
         return _shingles(self.prefix, self.starts[chosen], self.ends[chosen])
 
 
-def _stripped(blank: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans without blanks at their ends; those of blanks alone are empty."""
     starts, ends = starts.copy(), ends.copy()
     for at, step, byte in ((starts, 1, 0), (ends, -1, -1)):
         left = np.flatnonzero(starts < ends)
         for _ in range(64):
-            left = left[blank[at[left] + byte]]
+            left = left[_BLANK[data[at[left] + byte]]]
             if not len(left):
                 break
             at[left] += step
             left = left[starts[left] < ends[left]]
         if len(left):  # many blanks: look the next byte with ink up
-            ink = np.flatnonzero(~blank)
+            ink = np.flatnonzero(~_BLANK[data])
             if step > 0:
-                at[left] = np.minimum(np.append(ink, len(blank))[np.searchsorted(ink, starts[left])], ends[left])
+                at[left] = np.minimum(np.append(ink, len(data))[np.searchsorted(ink, starts[left])], ends[left])
             else:
                 at[left] = np.maximum(np.append(ink, -1)[np.searchsorted(ink, ends[left]) - 1] + 1, starts[left])
     return starts, ends
@@ -108,13 +111,18 @@ def _sets(lines: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 @words.tidy
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    before = np.zeros(0, np.int64)
     for batch in batches:
         for first, _, data, offsets in words.blocks(batch["text"]):
             found = Lines(data, offsets)
             rows = pa.array(first + found.text)
-            # Equal lines of a block: one of them is banded.
-            _, chosen = np.unique(found.names, return_index=True)
-            least = minima(*found.shingles(chosen))
+            # Equal lines of a task: one of them is banded.
+            names, chosen = np.unique(found.names, return_index=True)
+            new = ~_among(before, names)
+            before = np.sort(np.concatenate([before, names[new]]), kind="stable") if len(before) < REMEMBERED else names
+            chosen = np.sort(chosen[new])
+            h, own = found.shingles(chosen)
+            least = minima(h.astype(np.uint32), own)
             at = np.zeros(len(found.names), np.int64)
             at[chosen] = np.arange(len(chosen))
             banded = np.zeros(len(found.names), bool)
@@ -123,10 +131,17 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({
                 "doc_id": batch["doc_id"].take(rows), "own_key": batch["own_key"].take(rows),
                 "line": pa.array(found.number, pa.int64()), "id": pa.array(found.names),
-                "buckets": bucket_values(least, BANDS, ROWS).take(at), "sketch": sketch_values(least).take(at),
+                "buckets": bucket_values(least, BANDS, ROWS).take(at), "sketch": half_values(least).take(at),
             })
 
 
+def _among(known: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which names are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(names), bool)
+    return known[np.minimum(np.searchsorted(known, names), len(known) - 1)] == names
+
+
 @words.tidy
 def _sharing(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -169,15 +184,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = staged(wide.select("doc_id", "own_key", "line", "id"), "lines")
     banded = wide.where("buckets IS NOT NULL").select("id", "buckets", "sketch")
     # Buckets that come twice, of whatever lines: a bitmap of them leaves few lines to look at in earnest.
-    twice = staged(banded.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
-        F.count("*").alias("n")).where("n > 1").select("bucket"), "repeated-bands")
-    sharing = staged(banded.mapInArrow(
+    # A task has hardly any twice, so they are counted where they meet.
+    twice = staged(banded.select(F.explode("buckets").alias("bucket")).repartition("bucket").groupBy("bucket").agg(
+        F.count("*").alias("size")).where("size > 1"), "repeated-bands")
+    # Sketches go to their buckets at once; what a bucket has of one line, or the bitmap lets pass, ends there.
+    sharing = banded.mapInArrow(
         partial(_sharing, bits=bitmap(twice, "bucket")), "id bigint, buckets array<bigint>, sketch binary"
-    ).dropDuplicates(["id"]), "sharing-lines")
-    dropped(wide, twice)
-    nodes = bucketed(sharing.select("id", F.explode("buckets").alias("bucket")))
-    roots = staged(alike(nodes, sharing.select("id", "sketch"), agreeing(similarity)), "line-roots")
-    dropped(nodes, sharing)
+    ).select("id", "sketch", F.explode("buckets").alias("bucket"))
+    large = staged(twice.where(F.col("size") > BLOCK_SETS), "large-bands")
+    nodes = sharing.join(large, "bucket", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    likely = staged(likely_pairs(nodes, agreeing(similarity + (1 - similarity) / 16), HALVES).distinct(), "likely-lines")
+    dropped(wide, twice, large)
+    roots = staged(components(likely), "line-roots")
+    dropped(likely)
     # Lines go to where they are compared as they are; their sets are made there. What else passes is of no root.
     shown = texts.select("text").mapInArrow(partial(_shown, bits=bitmap(roots, "id")), "id bigint, hashes binary")
     members = staged(shown.dropDuplicates(["id"]).join(roots, "id"), "compared-lines")

@@ -25,6 +25,10 @@ SKETCH = 64
 #: Sets of a bucket or component compared in one group; more are split into pairs of blocks.
 BLOCK_SETS = 1024
 BLOCK_BYTES = 16 << 20
+#: Groups up to this size are compared side by side, larger ones one by one.
+SMALL_GROUP = 16
+#: The kind of sketches that hold four bits of each minimum, two of them in a byte.
+HALVES = "halves"
 #: Bits of the filter that picks what to compare; 2**27 take 16 MB.
 FILTER_BITS = 27
 
@@ -32,14 +36,20 @@ FILTER_BITS = 27
 SetsOf = Callable[[pa.ChunkedArray], tuple[np.ndarray, np.ndarray]]
 
 _FACTORS = words.mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+#: The lowest bit of each half byte.
+_HALF_ONES = np.uint64(0x1111111111111111)
 
 
 def minima(h: np.ndarray, offsets: np.ndarray, count: int = SKETCH) -> np.ndarray:
-    """For every text ``count`` minima, up to 256, of its hashes under different orders; all ones for none."""
-    out = np.full((len(offsets) - 1, count), np.iinfo(np.uint64).max, np.uint64)
+    """For every text ``count`` minima, up to 256, of its hashes under different orders; all ones for none.
+
+    Hashes of 32 bits give minima of 32 bits, in half the time.
+    """
+    out = np.full((len(offsets) - 1, count), np.iinfo(h.dtype).max, h.dtype)
+    factors = _FACTORS if h.dtype == np.uint64 else (_FACTORS >> np.uint64(32)).astype(h.dtype) | h.dtype.type(1)
     filled = np.flatnonzero(np.diff(offsets) > 0)
     # A few texts at a time, so that their hashes stay in the processor's cache.
-    step = 1 << 15
+    step = (1 << 18) // h.itemsize
     low = 0
     while low < len(filled):
         high = int(np.searchsorted(offsets[filled], offsets[filled[low]] + step, "right"))
@@ -48,7 +58,7 @@ def minima(h: np.ndarray, offsets: np.ndarray, count: int = SKETCH) -> np.ndarra
         part = h[offsets[some[0]]:offsets[some[-1] + 1]]
         at = offsets[some] - offsets[some[0]]
         for i in range(count):
-            out[some, i] = np.minimum.reduceat(part * _FACTORS[i], at)
+            out[some, i] = np.minimum.reduceat(part * factors[i], at)
         low = high
     return out
 
@@ -103,32 +113,84 @@ def _forest(likely, n: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _agreement(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
+    """In how many places the sketches of each row agree."""
+    if kind != HALVES:
+        return (a == b).sum(1)
+    other = a ^ b
+    other |= other >> np.uint64(1)
+    other |= other >> np.uint64(2)
+    other &= _HALF_ONES
+    return SKETCH - np.bitwise_count(other).sum(1, dtype=np.int64)
+
+
+def _connected(sketches: np.ndarray, block: np.ndarray, crossing: bool, least: int, kind: str) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a group; a row that is connected is compared with no other connected one."""
+    edges, left = [], np.arange(len(sketches))
+    rest = sketches
+    while len(left):
+        queue, left, rest = [int(left[0])], left[1:], rest[1:]
+        while queue and len(left):
+            k = queue.pop()
+            near = _agreement(rest, sketches[k:k + 1], kind) >= least
+            if crossing:
+                near &= block[left] != block[k]
+            if near.any():
+                found = left[near].tolist()
+                edges += [(k, x) for x in found]
+                queue += found
+                left, rest = left[~near], rest[~near]
+    return edges
+
+
+def _small_forests(sketches: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the edges of a spanning forest in each of many small groups, all groups at once."""
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    most = int(sizes[0]) if len(sizes) else 0
+    root = np.tile(np.arange(most), (len(starts), 1))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for y in range(1, most):
+        having = int(np.searchsorted(-sizes, -y, "left"))
+        for x in range(y):
+            group = np.flatnonzero(root[:having, x] != root[:having, y])
+            first, second = starts[group] + x, starts[group] + y
+            near = _agreement(sketches[first], sketches[second], kind) >= least
+            group = group[near]
+            a.append(first[near])
+            b.append(second[near])
+            own = root[group]
+            root[group] = np.where(own == own[:, y:y + 1], own[:, x:x + 1], own)
+    return np.concatenate(a), np.concatenate(b)
+
+
 @words.tidy
 def _likely_pairs(batches: Iterator[pa.RecordBatch], least: int, kind: str) -> Iterator[pa.RecordBatch]:
     # columns: bucket, i, j, block, id, sketch
     for held, bounds in _streamed(batches, 3):
         ids = held.column("id").to_numpy()
         block, i, j = (held.column(n).to_numpy() for n in ("block", "i", "j"))
-        sketches = np.frombuffer(words.text_bytes(held.column("sketch"))[0].tobytes(), kind).reshape(-1, SKETCH)
+        data, offsets = words.text_bytes(held.column("sketch"))
+        sketches = np.frombuffer(data.tobytes(), "u8" if kind == HALVES else kind).reshape(len(offsets) - 1, -1)
+        # A row may come more than once in its group; copies lie side by side.
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (block[1:] != block[:-1])
+        new[bounds[:-1]] = True
+        if not new.all():
+            bounds = np.concatenate([[0], np.cumsum(new)])[bounds]
+            ids, block, i, j, sketches = ids[new], block[new], i[new], j[new], sketches[new]
         starts, sizes = bounds[:-1], np.diff(bounds)
-        pairs = starts[(sizes == 2) & (i[starts] == j[starts])]
-        alike = pairs[(sketches[pairs] == sketches[pairs + 1]).sum(1) >= least]
-        a, b = [ids[alike]], [ids[alike + 1]]
-        for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            crossing = i[start] != j[start]
-            if size < 2 or size == 2 and not crossing:
-                continue
-            own, blocks_ = sketches[start:start + size], block[start:start + size]
-
-            def likely(k: int, own=own, blocks_=blocks_, crossing=crossing) -> np.ndarray:
-                near = (own[k + 1:] == own[k]).sum(1) >= least
-                if crossing:
-                    near &= blocks_[k + 1:] != blocks_[k]
-                return np.flatnonzero(near) + k + 1
-
-            for x, y in _forest(likely, size):
-                a.append(ids[start + x:start + x + 1])
-                b.append(ids[start + y:start + y + 1])
+        crossing = i[starts] != j[starts]
+        small = (sizes > 1) & (sizes <= SMALL_GROUP) & ~crossing
+        x, y = _small_forests(sketches, starts[small], sizes[small], least, kind)
+        a, b = [ids[x]], [ids[y]]
+        for g in np.flatnonzero((sizes > 1) & ~small).tolist():
+            start, size = int(starts[g]), int(sizes[g])
+            edges = _connected(sketches[start:start + size], block[start:start + size], crossing[g], least, kind)
+            if edges:
+                found = np.array(edges) + start
+                a.append(ids[found[:, 0]])
+                b.append(ids[found[:, 1]])
         yield pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
@@ -236,6 +298,15 @@ def sketch_values(least: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in (least >> np.uint64(32)).astype(np.uint16)], pa.binary())
 
 
+def half_values(least: np.ndarray) -> pa.Array:
+    """Sketches of four bits of each of the 32-bit minima: others agree in one place of 16 by chance."""
+    four = ((least ^ least >> np.uint32(15)) * np.uint32(0x9E3779B1) >> np.uint32(28)).astype(np.uint8)
+    both = four[:, ::2] | four[:, 1::2] << np.uint8(4)
+    return pa.FixedSizeBinaryArray.from_buffers(
+        pa.binary(both.shape[1]), len(both), [None, pa.py_buffer(both.tobytes())]
+    ).cast(pa.binary())
+
+
 def joined_hashes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Sets that are stored as their hashes, and their offsets."""
     data, offsets = words.text_bytes(column)

@@ -283,3 +283,53 @@ def test_pairs_are_compared_like_larger_groups():
     assert 0 < len(want) < 60
     assert {(r["id"], r["other"]) for r in rows if r["other"] is not None} == want
     assert {r["id"] for r in rows if r["links"]} == {i for pair in want for i in pair}
+
+
+def test_a_task_bands_a_line_once_and_sketches_it_in_32_bytes():
+    """Lines are listed wherever they are; the 2nd batch brings new minima only for what the task has not seen."""
+    kinds = {"doc_id": pa.array([1, 2]), "own_key": pa.array([3, 4])}
+    first = pa.record_batch({**kinds, "text": pa.array(["a line that comes again\nanother one", "A LINE that comes again "])})
+    second = pa.record_batch({**kinds, "text": pa.array(["a line that comes again", "one of the second batch"])})
+    got = pa.Table.from_batches(lines._listed(iter([first, second, second]))).to_pylist()
+    assert [(r["doc_id"], r["line"]) for r in got] == [(1, 0), (1, 1), (2, 0), (1, 0), (2, 0), (1, 0), (2, 0)]
+    assert [r["buckets"] is not None for r in got] == [True, True, False, False, True, False, False]
+    assert {len(r["sketch"]) for r in got if r["sketch"] is not None} == {32}
+    assert len({r["id"] for r in got}) == 3
+
+
+@pytest.mark.parametrize("small", [0, 3, 16])
+@pytest.mark.parametrize("kind", [similar.HALVES, "u2"])
+def test_forests_connect_what_looks_alike_in_groups_of_any_size(monkeypatch, small, kind):
+    monkeypatch.setattr(similar, "SMALL_GROUP", small)
+    rng = np.random.default_rng(2)
+    rows, want = [], []
+    for bucket, size in enumerate([1, 2, 3, 5, 16, 17, 40]):
+        kept = []
+        for k in range(size):
+            least = kept[rng.integers(len(kept))].copy() if kept and rng.random() < 0.7 else rng.integers(0, 1 << 32, 64, dtype=np.uint32)
+            least[rng.integers(0, 64, 12)] = rng.integers(0, 1 << 32, 12, dtype=np.uint32)
+            kept.append(least)
+        sketches = similar.half_values(np.array(kept)) if kind == similar.HALVES else pa.array([x.astype("u2").tobytes() for x in kept])
+        four = np.array([[b >> s & 15 for b in x.as_py() for s in (0, 4)] if kind == similar.HALVES else list(m.astype("u2")) for x, m in zip(sketches, kept, strict=True)])
+        ids = [100 * bucket + k for k in range(size)]
+        want += [(ids[x], ids[y]) for x in range(size) for y in range(x) if (four[x] == four[y]).sum() >= 42]
+        # Every third row comes twice.
+        rows += [(bucket, ids[k], sketches[k].as_py()) for k in range(size) for _ in range(1 + (k % 3 == 0))]
+    batch = pa.record_batch({
+        "bucket": [r[0] for r in rows], "i": [0] * len(rows), "j": [0] * len(rows), "block": [0] * len(rows),
+        "id": [r[1] for r in rows], "sketch": pa.array([r[2] for r in rows], pa.binary()),
+    })
+    got = pa.Table.from_batches(similar._likely_pairs(iter([batch]), 42, kind)).to_pylist()
+    number = {r[1]: k for k, r in enumerate(rows)}
+    a = classes_of(len(rows), [(number[x], number[y]) for x, y in want])
+    b = classes_of(len(rows), [(number[r["a"]], number[r["b"]]) for r in got])
+    assert same_partition(a, b) and len(got) == len({r[1] for r in rows}) - len({a[k] for k in number.values()})
+
+
+def test_minima_of_32_bits_agree_as_often_as_sets_do():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 32, 400, dtype=np.uint32)
+    other = np.concatenate([base[:320], rng.integers(0, 1 << 32, 80, dtype=np.uint32)])
+    least = similar.minima(np.concatenate([base, other]), np.array([0, 400, 400, 800]), 256)
+    assert least.dtype == np.uint32 and (least[1] == np.iinfo(np.uint32).max).all()
+    assert abs((least[0] == least[2]).mean() - 320 / 480) < 0.12
