@@ -12,7 +12,8 @@ reversed words; in each a word begins below its first half, so that no state bra
 
 Joins are salted: a node that many words pass has its edges in several copies, and a state joins one of
 them. Each level is written to the shared folder, and the one before it deleted. A hash shared by
-two prefixes can only add states, which the exact check of each pair drops; it loses none.
+two prefixes can only add states, which the exact check of each pair drops; it loses none. No join
+broadcasts a side: all of them grow with the vocabulary, and Spark takes them for far smaller.
 
 Defined results: a null text has no words; a null id counts as empty text; repeated rows count each;
 further columns are ignored; an empty table gives an empty result. A word's length is not bounded.
@@ -60,6 +61,14 @@ def vocabulary(docs: DataFrame, least_length: int = 6, least_count: int = 5) ->
     return counted.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
 
 
+def _dealt(frame: DataFrame) -> DataFrame:
+    """``frame`` as a side of a join that deals both by key, never through the driver.
+
+    Spark sizes a written table by its packed files, and the prefixes of words as one row per word.
+    """
+    return frame.hint("merge")
+
+
 def _sides(vocabulary: DataFrame) -> DataFrame:
     """Every word and its reverse, and how much of each is left as it is before the edit."""
     half = F.floor((F.length("word") + 1) / 2).cast("int")
@@ -108,8 +117,8 @@ def _trie(sides: DataFrame, least: int) -> DataFrame:
     nodes = nodes.select(
         "node", (F.col("_low") == -1).alias("is_word"), F.ceil(F.col("below") / SALT_WORDS).cast("int").alias("salts")
     )
-    paths = prefixes().select("side", "whole", "place", "node").join(nodes, "node")
-    return paths.join(_ends(sides), ["side", "whole"])
+    paths = prefixes().select("side", "whole", "place", "node").join(_dealt(nodes), "node")
+    return paths.join(_dealt(_ends(sides)), ["side", "whole"])
 
 
 def _ends(sides: DataFrame) -> DataFrame:
@@ -138,8 +147,8 @@ def _level(states: DataFrame, edges: DataFrame) -> DataFrame:
     """The states one edge further, and the node of the word found, if any."""
     # After its edit a word follows one edge at most, known by its first letter.
     rest = F.expr("substring(spelt, place + 1, 1)")
-    spent = states.where("edits = 1").withColumn("begins", rest).join(edges, ["node", "salt", "begins"]).drop("begins")
-    free = states.where("edits = 0").join(edges.drop("begins"), ["node", "salt"])
+    spent = states.where("edits = 1").withColumn("begins", rest).join(_dealt(edges), ["node", "salt", "begins"]).drop("begins")
+    free = states.where("edits = 0").join(_dealt(edges.drop("begins")), ["node", "salt"])
     joined = free.unionByName(spent).withColumn("_size", F.length("label")).withColumn(
         "_rest", F.expr("substring(spelt, place + 1, _size + 1)")
     ).withColumn("_held", F.expr("greatest(kept - place, 0)")).withColumn(
@@ -204,7 +213,7 @@ def neighbours(vocabulary: DataFrame, least_length: int = 6) -> DataFrame:
     for more in found[1:]:
         pairs = pairs.unionAll(more)
     turned = [F.when(F.col("side") == 1, F.reverse(c)).otherwise(F.col(c)).alias(a) for c, a in (("spelt", "word"), ("_near", "near"))]
-    pairs = pairs.join(ends, ["side", "whole"]).select("side", *turned)
+    pairs = pairs.join(_dealt(ends), ["side", "whole"]).select("side", *turned)
     # The reversed trie gives only what the other cannot: pairs that differ in the first half.
     half = "floor((length(word) + 1) / 2)"
     fresh = F.expr(f"side = 0 OR left(word, {half}) != left(near, {half})")
@@ -223,10 +232,10 @@ def variants(docs: DataFrame, least_length: int = 6, least_count: int = 5) -> Da
     counts = staged(vocabulary(docs, least_length, least_count), "spelling-words")
     pairs = neighbours(counts, least_length)
     near = counts.select(F.col("word").alias("near"), F.col("n").alias("_n"))
-    best = pairs.join(near, "near").groupBy("word").agg(
+    best = pairs.join(_dealt(near), "near").groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("_n")).alias("_less"), "near")).alias("_best")
     )
-    out = counts.join(best, "word", "left").withColumn(
+    out = counts.join(_dealt(best), "word", "left").withColumn(
         "_is", F.col("_best").isNotNull() & (-F.col("_best._less") >= FORM_TIMES * F.col("n"))
     ).select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
@@ -234,7 +243,7 @@ def variants(docs: DataFrame, least_length: int = 6, least_count: int = 5) -> Da
     )
     out = staged(out, "spelling-forms")
     dropped(pairs, counts)
-    return out.join(_roots(out), "word", "left").select(
+    return out.join(_dealt(_roots(out)), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
 
@@ -244,7 +253,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     roots, own = forms.where("form IS NOT NULL").select("word", F.col("form").alias("root")), None
     while True:
         further = roots.select(F.col("word").alias("root"), F.col("root").alias("_further"))
-        after = roots.join(further, "root", "left").select(
+        after = roots.join(_dealt(further), "root", "left").select(
             "word", F.coalesce("_further", "root").alias("root"), F.col("_further").isNotNull().alias("_moved")
         )
         after = staged(after, "spelling-roots")

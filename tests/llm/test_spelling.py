@@ -81,3 +81,19 @@ def test_no_words_no_variants(spark, docs):
 def test_columns_of_other_names_do_not_clash(spark, docs):
     frame = docs((1, "lonely " * 5)).withColumn("word", F.lit("x")).withColumn("n", F.lit(1)).withColumn("run", F.lit(2))
     assert spelling.variants(frame).count() == 1
+
+
+def test_no_join_sends_a_table_to_the_driver(spark, docs, monkeypatch):
+    """Small as these tables are, which Spark would broadcast by its sizes: they grow with the vocabulary."""
+    plans, staged = [], spelling.staged
+
+    def seen(frame, label):
+        frame.collect()
+        plans.append((label, frame._jdf.queryExecution().executedPlan().toString()))
+        return staged(frame, label)
+
+    monkeypatch.setattr(spelling, "staged", seen)
+    seen(spelling.variants(docs(*_rows(random.Random(3)))), "spelling-variants")
+    joined = {label for label, plan in plans if "SortMergeJoin" in plan}
+    assert joined >= {"spelling-paths", "spelling-states", "spelling-pairs", "spelling-forms", "spelling-roots", "spelling-variants"}
+    assert [label for label, plan in plans if "Broadcast" in plan] == []
